@@ -47,26 +47,24 @@ def top_entropy(logits: Column, top_k: int | None = None) -> Column:
     zero makes the reference formula 0 * log 0, hence NaN.
     """
     logits = logits.cast("array<double>")
-    top = F.sort_array(logits, asc=False)
-    if top_k is not None:
-        top = F.slice(top, 1, top_k)
+    top = logits if top_k is None else F.slice(F.sort_array(logits, asc=False), 1, top_k)
 
-    def entropy(top: Column) -> Column:
+    def entropy(top: Column, most: Column) -> Column:
         sums = F.aggregate(
             top,
             F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("w")),
             lambda acc, x: F.struct(
-                (acc["z"] + F.exp(x - top[0])).alias("z"),
-                (acc["w"] + F.exp(x - top[0]) * (x - top[0])).alias("w"),
+                (acc["z"] + F.exp(x - most)).alias("z"),
+                (acc["w"] + F.exp(x - most) * (x - most)).alias("w"),
             ),
         )
-        least = F.exp(F.element_at(top, -1) - top[0])
+        least = F.exp(F.array_min(top) - most)
         return let(
             sums,
             lambda s: F.when(least / s["z"] == 0, F.lit(NAN)).otherwise(F.ln(s["z"]) - s["w"] / s["z"]),
         )
 
-    return F.when(F.size(logits) > 0, let(top, entropy))
+    return F.when(F.size(logits) > 0, let(top, lambda t: let(F.array_max(t), lambda most: entropy(t, most))))
 
 
 def _rows_2d(column: pa.Array, dtype=np.float64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -150,10 +148,14 @@ def density_mode(scores: Column) -> Column:
                 F.sequence(F.lit(0), F.lit(GRID_POINTS - 1)),
                 lambda k: grid_point(k, s["low"], s["high"], s["sd"]),
             )
-            densities = lambda xs: F.transform(
-                xs, lambda x: F.aggregate(v, F.lit(0.0), lambda acc, y: acc + kernel((x - y) / bw))
-            )
-            return let(points, lambda xs: let(densities(xs), lambda d: xs[F.array_position(d, F.array_max(d)).cast("int") - 1]))
+
+            def density(x: Column) -> Column:
+                return F.aggregate(v, F.lit(0.0), lambda acc, y: acc + kernel((x - y) / bw))
+
+            def first_highest(xs: Column, d: Column) -> Column:
+                return F.element_at(xs, F.array_position(d, F.array_max(d)).cast("int"))
+
+            return let(points, lambda xs: let(F.transform(xs, density), lambda d: first_highest(xs, d)))
 
         return let(bandwidth(s["sd"], F.size(v)), peak)
 
@@ -167,7 +169,10 @@ def density_mode(scores: Column) -> Column:
 
 
 def density_mode_arrow(scores: Column) -> Column:
-    """Same as :func:`density_mode`, evaluated for a whole Arrow batch at a time."""
+    """Same as :func:`density_mode`, evaluated for a whole Arrow batch at a time.
+
+    Marked nondeterministic only to keep filters from being moved below it, which would evaluate it twice.
+    """
 
     @F.arrow_udf("double")
     def modes(column: pa.Array) -> pa.Array:
@@ -181,7 +186,11 @@ def density_mode_arrow(scores: Column) -> Column:
                 out[at[rows]] = _batch_modes(v)
         return pa.array(out, mask=np.isnan(out))
 
-    return modes(F.transform(scores.cast("array<double>"), lambda x: F.coalesce(x, F.lit(INF))))
+    return modes.asNondeterministic()(F.transform(scores.cast("array<double>"), lambda x: F.coalesce(x, F.lit(INF))))
+
+
+# Rows evaluated together: their 500 densities fit in a processor cache
+_BLOCK = 128
 
 
 def _batch_modes(v: np.ndarray) -> np.ndarray:
@@ -192,14 +201,17 @@ def _batch_modes(v: np.ndarray) -> np.ndarray:
     bw = np.where(sd > MIN_SPREAD, (4 * sd**5 / (3 * v.shape[1])) ** 0.2, DEFAULT_BANDWIDTH)
     bw = np.where(bw < MIN_SPREAD, DEFAULT_BANDWIDTH, bw)
     start = v.min(axis=1) - GRID_MARGIN * sd
-    stop = v.max(axis=1) + GRID_MARGIN * sd
-    grid = start[:, None] + np.arange(GRID_POINTS) * (stop - start)[:, None] / (GRID_POINTS - 1)
-    density = np.zeros_like(grid)
-    for j in range(v.shape[1]):  # one pass per score keeps memory at rows x grid
-        u = (grid - v[:, j : j + 1]) / bw[:, None]
-        density += np.exp(-0.5 * u * u)
-    peak = grid[np.arange(len(v)), density.argmax(axis=1)]
-    return np.where(finite, peak, np.nan)
+    width = v.max(axis=1) + GRID_MARGIN * sd - start
+    peaks = np.empty(len(v))
+    for at in range(0, len(v), _BLOCK):
+        rows = slice(at, at + _BLOCK)
+        grid = start[rows, None] + np.arange(GRID_POINTS) * width[rows, None] / (GRID_POINTS - 1)
+        density = np.zeros_like(grid)
+        for j in range(v.shape[1]):
+            u = (grid - v[rows, j : j + 1]) / bw[rows, None]
+            density += np.exp(-0.5 * u * u)
+        peaks[rows] = grid[np.arange(len(grid)), density.argmax(axis=1)]
+    return np.where(finite, peaks, np.nan)
 
 
 # -- vectors ------------------------------------------------------------------------------------
@@ -217,7 +229,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def softmax(values: Column) -> Column:
     """Softmax of an array of doubles, shifted by the maximum."""
-    return let(
-        F.transform(values, lambda x: F.exp(x - F.array_max(values))),
-        lambda e: let(total(e), lambda z: F.transform(e, lambda x: x / z)),
-    )
+
+    def shifted(v: Column) -> Column:
+        return let(F.array_max(v), lambda most: F.transform(v, lambda x: F.exp(x - most)))
+
+    return let(values, lambda v: normalised(shifted(v)))
+
+
+def normalised(values: Column) -> Column:
+    """Array of doubles divided by its total."""
+    return let(values, lambda v: let(total(v), lambda z: F.transform(v, lambda x: x / z)))

@@ -49,14 +49,22 @@ def extract_completion(output: Column) -> Column:
     return strip(F.when(F.contains(output, F.lit(COMPLETION_MARKER)), marked).otherwise(output))
 
 
-def first_sentence(text: Column) -> Column:
-    """Drop end markers and strip; if a full stop occurs anywhere, keep the first line's first sentence."""
-    clean = strip(F.replace(text, F.lit(END_OF_MESSAGE), F.lit("")))
+def drop_end_marker(text: Column) -> Column:
+    return strip(F.replace(text, F.lit(END_OF_MESSAGE), F.lit("")))
+
+
+def sentence_of(clean: Column) -> Column:
+    """If a full stop occurs anywhere, the first line up to its first full stop, and a full stop."""
     line = F.substring_index(clean, "\n", 1)
     sentence = F.concat(F.substring_index(line, ".", 1), F.lit("."))
     return F.when(F.contains(clean, F.lit(".")), sentence).otherwise(clean)
 
 
+def first_sentence(text: Column) -> Column:
+    """Drop end markers and white space around a generated text, and cut it to its first sentence."""
+    return sentence_of(drop_end_marker(text))
+
+
 def join_rewrite(text: Column, rewrite: Column) -> Column:
     """``text + ' ' + rewrite``; null when either is null, so that ``dropna`` removes the row."""
     return F.concat(text, F.lit(" "), rewrite)

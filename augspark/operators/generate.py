@@ -71,7 +71,6 @@ def generated_samples(
     n_samples: int = DEFAULT_SAMPLES,
     batch_size: int = DEFAULT_BATCH_SIZE,
     on_error: str = "raise",
-    deterministic: bool = False,
     **options,
 ) -> Column:
     """Array of ``n_samples`` structs (sample_idx, text, error) for each prompt.
@@ -79,6 +78,9 @@ def generated_samples(
     Only the prompt column travels to the Python worker, once per input; the samples come back in one
     row, so generation, scoring and choice need no shuffle. ``on_error='empty'`` turns a failing prompt
     into an empty text, ``'skip'`` into a null text; both fill ``error``. A null prompt is not sent.
+
+    The column is marked nondeterministic, so that no filter is moved below it and the model is called
+    once per prompt. Store the result before using it twice.
     """
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error must be one of {ON_ERROR}")
@@ -101,8 +103,7 @@ def generated_samples(
                 rows.append([{"sample_idx": i, "text": t, "error": e} for i, (t, e) in enumerate(got)])
             yield pa.array(rows, type=pa.list_(_ARROW_SAMPLE))
 
-    udf = run if deterministic else run.asNondeterministic()
-    return udf(prompt)
+    return run.asNondeterministic()(prompt)
 
 
 def generate_text(df: DataFrame, prompt: Column, factory: Factory, spread: int | None = None, **settings) -> DataFrame:

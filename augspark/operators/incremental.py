@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from augspark.operators.skew import GROUP_LIMIT, global_position, row_numbers, same_keys
+from augspark.operators.skew import GROUP_LIMIT, global_position, join_keys, row_numbers
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "guid") -> DataFrame:
@@ -41,5 +41,4 @@ def written_rows(spark: SparkSession, path: str, format: str = "parquet", **opti
 
 def unprocessed(df: DataFrame, written: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Input rows whose key is not in the output yet."""
-    done = written.select(*keys)
-    return df.join(done, same_keys(keys, df, done), "left_anti")
+    return join_keys(df, written.select(*keys), keys, "left_anti")

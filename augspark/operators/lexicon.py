@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from augspark.functions.scoring import cosine
-from augspark.operators.skew import global_position
+from augspark.functions.scoring import cosine, dot, let, normalised, softmax
+from augspark.operators.skew import broadcast_if_small, global_position
 
 # Fixed values
 TOP_WORDS = 30
 LOG_EPSILON = 1e-15
 CANDIDATE_SHARE = 0.5
 
-# A lexicon is a hand-sized list; a larger table is refused rather than broadcast
+# A lexicon is a hand-sized list; a larger table is not broadcast
 MAX_LEXICON_WORDS = 100_000
 
 
@@ -79,13 +81,6 @@ def words_per_class(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("class_id").agg(F.count("*").alias("n_words"))
 
 
-def small_lexicon(lexicon: DataFrame, limit: int = MAX_LEXICON_WORDS) -> DataFrame:
-    """Broadcast hint for a lexicon, given only after its size was checked."""
-    if lexicon.limit(limit + 1).count() > limit:
-        return lexicon
-    return F.broadcast(lexicon)
-
-
 def word_probabilities(word_scores: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Softmax of each example's word scores over the words of the lexicon.
 
@@ -93,7 +88,7 @@ def word_probabilities(word_scores: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     example = Window.partitionBy("example")
     return (
-        word_scores.join(small_lexicon(lexicon), "word")
+        word_scores.join(broadcast_if_small(lexicon, MAX_LEXICON_WORDS)[0], "word")
         .withColumn("_e", F.exp(F.col("logit") - F.max("logit").over(example)))
         .withColumn("p", F.col("_e") / F.sum("_e").over(example))
         .drop("_e")
@@ -106,7 +101,8 @@ def calibration_prior(support: DataFrame, lexicon: DataFrame | None = None) -> D
     Maximum and total are scalar subqueries over one row per word.
     """
     if lexicon is not None:
-        support = support.join(small_lexicon(lexicon.select("word").distinct()), "word", "left_semi")
+        words, _ = broadcast_if_small(lexicon.select("word").distinct(), MAX_LEXICON_WORDS)
+        support = support.join(words, "word", "left_semi")
     means = support.groupBy("word").agg(F.avg("logit").alias("mean_logit"))
     shifted = means.select("word", F.exp(F.col("mean_logit") - means.agg(F.max("mean_logit")).scalar()).alias("e"))
     return shifted.select("word", (F.col("e") / shifted.agg(F.sum("e")).scalar()).alias("prior"))
@@ -143,3 +139,79 @@ def refine_lexicon(lexicon: DataFrame, prior: DataFrame, share: float = CANDIDAT
     cut = F.floor(placed.agg(F.count("*")).scalar() * F.lit(share))
     kept = placed.where(F.col("_place") >= cut).select("word")
     return lexicon.join(kept, "word", "left_semi")
+
+
+# -- the same over rows of word scores ----------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class LexiconArrays:
+    """A lexicon on the driver: words as positions in a score array, with class and weight of each."""
+
+    words: tuple[int, ...]
+    classes: tuple[int, ...]
+    weights: tuple[float, ...]
+
+
+def collect_lexicon(lexicon: DataFrame) -> LexiconArrays:
+    """Bring a lexicon (word, class_id, optional weight) to the driver after checking its size."""
+    weight = F.col("weight") if "weight" in lexicon.columns else F.lit(0.0)
+    found = lexicon.select("class_id", "word", weight.alias("weight")).limit(MAX_LEXICON_WORDS + 1).collect()
+    if len(found) > MAX_LEXICON_WORDS:
+        raise ValueError(f"a lexicon holds at most {MAX_LEXICON_WORDS} words")
+    rows = sorted((r["class_id"], r["word"], r["weight"]) for r in found)
+    return LexiconArrays(*(tuple(r[i] for r in rows) for i in (1, 0, 2)))
+
+
+def lexicon_logits(logits: Column, lexicon: LexiconArrays) -> Column:
+    """The scores of the lexicon's words, picked from the scores of the whole vocabulary."""
+    words = F.lit(list(lexicon.words)).cast("array<int>")
+    return F.transform(words, lambda w: F.element_at(logits, w + 1).cast("double"))
+
+
+def array_prior(support: DataFrame, lexicon: LexiconArrays, logits: str = "logits") -> Column:
+    """Calibration prior of the lexicon's words as a scalar subquery: softmax of their mean scores."""
+    means = support.agg(mean_vector(lexicon_logits(F.col(logits), lexicon)).alias("m"))
+    return means.select(softmax(F.col("m"))).scalar()
+
+
+def class_score_arrays(
+    df: DataFrame,
+    lexicon: LexiconArrays,
+    prior: Column | None = None,
+    temperature: float | None = None,
+    logits: str = "logits",
+) -> DataFrame:
+    """Add ``class_scores``, the score of each class, to rows that hold a score per vocabulary word.
+
+    Works row by row: one model output is one row, so nothing is shuffled. ``temperature`` switches
+    the word weights on.
+    """
+    p = softmax(lexicon_logits(F.col(logits), lexicon))
+    if prior is not None:
+        # subqueries may not stand inside higher-order functions, so the prior becomes a column first
+        df = df.withColumn("_prior", prior)
+        p = normalised(F.zip_with(p, F.col("_prior"), lambda a, b: a / b))
+    log_p = F.transform(p, lambda x: F.ln(x + LOG_EPSILON))
+
+    def one_class(class_id: int) -> Column:
+        places = [i for i, c in enumerate(lexicon.classes) if c == class_id]
+        raw = [1.0 if temperature is None else math.exp(temperature * lexicon.weights[i]) for i in places]
+        weights = [w / sum(raw) for w in raw]
+        return F.struct(
+            F.lit(places).cast("array<int>").alias("place"), F.lit(weights).cast("array<double>").alias("weight")
+        )
+
+    classes = F.array(*[one_class(c) for c in range(max(lexicon.classes) + 1)])
+
+    def score(logs: Column, words: Column) -> Column:
+        picked = F.transform(words["place"], lambda i: F.element_at(logs, i + 1))
+        return F.when(F.size(words["place"]) > 0, dot(picked, words["weight"]))
+
+    scores = let(log_p, lambda logs: F.transform(classes, lambda words: score(logs, words)))
+    return df.withColumn("class_scores", scores).drop("_prior")
+
+
+def predicted_class(class_scores: Column) -> Column:
+    """Class of highest score in an array of class scores, the first one on ties."""
+    return (F.array_position(class_scores, F.array_max(class_scores)) - 1).cast("int")

@@ -16,7 +16,7 @@ from augspark.functions.scoring import (
     kernel,
     ordering_score,
 )
-from augspark.operators.skew import row_numbers, same_keys, split_by_group_size
+from augspark.operators.skew import join_keys, row_numbers, split_by_group_size
 
 SMALL_GROUP = 1_000
 
@@ -103,8 +103,8 @@ def density_modes(candidates: DataFrame, key: str, score: str = "score") -> Data
     moments = score_moments(candidates, key, score).where((F.col("n_valid") > 1) & (F.col("low") > -INF))
     valid = candidates.where(is_valid_score(F.col(score))).select(key, F.col(score).alias("_score"))
     spread = (
-        valid.join(moments, same_keys([key], valid, moments))
-        .select(valid[key], "_score", "low", "high", "sd", "bandwidth", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))).alias("k"))
+        join_keys(valid, moments, [key])
+        .select(key, "_score", "low", "high", "sd", "bandwidth", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))).alias("k"))
         .withColumn("x", grid_point(F.col("k"), F.col("low"), F.col("high"), F.col("sd")))
     )
     density = spread.groupBy(key, "k").agg(
@@ -134,8 +134,8 @@ def best_candidates(
     modes = density_modes(large, key)
     distance = _distance(F.col("score"), F.col("mode"))
     best_large = (
-        large.join(modes, same_keys([key], large, modes), "left")
-        .select(large[key], *columns, distance.alias("_d"))
+        join_keys(large, modes, [key], "left")
+        .select(key, *columns, distance.alias("_d"))
         .groupBy(key)
         .agg(F.min_by(F.struct(*columns), F.struct("_d", "sample_idx")).alias("c"))
         .select(key, "c.*")

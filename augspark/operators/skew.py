@@ -15,9 +15,17 @@ GROUP_LIMIT = 10_000
 HASH_DIGITS = 3
 
 
-def same_keys(keys: Sequence[str], left: DataFrame, right: DataFrame) -> Column:
-    """Join condition that lets null match null, as grouping does."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null matches null, as in grouping; the key columns of the left side remain."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def broadcast_if_small(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """Broadcast hint for a table of up to ``limit`` rows, given after counting them, and whether it fits."""
+    fits = df.limit(limit + 1).count() <= limit
+    return (F.broadcast(df) if fits else df), fits
 
 
 def split_by_group_size(
@@ -31,8 +39,7 @@ def split_by_group_size(
     big = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit).select(*keys)
     if big.isEmpty():
         return df, None
-    on = same_keys(keys, df, big)
-    return df.join(big, on, "left_anti"), df.join(big, on, "left_semi")
+    return join_keys(df, big, keys, "left_anti"), join_keys(df, big, keys, "left_semi")
 
 
 def global_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
@@ -70,9 +77,8 @@ def row_numbers(
         return ranked
     placed = global_position(large, [*map(F.col, keys), *order], "_pos")
     first = placed.groupBy(*keys).agg(F.min("_pos").alias("_first"))
-    ranked_large = (
-        placed.join(first, same_keys(keys, placed, first))
-        .select(*[placed[c] for c in df.columns], (F.col("_pos") - F.col("_first") + 1).alias(name))
+    ranked_large = join_keys(placed, first, keys).select(
+        *df.columns, (F.col("_pos") - F.col("_first") + 1).alias(name)
     )
     return ranked.unionByName(ranked_large)
 

@@ -16,13 +16,16 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from augspark.functions.scoring import INF, NAN, top_entropy, top_entropy_arrow
-from augspark.operators.skew import split_by_group_size
+from augspark.operators.skew import broadcast_if_small, split_by_group_size
 
 # Fixed values of the metrics
 RIDGE = 0.001
 DIAGONAL_EPSILON = 1e-12
 DEFAULT_TOP_K = 50
 
+# Up to this many spans (three numbers each) are broadcast
+MAX_BROADCAST_SPANS = 1_000_000
+
 # Samples with more tokens than this are scored through the d x d matrix instead of the t x t one
 MAX_GRAM_TOKENS = 4_096
 
@@ -60,15 +63,18 @@ def logit_entropy(
     entropy = (top_entropy_arrow if wide else top_entropy)(F.col("logits"), top_k)
     width = F.size("logits") if top_k is None else F.least(F.size("logits"), F.lit(top_k))
     weight = {"mean": width, "sum": F.lit(1)}[normalize]
-    scored = span_tokens(logits, spans).select("sample_id", entropy.alias("h"), weight.alias("w"))
-    means = scored.groupBy("sample_id").agg((F.sum("h") / F.sum("w")).alias("logit_entropy"))
-    return _complete(logits, spans, means, "logit_entropy")
-
-
-def _complete(table: DataFrame, spans: DataFrame, scores: DataFrame, name: str) -> DataFrame:
-    """NaN for samples that have rows in ``table`` but none in their span."""
-    present = table.join(spans.select("sample_id"), "sample_id", "left_semi").select("sample_id").distinct()
-    return present.join(scores, "sample_id", "left").select("sample_id", F.coalesce(name, F.lit(NAN)).alias(name))
+    spans, fits = broadcast_if_small(spans, MAX_BROADCAST_SPANS)
+    if fits:
+        # no shuffle before the aggregate, and tokens outside their span are not scored
+        inside = logits.join(spans, "sample_id").withColumn("logits", F.when(in_span(), F.col("logits")))
+        scored = inside.select("sample_id", entropy.alias("h"), weight.alias("w"))
+    else:
+        # the join would shuffle the logits, so each token is reduced to two numbers first
+        tokens = logits.select("sample_id", "pos", entropy.alias("h"), weight.alias("w"))
+        scored = tokens.join(spans, "sample_id").withColumn("h", F.when(in_span(), F.col("h")))
+    weights = F.sum(F.when(F.col("h").isNotNull(), F.col("w")))
+    score = F.coalesce(F.sum("h") / weights, F.lit(NAN))
+    return scored.groupBy("sample_id").agg(score.alias("logit_entropy"))
 
 
 # -- centred log-determinant --------------------------------------------------------------------
@@ -139,7 +145,9 @@ def svd_score(hidden: DataFrame, spans: DataFrame, layer: int, max_tokens: int =
             F.sum("tokens").alias("tokens"),
         )
         scores = scores.unionByName(summed.groupBy("sample_id").applyInArrow(_product_score, schema))
-    return _complete(layer_rows, spans, scores, "svd_score")
+    # NaN for a sample that has rows in the layer but none in its span
+    present = layer_rows.join(spans.select("sample_id"), "sample_id", "left_semi").select("sample_id").distinct()
+    return present.join(scores, "sample_id", "left").withColumn("svd_score", F.coalesce("svd_score", F.lit(NAN)))
 
 
 # -- attention diagonal -------------------------------------------------------------------------
@@ -157,11 +165,14 @@ def safe_log(x: Column) -> Column:
 
 def attention_score(attention: DataFrame, spans: DataFrame, layer: int) -> DataFrame:
     """Sum over heads of the mean log self-attention of the span's tokens."""
-    layer_rows = attention.where(F.col("layer") == layer)
-    own = layer_rows.select("sample_id", "head", "pos", safe_log(own_attention()).alias("log_own"))
-    heads = span_tokens(own, spans).groupBy("sample_id", "head").agg(F.avg("log_own").alias("head_mean"))
-    scores = heads.groupBy("sample_id").agg(F.sum("head_mean").alias("attn_eig"))
-    return _complete(layer_rows, spans, scores, "attn_eig")
+    tokens = attention.where(F.col("layer") == layer).select(
+        "sample_id", "head", "pos", safe_log(own_attention()).alias("log_own")
+    )
+    log_own = F.when(in_span(), F.col("log_own"))
+    heads = tokens.join(spans, "sample_id").groupBy("sample_id", "head").agg(F.avg(log_own).alias("head_mean"))
+    # an average over no token is NaN
+    total = F.sum(F.coalesce("head_mean", F.lit(NAN)))
+    return heads.groupBy("sample_id").agg(total.alias("attn_eig"))
 
 
 def attention_diagonal(

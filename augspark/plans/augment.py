@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from augspark.functions.prompts import append_reply, chat_messages, render_chat
-from augspark.functions.text import first_sentence, join_rewrite, truncate_chars
+from augspark.functions.scoring import let
+from augspark.functions.text import drop_end_marker, join_rewrite, sentence_of, truncate_chars
 from augspark.operators.generate import DEFAULT_SAMPLES, Factory, generated_samples
 from augspark.operators.select import with_best_sample
 
@@ -28,11 +29,13 @@ def with_samples(
     """Add ``samples``: n generated rewrites of the truncated text, each cut to its first sentence."""
     build = prompt or chat_prompt()
     made = generated_samples(build(truncate_chars(F.col(text))), factory, n_samples=n_samples, **settings)
-    cut = F.transform(
-        "_made",
-        lambda s: F.struct(s["sample_idx"].alias("sample_idx"), first_sentence(s["text"]).alias("text"), s["error"].alias("error")),
-    )
-    return df.withColumn("_made", made).withColumn("samples", cut).drop("_made")
+
+    def cut(s: Column) -> Column:
+        # common parts of an expression are not shared inside a lambda, hence let
+        sentence = let(drop_end_marker(s["text"]), sentence_of)
+        return F.struct(s["sample_idx"].alias("sample_idx"), sentence.alias("text"), s["error"].alias("error"))
+
+    return df.withColumn("_made", made).withColumn("samples", F.transform("_made", cut)).drop("_made")
 
 
 def scoring_prompts(df: DataFrame, key: str, text: str = "text", lang: Column | str = "en") -> DataFrame:

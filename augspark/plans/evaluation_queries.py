@@ -136,7 +136,7 @@ def stream_augmentation(spark, sf):
 
     def step(files):
         return augment.augment_best_of_n(
-            files, fx.stub_factory, _length_score, prompt=fx.whole_prompt, deterministic=True
+            files, fx.stub_factory, _length_score, prompt=fx.whole_prompt
         )
 
     running = augment_files(

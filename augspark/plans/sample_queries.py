@@ -45,7 +45,7 @@ def regroup_samples(spark, sf):
 
 @query(f"select doc_id, {stub_sql('text', '0')} as generated, null::varchar as error from documents")
 def generate_text(spark, sf):
-    made = gen.generate_text(table(spark, sf, "documents"), F.col("text"), fx.stub_factory, deterministic=True)
+    made = gen.generate_text(table(spark, sf, "documents"), F.col("text"), fx.stub_factory)
     return made.select("doc_id", "generated", "error")
 
 
@@ -53,7 +53,7 @@ def generate_text(spark, sf):
   case when length(text) % 7 = 0 then 'model failed' end as error from documents""")
 def generate_with_empty_on_error(spark, sf):
     made = gen.generate_text(
-        table(spark, sf, "documents"), F.col("text"), fx.failing_factory, on_error="empty", deterministic=True
+        table(spark, sf, "documents"), F.col("text"), fx.failing_factory, on_error="empty"
     )
     return made.select("doc_id", "generated", "error")
 
@@ -62,7 +62,7 @@ def generate_with_empty_on_error(spark, sf):
   case when length(text) % 7 <> 0 then {stub_sql('text', '0')} end as generated from documents""")
 def generate_with_skip_on_error(spark, sf):
     made = gen.generate_text(
-        table(spark, sf, "documents"), F.col("text"), fx.failing_factory, on_error="skip", deterministic=True
+        table(spark, sf, "documents"), F.col("text"), fx.failing_factory, on_error="skip"
     )
     return made.select("doc_id", F.col("error").isNull().alias("kept"), "generated")
 
@@ -70,7 +70,7 @@ def generate_with_skip_on_error(spark, sf):
 @query(f"""with prompts as (select doc_id, concat({quoted(_BEFORE)}, text, {quoted(_AFTER)}) as p from documents)
 select doc_id, {strip_sql(stub_sql('p', '0'))} as generated from prompts""")
 def prompt_and_generate(spark, sf):
-    made = gen.prompt_and_generate(table(spark, sf, "documents"), F.col("text"), fx.stub_factory, deterministic=True)
+    made = gen.prompt_and_generate(table(spark, sf, "documents"), F.col("text"), fx.stub_factory)
     return made.select("doc_id", "generated")
 
 
@@ -94,7 +94,7 @@ def augment_best_of_n(spark, sf):
     inputs = fx_labeled(spark, sf).select("doc_id", "text", "label")
     scores = fx.fx_scores(spark, sf)
     chosen = augment.augment_with_scores(
-        inputs, fx.stub_factory, scores, "doc_id", prompt=fx.whole_prompt, deterministic=True
+        inputs, fx.stub_factory, scores, "doc_id", prompt=fx.whole_prompt
     )
     return chosen.select("doc_id", "label", "sample_idx", "text")
 
@@ -108,7 +108,7 @@ select doc_id, concat_ws('|', list_extract(list(gen order by r), 1), list_extrac
 def ranked_rewrites(spark, sf):
     """Array layout: generation, scoring by a column and ranking without a shuffle."""
     made = augment.with_samples(
-        fx_labeled(spark, sf).select("doc_id", "text"), fx.stub_factory, prompt=fx.whole_prompt, deterministic=True
+        fx_labeled(spark, sf).select("doc_id", "text"), fx.stub_factory, prompt=fx.whole_prompt
     )
     i = lambda s: s["sample_idx"]
     scored = F.transform(

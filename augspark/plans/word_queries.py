@@ -110,6 +110,35 @@ def calibrated_class_scores(spark, sf):
     return _rounded(lx.class_scores(lx.calibrated_probabilities(probabilities, prior)))
 
 
+def _array_scores(scored):
+    exploded = scored.select(F.col("vec_id").alias("example"), F.posexplode("class_scores").alias("class_id", "class_score"))
+    return _rounded(exploded)
+
+
+@query(f"with {SOFTMAX} select example, class_id, round({WEIGHTED}, 6) as class_score from probs group by 1, 2")
+def weighted_class_scores_from_arrays(spark, sf):
+    """One row per example, scored without a shuffle."""
+    lexicon = lx.collect_lexicon(fx_lexicon(spark))
+    return _array_scores(lx.class_score_arrays(vectors(spark, sf), lexicon, temperature=2.0, logits="vec"))
+
+
+@query(f"with {SOFTMAX}, {PRIOR} select example, class_id, round(avg(ln(p + 1e-15)), 6) as class_score from calibrated group by 1, 2")
+def calibrated_class_scores_from_arrays(spark, sf):
+    lexicon = lx.collect_lexicon(fx_lexicon(spark))
+    rows = vectors(spark, sf)
+    support = rows.join(fs.sample_total(rows, "vec_id", seed=SEED), "vec_id", "left_semi")
+    prior = lx.array_prior(support, lexicon, "vec")
+    return _array_scores(lx.class_score_arrays(rows, lexicon, prior, logits="vec"))
+
+
+@query(f"""with {SOFTMAX}, s as (select example, class_id, avg(ln(p + 1e-15)) as class_score from probs group by 1, 2),
+r as (select *, row_number() over (partition by example order by class_score desc, class_id) as r from s)
+select example, class_id as pred from r where r = 1""")
+def predicted_classes_from_arrays(spark, sf):
+    scored = lx.class_score_arrays(vectors(spark, sf), lx.collect_lexicon(fx_lexicon(spark)), logits="vec")
+    return scored.select(F.col("vec_id").alias("example"), lx.predicted_class(F.col("class_scores")).cast("bigint").alias("pred"))
+
+
 @query(f"""with {SOFTMAX}, {PRIOR},
 vocabulary as (select word, row_number() over (order by m, word) as r, count(*) over () as n from means)
 select word, class_id from fx_lexicon join vocabulary using (word) where r > floor(n * 0.5)""")

@@ -29,7 +29,7 @@ def read_csv_strings(
     line breaks inside fields can be split with ``multiline=False``. A byte-order mark is skipped.
     """
     schema = ", ".join(f"{c} string" for c in columns)
-    return (
+    fields = (
         spark.read.schema(schema)
         .option("header", header)
         .option("multiLine", multiline)
@@ -42,6 +42,8 @@ def read_csv_strings(
         .option("maxCharsPerColumn", -1)
         .csv(path)
     )
+    # an empty field without quotes is null in any case
+    return fields.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
 def missing_to_null(text: Column, na_values: Sequence[str] = PANDAS_MISSING) -> Column:
