@@ -122,6 +122,14 @@ def generate_text(df: DataFrame, prompt: Column, factory: Factory, spread: int |
     )
 
 
+def store_with_rejects(generated: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write generated rows once and read them back as accepted rows and rejects (rows with an error)."""
+    generated.write.mode("append").parquet(path)
+    stored = generated.sparkSession.read.parquet(path)
+    failed = F.col("error").isNotNull()
+    return stored.where(~failed).drop("error"), stored.where(failed)
+
+
 def prompt_and_generate(df: DataFrame, text: Column, factory: Factory, **settings) -> DataFrame:
     """Flat few-shot prompt, generation, and extraction of the completion."""
     out = generate_text(df, flat_prompt(text), factory, **settings)

@@ -29,16 +29,22 @@ def with_content_key(
     return row_numbers(hashed, ["content_key"], order, "occurrence", limit)
 
 
-def written_rows(spark: SparkSession, path: str, format: str = "parquet", **options) -> int:
-    """Rows already written to an output; 0 when there is none yet."""
+def read_written(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame | None:
+    """The output written so far, or None when there is none yet."""
     try:
-        return spark.read.format(format).options(**options).load(path).count()
+        return spark.read.format(format).options(**options).load(path)
     except AnalysisException as exc:
         if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return 0
+            return None
         raise
 
 
+def written_rows(spark: SparkSession, path: str, format: str = "parquet", **options) -> int:
+    """Rows already written to an output; 0 when there is none yet."""
+    written = read_written(spark, path, format, **options)
+    return 0 if written is None else written.count()
+
+
 def unprocessed(df: DataFrame, written: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Input rows whose key is not in the output yet."""
     return join_keys(df, written.select(*keys), keys, "left_anti")

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from augspark.functions.scoring import (
+    GRID_MARGIN,
     GRID_POINTS,
     INF,
     bandwidth,
     density_mode_arrow,
-    grid_point,
     is_valid_score,
-    kernel,
     ordering_score,
 )
-from augspark.operators.skew import join_keys, row_numbers, split_by_group_size
+from augspark.operators.skew import join_keys, row_numbers, split_by_group_size, stored_side
 
 SMALL_GROUP = 1_000
 
@@ -94,23 +97,66 @@ def score_moments(candidates: DataFrame, key: str, score: str = "score") -> Data
     )
 
 
+# Inputs whose sums a task holds at once: 500 doubles each
+_HELD_SUMS = 2_000
+_SCORE_BLOCK = 512
+
+
+def _partial_densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task and input: the densities that its scores add at the 500 grid points."""
+    sums: dict[object, np.ndarray] = {}
+    schema = None
+
+    def rows() -> pa.RecordBatch:
+        keys = pa.array(list(sums), schema.field(0).type)
+        densities = pa.array(list(sums.values()), pa.list_(pa.float64()))
+        sums.clear()
+        return pa.record_batch([keys, densities], names=["key", "densities"])
+
+    for batch in batches:
+        schema = batch.schema
+        codes = batch.column(0).dictionary_encode(null_encoding="encode")
+        index = codes.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(index, kind="stable")
+        score, start, stop, width = (batch.column(i).to_numpy(zero_copy_only=False)[order] for i in range(1, 5))
+        edges = np.flatnonzero(np.diff(index[order], prepend=-1, append=len(codes.dictionary)))
+        for key, low, high in zip(codes.dictionary.to_pylist(), edges, edges[1:]):
+            grid = start[low] + np.arange(GRID_POINTS) * (stop[low] - start[low]) / (GRID_POINTS - 1)
+            held = sums.setdefault(key, np.zeros(GRID_POINTS))
+            for at in range(low, high, _SCORE_BLOCK):
+                u = (grid - score[at : min(at + _SCORE_BLOCK, high), None]) / width[low]
+                held += np.exp(-0.5 * u * u).sum(axis=0)
+        if len(sums) >= _HELD_SUMS:
+            yield rows()
+    if sums:
+        yield rows()
+
+
 def density_modes(candidates: DataFrame, key: str, score: str = "score") -> DataFrame:
     """Density mode of each input that has one, from partial sums per grid point.
 
     Each task adds up its own candidates at the 500 grid points of an input before the shuffle, so an
-    input with very many candidates costs 500 sums per task. Small inputs are cheaper as arrays.
+    input with very many candidates costs one array per task. Small inputs are cheaper as arrays.
     """
     moments = score_moments(candidates, key, score).where((F.col("n_valid") > 1) & (F.col("low") > -INF))
-    valid = candidates.where(is_valid_score(F.col(score))).select(key, F.col(score).alias("_score"))
-    spread = (
-        join_keys(valid, moments, [key])
-        .select(key, "_score", "low", "high", "sd", "bandwidth", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))).alias("k"))
-        .withColumn("x", grid_point(F.col("k"), F.col("low"), F.col("high"), F.col("sd")))
+    bounds = stored_side(
+        moments.select(
+            key,
+            (F.col("low") - GRID_MARGIN * F.col("sd")).alias("start"),
+            (F.col("high") + GRID_MARGIN * F.col("sd")).alias("stop"),
+            "bandwidth",
+        )
     )
-    density = spread.groupBy(key, "k").agg(
-        F.first("x").alias("x"), F.sum(kernel((F.col("x") - F.col("_score")) / F.col("bandwidth"))).alias("density")
+    valid = candidates.where(is_valid_score(F.col(score))).select(key, F.col(score).alias("_score"))
+    placed = join_keys(valid, bounds, [key]).select(key, "_score", "start", "stop", "bandwidth")
+    key_type = candidates.schema[key].dataType.simpleString()
+    partial = placed.mapInArrow(_partial_densities, f"key {key_type}, densities array<double>")
+    densities = partial.groupBy(F.col("key").alias(key)).agg(
+        vector_to_array(Summarizer.sum(array_to_vector("densities"))).alias("_densities")
     )
-    return density.groupBy(key).agg(F.max_by("x", F.struct("density", -F.col("k"))).alias("mode"))
+    first_highest = F.array_position("_densities", F.array_max("_densities")) - 1
+    grid = F.col("start") + first_highest * (F.col("stop") - F.col("start")) / (GRID_POINTS - 1)
+    return join_keys(densities, bounds, [key]).select(key, grid.alias("mode"))
 
 
 def best_candidates(
@@ -131,7 +177,7 @@ def best_candidates(
     best = with_best_sample(arrays).select(key, "best_sample.*")
     if large is None:
         return best
-    modes = density_modes(large, key)
+    modes = stored_side(density_modes(large, key))
     distance = _distance(F.col("score"), F.col("mode"))
     best_large = (
         join_keys(large, modes, [key], "left")

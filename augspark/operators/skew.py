@@ -11,6 +11,8 @@ from augspark.session import cut_lineage
 
 # A group up to this size is handled by one task as a whole
 GROUP_LIMIT = 10_000
+# Tables of a few numbers per row are broadcast up to this many rows
+BROADCAST_ROWS = 1_000_000
 # Leading hex digits of a hash: 16^3 buckets, which is also the size of the table of bucket counts
 HASH_DIGITS = 3
 
@@ -22,24 +24,31 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def broadcast_if_small(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Broadcast hint for a table of up to ``limit`` rows, given after counting them, and whether it fits."""
-    fits = df.limit(limit + 1).count() <= limit
+    fits = df.count() <= limit
     return (F.broadcast(df) if fits else df), fits
 
 
+def stored_side(df: DataFrame) -> DataFrame:
+    """A table of one short row per key, stored once, and broadcast in joins if its count allows that."""
+    return broadcast_if_small(cut_lineage(df))[0]
+
+
 def split_by_group_size(
     df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups up to ``limit`` rows, and the rows of larger groups (None when there are none).
 
-    Sizes come from a count of the key columns only, run when the plan is built. ``df`` is read more
-    than once, so it should be a stored table, not the output of a sampling model.
+    Sizes come from a count of the key columns only, run when the plan is built. The large keys are few,
+    so the rows are normally told apart where they are, without a shuffle. ``df`` is read more than
+    once, so it should be a stored table, not the output of a sampling model.
     """
-    big = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit).select(*keys)
-    if big.isEmpty():
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    large_keys = stored_side(sizes.where(F.col("_rows") > limit).select(*keys))
+    if large_keys.isEmpty():
         return df, None
-    return join_keys(df, big, keys, "left_anti"), join_keys(df, big, keys, "left_semi")
+    return join_keys(df, large_keys, keys, "left_anti"), join_keys(df, large_keys, keys, "left_semi")
 
 
 def global_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
@@ -76,7 +85,7 @@ def row_numbers(
     if large is None:
         return ranked
     placed = global_position(large, [*map(F.col, keys), *order], "_pos")
-    first = placed.groupBy(*keys).agg(F.min("_pos").alias("_first"))
+    first = stored_side(placed.groupBy(*keys).agg(F.min("_pos").alias("_first")))
     ranked_large = join_keys(placed, first, keys).select(
         *df.columns, (F.col("_pos") - F.col("_first") + 1).alias(name)
     )

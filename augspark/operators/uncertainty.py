@@ -23,9 +23,6 @@ RIDGE = 0.001
 DIAGONAL_EPSILON = 1e-12
 DEFAULT_TOP_K = 50
 
-# Up to this many spans (three numbers each) are broadcast
-MAX_BROADCAST_SPANS = 1_000_000
-
 # Samples with more tokens than this are scored through the d x d matrix instead of the t x t one
 MAX_GRAM_TOKENS = 4_096
 
@@ -63,7 +60,7 @@ def logit_entropy(
     entropy = (top_entropy_arrow if wide else top_entropy)(F.col("logits"), top_k)
     width = F.size("logits") if top_k is None else F.least(F.size("logits"), F.lit(top_k))
     weight = {"mean": width, "sum": F.lit(1)}[normalize]
-    spans, fits = broadcast_if_small(spans, MAX_BROADCAST_SPANS)
+    spans, fits = broadcast_if_small(spans)
     if fits:
         # no shuffle before the aggregate, and tokens outside their span are not scored
         inside = logits.join(spans, "sample_id").withColumn("logits", F.when(in_span(), F.col("logits")))

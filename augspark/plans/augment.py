@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,7 +10,9 @@ from augspark.functions.prompts import append_reply, chat_messages, render_chat
 from augspark.functions.scoring import let
 from augspark.functions.text import drop_end_marker, join_rewrite, sentence_of, truncate_chars
 from augspark.operators.generate import DEFAULT_SAMPLES, Factory, generated_samples
+from augspark.operators.incremental import read_written, unprocessed
 from augspark.operators.select import with_best_sample
+from augspark.sources.sinks import append_rows
 
 
 def chat_prompt(lang: Column | str = "en") -> Callable[[Column], Column]:
@@ -107,3 +109,15 @@ def augment_with_scores(
         "scores", F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.get("scores", i))
     )
     return choose_rewrite(with_samples(padded, factory, text, n_samples, **settings), text)
+
+
+def augment_pending(
+    df: DataFrame, target: str, keys: Sequence[str], step: Callable[[DataFrame], DataFrame], format: str = "parquet"
+) -> None:
+    """Run a step over the rows whose key is not in the output yet, and append the result.
+
+    A job that died is started again with the same arguments. The output keeps the key columns.
+    """
+    written = read_written(df.sparkSession, target, format)
+    rest = df if written is None else unprocessed(df, written, keys)
+    append_rows(step(rest), target, format)

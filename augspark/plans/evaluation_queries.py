@@ -105,12 +105,14 @@ def content_keys(spark, sf):
     return inc.with_content_key(docs, ["text", "lang"], [F.col("doc_id")]).select("doc_id", "content_key", "occurrence")
 
 
-@query("select count(*) as written from documents join labels using (doc_id)")
+@query("""select count(*) filter (where quality = 1) as written, count(*) filter (where quality = 0) as remaining
+from documents join labels using (doc_id)""")
 def written_progress(spark, sf):
     path = scratch_path(spark, "progress")
-    before = inc.written_rows(spark, path)
-    fx_labeled(spark, sf).write.mode("append").parquet(path)
-    return spark.range(1).select((F.lit(inc.written_rows(spark, path)) - F.lit(before)).cast("bigint").alias("written"))
+    rows = fx_labeled(spark, sf)
+    rows.where(F.col("quality") == 1).write.mode("append").parquet(path)
+    written = F.lit(inc.written_rows(spark, path)).cast("bigint")
+    return rows.agg(written.alias("written"), (F.count("*") - written).alias("remaining"))
 
 
 @query("select doc_id, text from documents where doc_id not in (select doc_id from labels)")

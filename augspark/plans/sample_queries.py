@@ -138,10 +138,11 @@ def span_tokens(spark, sf):
     return kept.select("sample_id", "pos", F.round(F.col("logits")[0], 6).alias("first_value"))
 
 
-@query("select label as layer, count(*) as n_tokens from embeddings where label = 5 group by 1")
+@query("select vec_id, label as layer, round(embedding[64]::double, 6) as last_value from embeddings where label = 5")
 def middle_layer(spark, sf):
     hidden = fx.vectors(spark, sf).withColumnRenamed("label", "layer")
-    return un.middle_layer(hidden, 10).groupBy("layer").agg(F.count("*").alias("n_tokens"))
+    rows = un.middle_layer(hidden, num_layers=10)
+    return rows.select("vec_id", "layer", F.round(F.element_at("vec", -1), 6).alias("last_value"))
 
 
 def _entropy_sql(condition: str, top: str, normalize: str) -> str:

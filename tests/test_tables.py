@@ -340,6 +340,24 @@ def score_by_length(text, sample):
     return F.length(sample).cast("double")
 
 
+def test_pending_rows(spark, tmp_path):
+    target = str(tmp_path / "out")
+    df = spark.range(30).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    step = lambda d: augment.augment_best_of_n(d, fx.stub_factory, score_by_length, prompt=fx.whole_prompt)
+    for part in (df.where("id < 10"), df, df):
+        augment.augment_pending(part, target, ["id"], step)
+    got = [tuple(r) for r in spark.read.parquet(target).select("id", "text").collect()]
+    assert sorted(got) == [(i, f"text {i} aug: text {i} #0") for i in range(30)]
+
+
+def test_rejects_are_stored_once(spark, tmp_path):
+    df = spark.createDataFrame([("1234567",), ("a",)], "t string")
+    made = gen.generate_text(df, F.col("t"), fx.failing_factory, on_error="skip")
+    good, bad = gen.store_with_rejects(made, str(tmp_path / "made"))
+    assert [r["generated"] for r in good.collect()] == ["aug: a #0"]
+    assert [(r["t"], r["error"]) for r in bad.collect()] == [("1234567", "model failed")]
+
+
 def test_stream_resumes_and_equals_batch(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     df = spark.range(0, 90, 1, 3).select("id", F.concat(F.lit("text "), "id").alias("text"))
