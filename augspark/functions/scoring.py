@@ -67,13 +67,13 @@ def top_entropy(logits: Column, top_k: int | None = None) -> Column:
     return F.when(F.size(logits) > 0, let(top, lambda t: let(F.array_max(t), lambda most: entropy(t, most))))
 
 
-def _rows_2d(column: pa.Array, dtype=np.float64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _rows_2d(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and 2-D block for each list length that occurs in an Arrow list column."""
     lengths = np.asarray(column.value_lengths().fill_null(0))
     for width in np.unique(lengths):
         at = np.flatnonzero(lengths == width)
         block = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-        yield at, block.astype(dtype, copy=False).reshape(len(at), width)
+        yield at, block.astype(np.float64, copy=False).reshape(len(at), width)
 
 
 def top_entropy_arrow(logits: Column, top_k: int | None = None) -> Column:
@@ -99,7 +99,7 @@ def top_entropy_arrow(logits: Column, top_k: int | None = None) -> Column:
             missing[at] = False
         return pa.array(out, mask=missing)
 
-    return entropy(logits.cast("array<double>"))
+    return entropy(logits)
 
 
 # -- kernel-density mode ------------------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 Tables have one row per token (and layer, head): ``logits(sample_id, pos, logits)``,
 ``hidden(sample_id, layer, pos, vec)``, ``attention(sample_id, layer, head, pos, row)``. The tokens to
-score come as ``spans(sample_id, start, end)`` with ``start <= pos < end``.
+score come as ``spans(sample_id, start, end)`` with ``start <= pos < end``; without spans all tokens of
+the table are scored, which saves the join where the writer has already left out the prompt's tokens.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def middle_layer(table: DataFrame, num_layers: int) -> DataFrame:
 
 def logit_entropy(
     logits: DataFrame,
-    spans: DataFrame,
+    spans: DataFrame | None = None,
     top_k: int | None = None,
     normalize: str = "mean",
     wide: bool = False,
@@ -60,8 +61,10 @@ def logit_entropy(
     entropy = (top_entropy_arrow if wide else top_entropy)(F.col("logits"), top_k)
     width = F.size("logits") if top_k is None else F.least(F.size("logits"), F.lit(top_k))
     weight = {"mean": width, "sum": F.lit(1)}[normalize]
-    spans, fits = broadcast_if_small(spans)
-    if fits:
+    spans, fits = broadcast_if_small(spans) if spans is not None else (None, False)
+    if spans is None:
+        scored = logits.select("sample_id", entropy.alias("h"), weight.alias("w"))
+    elif fits:
         # no shuffle before the aggregate, and tokens outside their span are not scored
         inside = logits.join(spans, "sample_id").withColumn("logits", F.when(in_span(), F.col("logits")))
         scored = inside.select("sample_id", entropy.alias("h"), weight.alias("w"))
@@ -90,23 +93,42 @@ def _gram_score(table: pa.Table) -> pa.Table:
     return pa.table({"sample_id": table.column("sample_id")[:1], "svd_score": [np.linalg.slogdet(gram)[1] / len(z)]})
 
 
+# Bytes of d x d sums that a task holds at once
+_HELD_BYTES = 256 << 20
+
+
 def _partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch and sample: the rows of the sum of outer products of its vectors."""
+    """Per task and sample: the rows of the sum of outer products of its vectors."""
+    sums: dict[object, list] = {}
+    id_type = None
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        while sums:
+            sample, (products, tokens) = sums.popitem()
+            d = len(products)
+            flat = pa.array(products.ravel())
+            columns = {
+                "sample_id": pa.array([sample] * d, id_type),
+                "i": pa.array(range(d), pa.int32()),
+                "products": pa.ListArray.from_arrays(pa.array(range(0, d * d + 1, d), pa.int32()), flat),
+                "tokens": pa.array([tokens] * d, pa.int64()),
+            }
+            yield pa.record_batch(columns)
+
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        ids = table.column("sample_id").to_numpy()
+        id_type = batch.schema.field(0).type
+        codes = batch.column(0).dictionary_encode(null_encoding="encode")
+        index = codes.indices.to_numpy(zero_copy_only=False)
         z = _vectors(table)
-        for sample in np.unique(ids):
-            part = z[ids == sample]
-            d = part.shape[1]
-            yield pa.record_batch(
-                {
-                    "sample_id": pa.array([sample] * d, pa.int64()),
-                    "i": pa.array(range(d), pa.int32()),
-                    "products": pa.array(list(part.T @ part), pa.list_(pa.float64())),
-                    "tokens": pa.array([len(part)] * d, pa.int64()),
-                }
-            )
+        for code, sample in enumerate(codes.dictionary.to_pylist()):
+            part = z[index == code]
+            held = sums.setdefault(sample, [0.0, 0])
+            held[0] = held[0] + part.T @ part
+            held[1] += len(part)
+        if len(sums) * 8 * z.shape[1] ** 2 > _HELD_BYTES:
+            yield from rows()
+    yield from rows()
 
 
 def _product_score(table: pa.Table) -> pa.Table:
@@ -119,29 +141,35 @@ def _product_score(table: pa.Table) -> pa.Table:
     return pa.table({"sample_id": table.column("sample_id")[:1], "svd_score": [logdet / t]})
 
 
-def svd_score(hidden: DataFrame, spans: DataFrame, layer: int, max_tokens: int = MAX_GRAM_TOKENS) -> DataFrame:
+def svd_score(
+    hidden: DataFrame, spans: DataFrame | None, layer: int, max_tokens: int = MAX_GRAM_TOKENS
+) -> DataFrame:
     """Mean log singular value of the ridged Gram matrix of a span's centred token vectors.
 
     The matrix is positive definite, so the mean is its log-determinant over the number of tokens.
     Samples above ``max_tokens`` are reduced to d x d sums of outer products, added up per task before
     the shuffle and then row by row of the matrix.
     """
-    layer_rows = hidden.where(F.col("layer") == layer).select(
-        F.col("sample_id").cast("bigint").alias("sample_id"), "pos", F.col("vec").cast("array<double>").alias("vec")
-    )
-    tokens = span_tokens(layer_rows, spans).select("sample_id", "vec")
-    schema = "sample_id bigint, svd_score double"
+    layer_rows = hidden.where(F.col("layer") == layer).select("sample_id", "pos", "vec")
+    if spans is not None:
+        spans, _ = broadcast_if_small(spans)
+    tokens = layer_rows if spans is None else span_tokens(layer_rows, spans)
+    tokens = tokens.select("sample_id", "vec")
+    id_type = hidden.schema["sample_id"].dataType.simpleString()
+    schema = f"sample_id {id_type}, svd_score double"
     small, large = split_by_group_size(tokens, ["sample_id"], max_tokens)
     scores = small.groupBy("sample_id").applyInArrow(_gram_score, schema)
     if large is not None:
         partial = large.mapInArrow(
-            _partial_products, "sample_id bigint, i int, products array<double>, tokens bigint"
+            _partial_products, f"sample_id {id_type}, i int, products array<double>, tokens bigint"
         )
         summed = partial.groupBy("sample_id", "i").agg(
             vector_to_array(Summarizer.sum(array_to_vector("products"))).alias("products"),
             F.sum("tokens").alias("tokens"),
         )
         scores = scores.unionByName(summed.groupBy("sample_id").applyInArrow(_product_score, schema))
+    if spans is None:
+        return scores
     # NaN for a sample that has rows in the layer but none in its span
     present = layer_rows.join(spans.select("sample_id"), "sample_id", "left_semi").select("sample_id").distinct()
     return present.join(scores, "sample_id", "left").withColumn("svd_score", F.coalesce("svd_score", F.lit(NAN)))
@@ -150,9 +178,10 @@ def svd_score(hidden: DataFrame, spans: DataFrame, layer: int, max_tokens: int =
 # -- attention diagonal -------------------------------------------------------------------------
 
 
-def own_attention() -> Column:
-    """Attention of a token to itself."""
-    return F.col("row")[F.col("pos")].cast("double")
+def own_attention(attention: DataFrame) -> Column:
+    """Attention of a token to itself: column ``own`` if the table has it, which spares reading whole rows."""
+    own = F.col("own") if "own" in attention.columns else F.col("row")[F.col("pos")]
+    return own.cast("double")
 
 
 def safe_log(x: Column) -> Column:
@@ -160,13 +189,15 @@ def safe_log(x: Column) -> Column:
     return F.when(x == 0, F.lit(-INF)).otherwise(F.ln(x))
 
 
-def attention_score(attention: DataFrame, spans: DataFrame, layer: int) -> DataFrame:
+def attention_score(attention: DataFrame, spans: DataFrame | None, layer: int) -> DataFrame:
     """Sum over heads of the mean log self-attention of the span's tokens."""
     tokens = attention.where(F.col("layer") == layer).select(
-        "sample_id", "head", "pos", safe_log(own_attention()).alias("log_own")
+        "sample_id", "head", "pos", safe_log(own_attention(attention)).alias("log_own")
     )
-    log_own = F.when(in_span(), F.col("log_own"))
-    heads = tokens.join(spans, "sample_id").groupBy("sample_id", "head").agg(F.avg(log_own).alias("head_mean"))
+    if spans is not None:
+        spans, _ = broadcast_if_small(spans)
+        tokens = tokens.join(spans, "sample_id").withColumn("log_own", F.when(in_span(), F.col("log_own")))
+    heads = tokens.groupBy("sample_id", "head").agg(F.avg("log_own").alias("head_mean"))
     # an average over no token is NaN
     total = F.sum(F.coalesce("head_mean", F.lit(NAN)))
     return heads.groupBy("sample_id").agg(total.alias("attn_eig"))
@@ -181,7 +212,7 @@ def attention_diagonal(
     )
     if sample_id is not None:
         rows = rows.where(F.col("sample_id") == sample_id)
-    return rows.select("sample_id", "pos", F.ln(own_attention() + DIAGONAL_EPSILON).alias("log_diagonal"))
+    return rows.select("sample_id", "pos", F.ln(own_attention(attention) + DIAGONAL_EPSILON).alias("log_diagonal"))
 
 
 # -- all of them --------------------------------------------------------------------------------

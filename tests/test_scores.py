@@ -101,6 +101,19 @@ def test_svd_score_equals_svd(spark, max_tokens):
     assert got == pytest.approx({i: brute_svd(m[s:e]) for (i, s, e), m in zip(where, matrices)}, rel=1e-6)
 
 
+def test_all_tokens_and_text_ids(spark):
+    """Without spans every token counts; ids may be strings."""
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(7, 3))
+    table = hidden_table(spark, [z]).withColumn("sample_id", F.lit("s"))
+    for limit in (100, 2):
+        assert by_sample(un.svd_score(table, None, 0, limit), "svd_score") == pytest.approx({"s": brute_svd(z)}, rel=1e-6)
+    logits = logits_table(spark, [[[2, 1, 0], [0, 0, 0]]])
+    assert by_sample(un.logit_entropy(logits), "logit_entropy")[0] == pytest.approx(0.3218346451, abs=1e-9)
+    diagonal = attention_table(spark).withColumn("own", F.col("row")[F.col("pos")]).drop("row")
+    assert by_sample(un.attention_score(diagonal, None, 0), "attn_eig")[0] == pytest.approx(-2.9957322736, abs=1e-9)
+
+
 def attention_table(spark):
     # the diagonals are .5 .25 and .1 .2 for sample 0; sample 1 attends nowhere at position 0
     rows = [(0, 0, 0, 0, [0.5, 0.0]), (0, 0, 0, 1, [0.75, 0.25]), (0, 0, 1, 0, [0.1, 0.0]), (0, 0, 1, 1, [0.8, 0.2]),
