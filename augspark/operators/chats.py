@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from augspark.functions.prompts import render_chat, render_message
+from augspark.functions.prompts import message, render_chat, render_message
+from augspark.operators.skew import row_numbers
 
 PART_TURNS = 256
 
@@ -12,14 +13,15 @@ PART_TURNS = 256
 def chat_parts(turns: DataFrame, key: str = "conv_id", part_turns: int = PART_TURNS) -> DataFrame:
     """Message arrays of up to ``part_turns`` consecutive turns: (key, part, messages).
 
-    Ordinary conversations make one part. A very long one is cut by turn number, so no task gets all
-    of it; its rendered parts follow each other without a separator.
+    Ordinary conversations make one part. A longer one is cut by the rank of its turns, so no task
+    gets all of it; its rendered parts follow each other without a separator.
     """
-    part = F.floor(F.col("turn") / part_turns).cast("int")
-    # (key, turn) identifies a message
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    messages = F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return turns.groupBy(key, part.alias("part")).agg(messages.alias("messages"))
+    order = [F.col("turn"), F.col("role"), F.col("text")]
+    ranked = row_numbers(turns.select(key, "turn", "role", "text"), [key], order, "_rank")
+    part = F.floor((F.col("_rank") - 1) / part_turns).cast("int")
+    ordered = F.array_sort(F.collect_list(F.struct("_rank", "role", "text")))
+    messages = F.transform(ordered, lambda m: message(m["role"], m["text"]))
+    return ranked.groupBy(key, part.alias("part")).agg(messages.alias("messages"))
 
 
 def render_conversations(turns: DataFrame, key: str = "conv_id", part_turns: int = PART_TURNS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from augspark.operators.skew import GROUP_LIMIT, global_position, join_keys, row_numbers
+from augspark.operators.skew import global_position, join_keys, row_numbers
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "guid") -> DataFrame:
@@ -22,7 +22,7 @@ def content_hash(*columns: Column) -> Column:
 
 
 def with_content_key(
-    df: DataFrame, columns: Sequence[str], order: Sequence[Column], limit: int = GROUP_LIMIT
+    df: DataFrame, columns: Sequence[str], order: Sequence[Column], limit: int | None = None
 ) -> DataFrame:
     """Identify rows by content digest and, among copies, by occurrence number (1-based)."""
     hashed = df.withColumn("content_key", content_hash(*map(F.col, columns)))

@@ -36,16 +36,16 @@ def stored_side(df: DataFrame) -> DataFrame:
 
 
 def split_by_group_size(
-    df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
+    df: DataFrame, keys: Sequence[str], limit: int | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to ``limit`` rows, and the rows of larger groups (None when there are none).
+    """Rows of groups up to ``limit`` rows (GROUP_LIMIT by default), and the rows of larger groups (None when there are none).
 
     Sizes come from a count of the key columns only, run when the plan is built. The large keys are few,
     so the rows are normally told apart where they are, without a shuffle. ``df`` is read more than
     once, so it should be a stored table, not the output of a sampling model.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    large_keys = stored_side(sizes.where(F.col("_rows") > limit).select(*keys))
+    large_keys = stored_side(sizes.where(F.col("_rows") > (limit or GROUP_LIMIT)).select(*keys))
     if large_keys.isEmpty():
         return df, None
     return join_keys(df, large_keys, keys, "left_anti"), join_keys(df, large_keys, keys, "left_semi")
@@ -76,9 +76,9 @@ def row_numbers(
     keys: Sequence[str],
     order: Sequence[Column],
     name: str = "rank",
-    limit: int = GROUP_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """``row_number()`` per key (1-based, bigint); groups above ``limit`` rows are ranked by a global sort."""
+    """``row_number()`` per key (1-based, bigint); groups above the limit are ranked by a global sort."""
     small, large = split_by_group_size(df, keys, limit)
     window = Window.partitionBy(*keys).orderBy(*order)
     ranked = small.withColumn(name, F.row_number().over(window).cast("bigint"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from augspark.operators import fewshot as fs, incremental as inc
-from augspark.plans import augment, fixtures as fx
-from augspark.plans.fixtures import FX_LABELED, SEED, first_sentence_sql, fx_labeled, stub_sql, table
+from augspark.plans import augment, classify, fixtures as fx
+from augspark.plans.fixtures import FX_LABELED, SEED, first_sentence_sql, fx_labeled, strip_sql, stub_sql, table
 from augspark.plans.registry import query
 from augspark.session import scratch_path
 from augspark.streaming.augment import augment_files
@@ -34,6 +34,21 @@ def shuffled_batches(spark, sf):
     return fs.shuffled_batches(table(spark, sf, "documents").select("doc_id"), "doc_id", seed=SEED)
 
 
+TEMPLATE = ' {"placeholder": "text_a"} {"special": "<sep>"} This topic is about {"mask"} .'
+
+
+@query(f"""with {FX_LABELED},
+picked as (select *, row_number() over (partition by label order by md5(concat('{SEED}:', doc_id)), doc_id) as r from fx_labeled),
+rows as (
+  select doc_id, label, case when r <= 10 then 'train' else 'validation' end as split, text from picked where r <= 20
+  union all select doc_id, label, 'test', text from fx_labeled),
+words as (select *, string_split_regex({strip_sql("text")}, '[ \\t\\n\\x0B\\f\\r]+') as w from rows)
+select doc_id, label, split, concat(' ', array_to_string(w[1:128], ' '), ' <sep> This topic is about [MASK] .') as prompt from words""")
+def few_shot_prompts(spark, sf):
+    labeled = fx_labeled(spark, sf)
+    return classify.few_shot_prompts(labeled, labeled, TEMPLATE, "doc_id", seed=SEED)
+
+
 # -- evaluation ---------------------------------------------------------------------------------
 
 
@@ -122,7 +137,7 @@ def unprocessed_rows(spark, sf):
 
 
 def _length_score(text, sample):
-    """Stand-in for an uncertainty score: no two samples of an input are equal under it by design of the stub."""
+    """Stand-in for an uncertainty score. The stub's samples are equally long, so the first one is chosen."""
     return F.length(sample).cast("double")
 
 

@@ -152,8 +152,9 @@ def chat_messages(spark, sf):
 
 
 @query("""
-select conv_id, (turn // 256)::integer as part, string_agg(role || chr(10) || text, '' order by turn, role, text) as rendered
-from conversations group by 1, 2""")
+with ranked as (select *, row_number() over (partition by conv_id order by turn, role, text) as r from conversations)
+select conv_id, ((r - 1) // 256)::integer as part, string_agg(role || chr(10) || text, '' order by r) as rendered
+from ranked group by 1, 2""")
 def render_conversations(spark, sf):
     return chats.render_conversations(table(spark, sf, "conversations"))
 
@@ -164,10 +165,11 @@ def render_turns(spark, sf):
 
 
 @query("""
-select conv_id, (turn // 256)::integer as part,
-  string_agg(role || chr(10) || text, '' order by turn, role, text) || 'assistant' || chr(10) || 'reply to ' || conv_id
+with ranked as (select *, row_number() over (partition by conv_id order by turn, role, text) as r from conversations)
+select conv_id, ((r - 1) // 256)::integer as part,
+  string_agg(role || chr(10) || text, '' order by r) || 'assistant' || chr(10) || 'reply to ' || conv_id
     || 'assistant' || chr(10) as rendered
-from conversations group by 1, 2""")
+from ranked group by 1, 2""")
 def append_reply(spark, sf):
     parts = chats.chat_parts(table(spark, sf, "conversations"))
     reply = F.concat(F.lit("reply to "), F.col("conv_id").cast("string"))

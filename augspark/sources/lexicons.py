@@ -13,7 +13,7 @@ _EDGE_BLANKS = r"(?m)^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$"
 def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row (lexicon, content) per file. Lexicon files hold some thousand words at most."""
     return spark.read.text(path, wholetext=True).select(
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("lexicon"), F.col("value").alias("content")
+        F.col("_metadata.file_path").alias("lexicon"), F.col("value").alias("content")
     )
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from augspark.functions.scoring import density_mode
 from augspark.operators import chats, fewshot as fs, generate as gen, incremental as inc, lexicon as lx, skew
-from augspark.plans import augment, fixtures as fx, label_words
+from augspark.operators import uncertainty as un
+from augspark.plans import augment, classify, fixtures as fx, label_words
 from augspark.sources import catalog, labeled, lexicons, sinks
 from augspark.streaming.augment import augment_files
 
@@ -91,6 +92,14 @@ def test_plans(spark):
     assert "BroadcastHashJoin" in plan(lx.word_probabilities(scores, lexicon))
 
 
+def test_layers_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "hidden")
+    rows = spark.range(20).select((F.col("id") % 4).alias("layer"), F.col("id").alias("sample_id"))
+    rows.write.partitionBy("layer").parquet(path)
+    shown = plan(un.middle_layer(spark.read.parquet(path), 4))
+    assert "PartitionFilters: [isnotnull(layer" in shown and "= 2)" in shown
+
+
 def test_scan_is_pruned(spark):
     df = fx.table(spark, "/root/testdata/sf0.001", "documents")
     shown = plan(fs.shuffled_batches(df.select("doc_id"), "doc_id"))
@@ -170,7 +179,10 @@ def test_scoring_prompts(spark):
     assert rows[1]["full_prompt"].endswith("user\nhelloassistant\naug: hello #1")
 
 
-def test_long_conversation_is_cut(spark):
+@pytest.mark.parametrize("limit", [10_000, 100])
+def test_long_conversation_is_cut(spark, monkeypatch, limit):
+    # above the group limit the turns are ranked by the global sort
+    monkeypatch.setattr(skew, "GROUP_LIMIT", limit)
     turns = spark.range(1000).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"), F.col("id").cast("string").alias("text"))
     parts = chats.render_conversations(turns.repartition(5), part_turns=300).orderBy("part").collect()
     assert [r["part"] for r in parts] == [0, 1, 2, 3]
@@ -428,6 +440,25 @@ def test_catalog(spark, tmp_path):
         catalog.read_split(spark, str(tmp_path), "LHd", "validation")
 
 
+def test_dataset_scripts(spark, tmp_path):
+    """ToxiGen shares the label words of tweets, whose lines are in the opposite class order."""
+    folder = tmp_path / "Cyberbullying" / "tweets"
+    os.makedirs(folder)
+    (folder / "adj_verbalizer.txt").write_text("bad,awful\ngood\n")
+    (folder / "manual_template.txt").write_text('zero\n {"placeholder": "text_a"} is {"mask"}\n')
+    by_class = lambda name: {
+        (r["word"], r["class_id"]) for r in catalog.dataset_lexicon(spark, str(tmp_path), name, "adj").collect()
+    }
+    assert by_class("tweets") == {("bad", 0), ("awful", 0), ("good", 1)}
+    assert by_class("ToxiGen") == {("bad", 1), ("awful", 1), ("good", 0)}
+    assert catalog.dataset_template(spark, str(tmp_path), "LHd", "manual", 1) == ' {"placeholder": "text_a"} is {"mask"}'
+
+
+def test_report(spark):
+    row = classify.report(predictions(spark, [1, 0], [1, 1]), {"dataset": "tweets", "seed": 1}).first()
+    assert (row["dataset"], row["accuracy"], row["precision"], row["recall"]) == ("tweets", 0.5, 0.5, 1.0)
+
+
 def test_lexicon_file(spark, tmp_path):
     path = tmp_path / "v.txt"
     path.write_text("like,hate speech,love\ndislike,don't like\n\n\n a , b\nc\n", encoding="utf-8")
