@@ -96,23 +96,25 @@ def is_odd_label(label: Column) -> Column:
     return ~label.isin(0, 1)
 
 
-def split_words(text: Column) -> Column:
-    """Default tokenizer: white-space separated words."""
-    return F.split(strip(text), _WORD_GAP)
+def split_words(text: Column, limit: int = -1) -> Column:
+    """Default tokenizer: white-space separated words; ``limit`` stops splitting after so many pieces."""
+    return F.split(strip(text), _WORD_GAP, limit)
 
 
 def truncate_tokens(
     text: Column,
     limit: int,
     keep: str = "first",
-    tokenizer: Callable[[Column], Column] = split_words,
+    tokenizer: Callable[[Column], Column] | None = None,
     joiner: str = " ",
 ) -> Column:
     """Keep the first or last ``limit`` tokens. ``tokenizer`` maps text to an array of strings."""
-    tokens = tokenizer(text)
     if keep == "first":
+        # the rest of a long text stays one piece, which is cut off
+        tokens = tokenizer(text) if tokenizer else split_words(text, limit + 1)
         kept = F.slice(tokens, 1, limit)
     elif keep == "last":
+        tokens = (tokenizer or split_words)(text)
         start = F.greatest(F.size(tokens) - limit, F.lit(0)) + 1
         kept = F.slice(tokens, start, limit)
     else:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from augspark.functions.scoring import softmax
+
 SEED = 144
 SAMPLES = 5
 
@@ -41,13 +43,12 @@ def fx_spans(tokens: DataFrame, start: int, end: int) -> DataFrame:
 def fx_attention(spark: SparkSession, sf: str) -> DataFrame:
     """Two heads of four tokens per sample; attention rows are softmaxed vectors."""
     v = F.col("vec_id")
-    e = F.transform("vec", lambda x: F.exp(x))
-    return vectors(spark, sf).withColumn("_e", e).select(
+    return vectors(spark, sf).select(
         F.floor(v / 8).alias("sample_id"),
         F.lit(0).alias("layer"),
         F.floor((v % 8) / 4).alias("head"),
         (v % 4).alias("pos"),
-        F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, y: a + y)).alias("row"),
+        softmax(F.col("vec")).alias("row"),
     )
 
 

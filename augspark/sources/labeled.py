@@ -20,15 +20,26 @@ PANDAS_MISSING = (
 _NEVER = "\x00"
 
 
+# Column that takes the text of records with another number of fields than expected
+_BAD_RECORD = "_bad_record"
+
+
 def read_csv_strings(
-    spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = False, multiline: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    columns: Sequence[str],
+    header: bool = False,
+    multiline: bool = True,
+    strict: bool = True,
 ) -> DataFrame:
     """Quoted CSV as strings: doubled quotes, line breaks inside quotes, empty fields kept as ''.
 
     ``multiline`` reads a file in one task, so large data should come in many files; files without
-    line breaks inside fields can be split with ``multiline=False``. A byte-order mark is skipped.
+    line breaks inside fields can be split with ``multiline=False``. A byte-order mark is skipped. A
+    record with another number of fields fails the job, or when not ``strict`` fills ``_bad_record``.
     """
-    schema = ", ".join(f"{c} string" for c in columns)
+    found = [*columns] if strict else [*columns, _BAD_RECORD]
+    schema = ", ".join(f"{c} string" for c in found)
     fields = (
         spark.read.schema(schema)
         .option("header", header)
@@ -37,13 +48,14 @@ def read_csv_strings(
         .option("escape", '"')
         .option("emptyValue", "")
         .option("nullValue", _NEVER)
-        .option("mode", "FAILFAST")
+        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _BAD_RECORD)
         .option("enforceSchema", True)
         .option("maxCharsPerColumn", -1)
         .csv(path)
     )
     # an empty field without quotes is null in any case
-    return fields.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+    return fields.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns], *found[len(columns) :])
 
 
 def missing_to_null(text: Column, na_values: Sequence[str] = PANDAS_MISSING) -> Column:
@@ -64,11 +76,14 @@ def read_labeled(
     """Two-column labelled text as (text, label INT).
 
     ``classes`` decodes class names to their position. ``na_values`` turns such fields into null, as
-    pandas does; without it all text is kept. When not ``strict``, bad labels give null for a rejects
-    table instead of failing the job.
+    pandas does; without it all text is kept. When not ``strict``, a bad label or record does not fail
+    the job: its label is null, and the text of a bad record is the whole record.
     """
-    fields = read_csv_strings(spark, path, LAYOUTS[layout], header, multiline)
+    fields = read_csv_strings(spark, path, LAYOUTS[layout], header, multiline, strict)
     text, label = F.col("text"), F.col("label")
+    if not strict:
+        bad = F.col(_BAD_RECORD)
+        text, label = F.coalesce(bad, text), F.when(bad.isNull(), label)
     if na_values is not None:
         text, label = missing_to_null(text, na_values), missing_to_null(label, na_values)
     if mask_users:

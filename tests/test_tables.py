@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from augspark.functions.scoring import density_mode
 from augspark.operators import chats, fewshot as fs, generate as gen, incremental as inc, lexicon as lx, skew
 from augspark.operators import uncertainty as un
-from augspark.plans import augment, classify, fixtures as fx, label_words
+from augspark.plans import augment, classify, datasets, fixtures as fx, label_words
 from augspark.sources import catalog, labeled, lexicons, sinks
 from augspark.streaming.augment import augment_files
 
@@ -362,6 +362,19 @@ def test_pending_rows(spark, tmp_path):
     assert sorted(got) == [(i, f"text {i} aug: text {i} #0") for i in range(30)]
 
 
+def test_dataset_is_augmented_in_place(spark, tmp_path):
+    folder = tmp_path / "Cyberbullying" / "ToxiGen"
+    os.makedirs(folder)
+    (folder / "test_no_aug.csv").write_text('0,"one, two"\n1,copy\n1,copy\n0,NA\n')
+    step = lambda d: augment.augment_best_of_n(d, fx.stub_factory, score_by_length, prompt=fx.whole_prompt).drop("sample_idx")
+    for _ in range(2):
+        datasets.augment_dataset(spark, str(tmp_path), "ToxiGen", step)
+        rows = catalog.read_split(spark, str(tmp_path), "ToxiGen", "test").collect()
+        assert sorted((r["label"], r["text"]) for r in rows) == [
+            (0, "one, two aug: one, two #0"), (1, "copy aug: copy #0"), (1, "copy aug: copy #0"),
+        ]
+
+
 def test_rejects_are_stored_once(spark, tmp_path):
     df = spark.createDataFrame([("1234567",), ("a",)], "t string")
     made = gen.generate_text(df, F.col("t"), fx.failing_factory, on_error="skip")
@@ -422,9 +435,12 @@ def test_bad_labels(spark, tmp_path):
         labeled.read_labeled(spark, str(path)).collect()
     good, bad = labeled.rejects(labeled.read_labeled(spark, str(path), strict=False))
     assert (good.count(), bad.first()["text"]) == (1, "one")
-    path.write_text("1,two,three\n")
+    path.write_text("1,two,three\n0,four\n1\n")
     with pytest.raises(Exception, match="MALFORMED"):
         labeled.read_labeled(spark, str(path)).collect()
+    for multiline in (True, False):
+        rows = labeled.read_labeled(spark, str(path), strict=False, multiline=multiline).collect()
+        assert [tuple(r) for r in rows] == [("1,two,three", None), ("four", 0), ("1", None)]
 
 
 def test_catalog(spark, tmp_path):
