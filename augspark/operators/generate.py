@@ -123,7 +123,10 @@ def generate_text(df: DataFrame, prompt: Column, factory: Factory, spread: int |
 
 
 def store_with_rejects(generated: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Write generated rows once and read them back as accepted rows and rejects (rows with an error)."""
+    """Append generated rows to a store, so that the model runs once, and read the whole store back.
+
+    Returns the accepted rows and the rejects, which are the rows with an error.
+    """
     generated.write.mode("append").parquet(path)
     stored = generated.sparkSession.read.parquet(path)
     failed = F.col("error").isNotNull()

@@ -7,6 +7,7 @@ import statistics
 
 import numpy as np
 import pytest
+from generators import counting_factory, short_factory
 from pyspark.sql import functions as F
 
 from augspark.functions.scoring import density_mode
@@ -109,16 +110,6 @@ def test_scan_is_pruned(spark):
 # -- generation ---------------------------------------------------------------------------------
 
 
-def counting_factory():
-    calls = []
-
-    def generate(prompts, sample_idx, temperature, top_p, max_new_tokens):
-        calls.append(len(prompts))
-        return [f"{len(prompts)}/{i}/{temperature}/{top_p}/{max_new_tokens}" for i in sample_idx]
-
-    return generate
-
-
 def test_batches_and_options(spark):
     df = spark.range(0, 3, 1, 1).select(F.lit("p").alias("p"))
     made = df.select(gen.generated_samples(F.col("p"), counting_factory, n_samples=2, batch_size=4, top_p=0.5).alias("s"))
@@ -139,10 +130,6 @@ def test_failures(spark):
         gen.generated_samples(F.col("t"), fx.stub_factory, on_error="ignore")
 
 
-def short_factory():
-    return lambda prompts, sample_idx, **options: []
-
-
 def test_wrong_number_of_texts(spark):
     df = spark.createDataFrame([("a",)], "t string")
     with pytest.raises(Exception, match="returned 0 texts for 1 prompts"):
