@@ -13,8 +13,11 @@ from augspark.session import cut_lineage
 GROUP_LIMIT = 10_000
 # Tables of a few numbers per row are broadcast up to this many rows
 BROADCAST_ROWS = 1_000_000
-# Leading hex digits of a hash: 16^3 buckets, which is also the size of the table of bucket counts
-HASH_DIGITS = 3
+# Leading hex digits of a hash: 16^4 buckets, which is also the size of the table of bucket counts
+HASH_DIGITS = 4
+# Keys that a frequency sketch follows; a key with more than about 4 / SKETCH_KEYS of the rows is found
+SKETCH_KEYS = 10_000
+MAX_HEAVY_KEYS = 1_000
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -51,6 +54,21 @@ def split_by_group_size(
     return join_keys(df, large_keys, keys, "left_anti"), join_keys(df, large_keys, keys, "left_semi")
 
 
+def heavy_hashes(df: DataFrame, keys: Sequence[str], limit: int) -> list[int]:
+    """Hashes of the keys that hold more than ``limit`` rows and a notable share of all rows.
+
+    Found with a frequency sketch per task, merged in two steps, so the keys are not shuffled.
+    """
+    hashed = df.select(F.xxhash64(*keys).alias("h"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("g"))
+    sketches = hashed.groupBy("g").agg(F.call_function("approx_top_k_accumulate", "h", F.lit(SKETCH_KEYS)).alias("s"))
+    merged = F.call_function("approx_top_k_combine", F.col("s"), F.lit(SKETCH_KEYS))
+    estimate = F.call_function("approx_top_k_estimate", merged, F.lit(MAX_HEAVY_KEYS))
+    # grouped by a constant, since an empty table has no sketch to merge
+    top = sketches.groupBy(F.lit("all")).agg(estimate.alias("top"))
+    found = top.select(F.inline("top")).where(F.col("count") > limit)
+    return [r["item"] for r in found.collect()]  # at most MAX_HEAVY_KEYS
+
+
 def global_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """0-based position of every row in the given order, without a single-task sort.
 
@@ -78,18 +96,21 @@ def row_numbers(
     name: str = "rank",
     limit: int | None = None,
 ) -> DataFrame:
-    """``row_number()`` per key (1-based, bigint); groups above the limit are ranked by a global sort."""
-    small, large = split_by_group_size(df, keys, limit)
+    """``row_number()`` per key (1-based, bigint).
+
+    Groups that are both above ``limit`` rows (GROUP_LIMIT by default) and a notable share of the table
+    are ranked by a global sort, the others by a window. Which way a group goes does not change its ranks.
+    """
+    heavy = heavy_hashes(df, keys, limit or GROUP_LIMIT)
     window = Window.partitionBy(*keys).orderBy(*order)
-    ranked = small.withColumn(name, F.row_number().over(window).cast("bigint"))
-    if large is None:
-        return ranked
-    placed = global_position(large, [*map(F.col, keys), *order], "_pos")
+    rank = F.row_number().over(window).cast("bigint")
+    if not heavy:
+        return df.withColumn(name, rank)
+    is_heavy = F.xxhash64(*keys).isin(heavy)
+    placed = global_position(df.where(is_heavy), [*map(F.col, keys), *order], "_pos")
     first = stored_side(placed.groupBy(*keys).agg(F.min("_pos").alias("_first")))
-    ranked_large = join_keys(placed, first, keys).select(
-        *df.columns, (F.col("_pos") - F.col("_first") + 1).alias(name)
-    )
-    return ranked.unionByName(ranked_large)
+    ranked = join_keys(placed, first, keys).select(*df.columns, (F.col("_pos") - F.col("_first") + 1).alias(name))
+    return df.where(~is_heavy).withColumn(name, rank).unionByName(ranked)
 
 
 def seeded_hash(key: Column, seed: int) -> Column:

@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 WORD_SETS_TYPE = "array<map<string,array<string>>>"
+MAX_FILE_BYTES = 16 << 20
 _EDGE_BLANKS = r"(?m)^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$"
 
 
-def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row (lexicon, content) per file. Lexicon files hold some thousand words at most."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("lexicon"), F.col("value").alias("content")
-    )
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row (lexicon, content) per file. Lexicon files hold some thousand words; huge ones are refused."""
+    files = spark.read.format("binaryFile").load(path)
+    refused = F.raise_error(F.concat(F.lit("too large for a lexicon: "), F.col("path"))).cast("binary")
+    content = F.when(F.col("length") > MAX_FILE_BYTES, refused).otherwise(F.col("content"))
+    return files.select(F.col("path").alias("lexicon"), F.decode(content, "utf-8").alias("content"))
 
 
 def parse_lexicon(files: DataFrame, name: str = "lexicon", content: str = "content") -> DataFrame:

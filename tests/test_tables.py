@@ -36,6 +36,14 @@ def test_split_by_group_size(spark):
     assert skew.split_by_group_size(df, ["k"], 10_000)[1] is None
 
 
+def test_heavy_hashes(spark):
+    df = hot_table(spark)
+    (heavy,) = skew.heavy_hashes(df, ["k"], 100)
+    assert {r["k"] for r in df.where(F.xxhash64("k") == heavy).select("k").distinct().collect()} == {-1}
+    assert skew.heavy_hashes(df, ["k"], 10_000) == []
+    assert skew.heavy_hashes(df.where("false"), ["k"], 1) == []
+
+
 @pytest.mark.parametrize("limit", [10_000, 100, 30])
 def test_row_numbers(spark, limit):
     """The rank is the same whether groups are ranked by a window or by the global sort."""
@@ -462,7 +470,7 @@ def test_report(spark):
     assert (row["dataset"], row["accuracy"], row["precision"], row["recall"]) == ("tweets", 0.5, 0.5, 1.0)
 
 
-def test_lexicon_file(spark, tmp_path):
+def test_lexicon_file(spark, tmp_path, monkeypatch):
     path = tmp_path / "v.txt"
     path.write_text("like,hate speech,love\ndislike,don't like\n\n\n a , b\nc\n", encoding="utf-8")
     rows = lexicons.read_lexicon(spark, str(path), ["x", "y"]).collect()
@@ -473,6 +481,10 @@ def test_lexicon_file(spark, tmp_path):
     assert [(r["class_id"], r["word"]) for r in second] == [(0, "a "), (0, " b"), (1, "c")]
     with pytest.raises(ValueError, match="2 classes, expected 3"):
         lexicons.read_lexicon(spark, str(path), ["x", "y", "z"])
+    monkeypatch.setattr(lexicons, "MAX_FILE_BYTES", 10)
+    with pytest.raises(Exception, match="too large for a lexicon"):
+        lexicons.read_lexicon(spark, str(path)).collect()
+    monkeypatch.undo()
     counts = lx.words_per_class(lexicons.read_lexicon(spark, str(path))).collect()
     assert {r["class_id"]: r["n_words"] for r in counts} == {0: 3, 1: 2}
 
