@@ -18,7 +18,12 @@ DEFAULT_SHOTS = 10
 
 
 def sample_shots(
-    df: DataFrame, key: str, label: str = "label", shots: int = DEFAULT_SHOTS, seed: int = 144, dev_shots: int | None = None
+    df: DataFrame,
+    key: str,
+    label: str = "label",
+    shots: int = DEFAULT_SHOTS,
+    seed: int = 144,
+    dev_shots: int | None = None,
 ) -> DataFrame:
     """Keys of ``shots`` rows per label for training and as many others for validation.
 
@@ -83,7 +88,9 @@ def best_epoch(epochs: DataFrame) -> DataFrame:
     return epochs.agg(best.alias("e")).select("e.*")
 
 
-def fit_classifier(train: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 14, max_iter: int = 20) -> PipelineModel:
+def fit_classifier(
+    train: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 14, max_iter: int = 20
+) -> PipelineModel:
     """Bag-of-words logistic regression, standing in for training a language model.
 
     It is meant for the few-shot split, but fits any table: Spark ML adds up gradients per partition.

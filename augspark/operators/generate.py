@@ -50,7 +50,9 @@ def _call(generate: Generator, prompts: list[str], numbers: list[int], options:
     return texts
 
 
-def _call_safely(generate: Generator, prompts: list[str], numbers: list[int], options: dict, on_error: str) -> Iterator[tuple]:
+def _call_safely(
+    generate: Generator, prompts: list[str], numbers: list[int], options: dict, on_error: str
+) -> Iterator[tuple]:
     """(text, error) per prompt. A failing batch is repeated prompt by prompt to find the failing ones."""
     try:
         yield from ((text, None) for text in _call(generate, prompts, numbers, options))
@@ -106,7 +108,9 @@ def generated_samples(
     return run.asNondeterministic()(prompt)
 
 
-def generate_text(df: DataFrame, prompt: Column, factory: Factory, spread: int | None = None, **settings) -> DataFrame:
+def generate_text(
+    df: DataFrame, prompt: Column, factory: Factory, spread: int | None = None, **settings
+) -> DataFrame:
     """One completion per row, in columns ``text`` and ``error``.
 
     ``spread`` redistributes the rows evenly first; use it when the input sits in few partitions.

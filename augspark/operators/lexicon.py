@@ -60,7 +60,8 @@ def score_words(words: DataFrame, anchors: Sequence[Column], vec: str = "vec") -
     placed = words.withColumns({f"_anchor{i}": anchors[i] for i in numbers})
     own = F.col(vec).cast("array<double>")
     cosines = placed.withColumns({f"cos{i}": cosine(own, F.col(f"_anchor{i}")) for i in numbers})
-    return cosines.withColumn("score", spread([F.col(f"cos{i}") for i in numbers])).drop(*[f"_anchor{i}" for i in numbers])
+    score = spread([F.col(f"cos{i}") for i in numbers])
+    return cosines.withColumn("score", score).drop(*[f"_anchor{i}" for i in numbers])
 
 
 def top_words(scored: DataFrame, n: int = TOP_WORDS, word: str = "word", pos: str = "pos") -> DataFrame:
@@ -70,7 +71,8 @@ def top_words(scored: DataFrame, n: int = TOP_WORDS, word: str = "word", pos: st
 
 def word_line(chosen: DataFrame, word: str = "word", pos: str = "pos") -> DataFrame:
     """The chosen words joined by commas, in rank order, as one lexicon line."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(pos).alias("p"), F.col(word).cast("string").alias("w"))))
+    place = F.struct((-F.col("score")).alias("s"), F.col(pos).alias("p"), F.col(word).cast("string").alias("w"))
+    ranked = F.array_sort(F.collect_list(place))
     return chosen.agg(F.array_join(F.transform(ranked, lambda r: r["w"]), ",").alias("label_words"))
 
 

@@ -41,7 +41,7 @@ def stored_side(df: DataFrame) -> DataFrame:
 def split_by_group_size(
     df: DataFrame, keys: Sequence[str], limit: int | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to ``limit`` rows (GROUP_LIMIT by default), and the rows of larger groups (None when there are none).
+    """Rows of groups up to ``limit`` rows (GROUP_LIMIT by default), and those of larger groups or None.
 
     Sizes come from a count of the key columns only, run when the plan is built. The large keys are few,
     so the rows are normally told apart where they are, without a shuffle. ``df`` is read more than
@@ -143,7 +143,9 @@ def hashed_position(df: DataFrame, key: str, seed: int, name: str = "position")
     )
 
 
-def first_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
+def first_n_per_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank"
+) -> DataFrame:
     """The first ``n`` rows of each group with their rank.
 
     Up to the optimizer's group-limit threshold every map task keeps n rows per group before the

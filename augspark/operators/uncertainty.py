@@ -226,17 +226,19 @@ def calculate_metrics(
     layer: int,
     top_k: int | None = None,
     wide: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """All three scores for every sample of ``spans``.
 
     A sample without hidden states or attention in the layer scores 0.0 there; an empty span scores
-    NaN; a sample without logits fails the job.
+    NaN. A sample without logits fails the job, or when not ``strict`` is left out, so that
+    :func:`attach_scores` treats it as failed.
     """
-    out = spans.select("sample_id").join(logit_entropy(logits, spans, top_k, wide=wide), "sample_id", "left")
-    missing = F.raise_error(F.concat(F.lit("no logits for sample "), F.col("sample_id").cast("string")))
-    out = out.withColumn(
-        "logit_entropy", F.when(F.col("logit_entropy").isNull(), missing.cast("double")).otherwise(F.col("logit_entropy"))
-    )
+    entropy = logit_entropy(logits, spans, top_k, wide=wide)
+    out = spans.select("sample_id").join(entropy, "sample_id", "left" if strict else "inner")
+    if strict:
+        missing = F.raise_error(F.concat(F.lit("no logits for sample "), F.col("sample_id").cast("string")))
+        out = out.withColumn("logit_entropy", F.coalesce("logit_entropy", missing.cast("double")))
     for table, score, name in ((hidden, svd_score, "svd_score"), (attention, attention_score, "attn_eig")):
         if table is None:
             out = out.withColumn(name, F.lit(0.0))
@@ -251,10 +253,7 @@ def attach_scores(candidates: DataFrame, scores: DataFrame, on: list[str]) -> Da
     """Scores of each candidate; a candidate without a valid one gets (inf, 0, 0) and an empty prompt."""
     joined = candidates.join(scores, on, "left")
     failed = F.col("svd_score").isNull() | F.isnan("svd_score")
-    blank = {"svd_score": F.lit(INF), "attn_eig": F.lit(0.0), "logit_entropy": F.lit(0.0)}
-    if "full_prompt" in joined.columns:
-        blank["full_prompt"] = F.lit("")
-    filled = {name: F.when(failed, value).otherwise(F.col(name)) for name, value in blank.items() if name != "svd_score"}
-    return joined.withColumns(filled).withColumn(
-        "svd_score", F.when(failed, blank["svd_score"]).otherwise(F.col("svd_score"))
+    blank = {"svd_score": INF, "attn_eig": 0.0, "logit_entropy": 0.0, "full_prompt": ""}
+    return joined.withColumns(
+        {c: F.when(failed, F.lit(x)).otherwise(F.col(c)) for c, x in blank.items() if c in joined.columns}
     )

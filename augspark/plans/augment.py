@@ -59,13 +59,12 @@ def score_slots(scores: DataFrame, key: str, n_samples: int, score: str = "svd_s
 
 def choose_rewrite(df: DataFrame, text: str = "text") -> DataFrame:
     """Pick one of ``samples`` by ``scores`` and append it to the text; rows with a null are dropped."""
-    scored = F.transform(
-        "samples",
-        lambda s: F.struct(
-            s["sample_idx"].alias("sample_idx"), s["text"].alias("text"), F.col("scores")[s["sample_idx"]].alias("score")
-        ),
-    )
-    chosen = with_best_sample(df.withColumn("samples", scored))
+
+    def scored(s: Column) -> Column:
+        score = F.col("scores")[s["sample_idx"]]
+        return F.struct(s["sample_idx"].alias("sample_idx"), s["text"].alias("text"), score.alias("score"))
+
+    chosen = with_best_sample(df.withColumn("samples", F.transform("samples", scored)))
     return (
         chosen.withColumn("sample_idx", F.col("best_sample")["sample_idx"])
         .withColumn(text, join_rewrite(F.col(text), F.col("best_sample")["text"]))
@@ -112,12 +111,21 @@ def augment_with_scores(
 
 
 def augment_pending(
-    df: DataFrame, target: str, keys: Sequence[str], step: Callable[[DataFrame], DataFrame], format: str = "parquet"
+    df: DataFrame,
+    target: str,
+    keys: Sequence[str],
+    step: Callable[[DataFrame], DataFrame],
+    format: str = "parquet",
+    batches: int = 1,
 ) -> None:
     """Run a step over the rows whose key is not in the output yet, and append the result.
 
-    A job that died is started again with the same arguments. The output keeps the key columns.
+    A job that died is started again with the same arguments. The output keeps the key columns. With
+    several ``batches`` the rows are cut by key hash and each batch is committed before the next one
+    starts, so that less model time is lost; each batch scans the input again.
     """
     written = read_written(df.sparkSession, target, format)
     rest = df if written is None else unprocessed(df, written, keys)
-    append_rows(step(rest), target, format)
+    for batch in range(batches):
+        part = rest.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == batch) if batches > 1 else rest
+        append_rows(step(part), target, format)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from augspark.functions.scoring import softmax
+from augspark.operators.generate import fan_out
 
 SEED = 144
 SAMPLES = 5
@@ -32,7 +33,9 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 def tokens_of(spark: SparkSession, sf: str, size: int, value: str) -> DataFrame:
     """Vectors as tokens of samples of ``size`` tokens each."""
     return vectors(spark, sf).select(
-        F.floor(F.col("vec_id") / size).alias("sample_id"), (F.col("vec_id") % size).alias("pos"), F.col("vec").alias(value)
+        F.floor(F.col("vec_id") / size).alias("sample_id"),
+        (F.col("vec_id") % size).alias("pos"),
+        F.col("vec").alias(value),
     )
 
 
@@ -105,7 +108,7 @@ def fx_scores(spark: SparkSession, sf: str) -> DataFrame:
     """A score for each of the five samples of every labelled document."""
     vecs = table(spark, sf, "embeddings")
     scores = vecs.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("svd_score"))
-    samples = table(spark, sf, "labels").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("sample_idx"))
+    samples = fan_out(table(spark, sf, "labels").select("doc_id"), SAMPLES)
     vec_id = (F.col("doc_id") * SAMPLES + F.col("sample_idx")) % vecs.agg(F.count("*")).scalar()
     return samples.withColumn("vec_id", vec_id).join(scores, "vec_id").select("doc_id", "sample_idx", "svd_score")
 

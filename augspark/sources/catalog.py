@@ -62,7 +62,9 @@ def find_dataset(name: str, datasets: dict[str, Dataset] = DATASETS) -> Dataset:
     return datasets[name]
 
 
-def read_split(spark: SparkSession, root: str, name: str, split: str, datasets: dict[str, Dataset] = DATASETS) -> DataFrame:
+def read_split(
+    spark: SparkSession, root: str, name: str, split: str, datasets: dict[str, Dataset] = DATASETS
+) -> DataFrame:
     """One split of a dataset as (dataset, split, text, label)."""
     known = find_dataset(name, datasets)
     if split not in known.splits:
@@ -79,7 +81,9 @@ def read_split(spark: SparkSession, root: str, name: str, split: str, datasets:
     return rows.select(F.lit(name).alias("dataset"), F.lit(split).alias("split"), "text", "label")
 
 
-def read_dataset(spark: SparkSession, root: str, name: str, datasets: dict[str, Dataset] = DATASETS) -> DataFrame:
+def read_dataset(
+    spark: SparkSession, root: str, name: str, datasets: dict[str, Dataset] = DATASETS
+) -> DataFrame:
     """All splits of a dataset."""
     splits = find_dataset(name, datasets).splits
     return reduce(DataFrame.unionByName, [read_split(spark, root, name, s, datasets) for s in splits])

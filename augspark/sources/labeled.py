@@ -92,7 +92,9 @@ def read_labeled(
     return fields.select(text.alias("text"), decoded.alias("label"))
 
 
-def read_augmentation_input(spark: SparkSession, path: str | list[str], na_values: Sequence[str] = PANDAS_MISSING) -> DataFrame:
+def read_augmentation_input(
+    spark: SparkSession, path: str | list[str], na_values: Sequence[str] = PANDAS_MISSING
+) -> DataFrame:
     """Headerless class and text with missing values; the class is kept as it is."""
     fields = read_csv_strings(spark, path, ("cyberbullying_type", "tweet_text"))
     return fields.select(*[missing_to_null(F.col(c), na_values).alias(c) for c in fields.columns])

@@ -43,7 +43,10 @@ def write_labeled_csv(df: DataFrame, path: str, header: bool = False) -> None:
 
 
 def clean_text_file(spark: SparkSession, source: str, target: str) -> None:
-    """Rewrite a text file line by line with the commas cleaned."""
+    """Rewrite a text file line by line with the commas cleaned.
+
+    The lines of a large file end up in several files, so read the result as headerless.
+    """
     lines = spark.read.text(source)
     lines.select(clean_commas(F.col("value")).alias("value")).write.mode("overwrite").text(target)
 
@@ -55,11 +58,10 @@ def run_record(config: dict, metrics: DataFrame) -> DataFrame:
 
 def record_text(record: DataFrame) -> DataFrame:
     """The record as text: settings on one line, metrics on the next."""
-    settings = [F.concat(F.lit(f"{key} "), F.col(c).cast("string")) for key, c in RECORD_SETTINGS if c in record.columns]
-    scores = [F.concat(F.lit(f"{key}: "), F.col(c).cast("string")) for key, c in RECORD_METRICS]
-    text = F.concat(
-        F.lit(RECORD_RULE + "\n"), F.concat_ws("\t", *settings), F.lit("\t \n"), F.concat_ws("\t", *scores), F.lit("\n\n")
-    )
+    known = [(key, c) for key, c in RECORD_SETTINGS if c in record.columns]
+    settings = F.concat_ws("\t", *[F.concat(F.lit(f"{key} "), F.col(c).cast("string")) for key, c in known])
+    scores = F.concat_ws("\t", *[F.concat(F.lit(f"{key}: "), F.col(c).cast("string")) for key, c in RECORD_METRICS])
+    text = F.concat(F.lit(RECORD_RULE + "\n"), settings, F.lit("\t \n"), scores, F.lit("\n\n"))
     return record.select(text.alias("record"))
 
 

@@ -156,6 +156,8 @@ def test_missing_logits_fail(spark):
     logits = logits_table(spark, [[[2, 1]]])
     with pytest.raises(Exception, match="no logits for sample 7"):
         un.calculate_metrics(spans(spark, [(7, 0, 1)]), logits, None, None, layer=0).collect()
+    tolerant = un.calculate_metrics(spans(spark, [(7, 0, 1), (0, 0, 1)]), logits, None, None, layer=0, strict=False)
+    assert [r["sample_id"] for r in tolerant.collect()] == [0]
 
 
 def test_span_and_layer(spark):

@@ -357,6 +357,24 @@ def test_pending_rows(spark, tmp_path):
     assert sorted(got) == [(i, f"text {i} aug: text {i} #0") for i in range(30)]
 
 
+def test_finished_batches_survive_a_failure(spark, tmp_path):
+    target = str(tmp_path / "out")
+    df = spark.range(60).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    good = lambda d: augment.augment_best_of_n(d, fx.stub_factory, score_by_length, prompt=fx.whole_prompt)
+    calls = []
+
+    def third_batch_fails(part):
+        calls.append(1)
+        return good(part) if len(calls) < 3 else good(part).withColumn("text", F.raise_error(F.lit("lost")).cast("string"))
+
+    with pytest.raises(Exception, match="lost"):
+        augment.augment_pending(df, target, ["id"], third_batch_fails, batches=5)
+    kept = inc.written_rows(spark, target)
+    assert 0 < kept < 60
+    augment.augment_pending(df, target, ["id"], good, batches=5)
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == list(range(60))
+
+
 def test_dataset_is_augmented_in_place(spark, tmp_path):
     folder = tmp_path / "Cyberbullying" / "ToxiGen"
     os.makedirs(folder)
