@@ -17,14 +17,14 @@ USER_MASK_REPLACEMENT = "某人"
 
 MAX_INPUT_CHARS = 500
 
-# Unicode white space plus the four ASCII separators that Python's str.strip() also removes.
-_STRIP = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# All characters that Python's str.strip() removes; the last one is the ideographic space, U+3000
+WHITE_SPACE = "".join(filter(str.isspace, map(chr, range(0x3001))))
 _WORD_GAP = r"[ \t\n\x0B\f\r]+"
 
 
 def strip(text: Column) -> Column:
-    """Remove leading and trailing Unicode white space (Spark's ``trim`` only removes blanks)."""
-    return F.regexp_replace(text, _STRIP, "")
+    """Remove leading and trailing Unicode white space (Spark's plain ``trim`` only removes blanks)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def clean_commas(line: Column) -> Column:

@@ -27,10 +27,10 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint for a table of up to ``limit`` rows, given after counting them, and whether it fits."""
-    fits = df.count() <= limit
-    return (F.broadcast(df) if fits else df), fits
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """A table with a broadcast hint if it has up to ``limit`` rows, and its number of rows."""
+    rows = df.count()
+    return (F.broadcast(df) if rows <= limit else df), rows
 
 
 def stored_side(df: DataFrame) -> DataFrame:
@@ -48,8 +48,9 @@ def split_by_group_size(
     once, so it should be a stored table, not the output of a sampling model.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    large_keys = stored_side(sizes.where(F.col("_rows") > (limit or GROUP_LIMIT)).select(*keys))
-    if large_keys.isEmpty():
+    large_keys = cut_lineage(sizes.where(F.col("_rows") > (limit or GROUP_LIMIT)).select(*keys))
+    large_keys, rows = broadcast_if_small(large_keys)
+    if rows == 0:
         return df, None
     return join_keys(df, large_keys, keys, "left_anti"), join_keys(df, large_keys, keys, "left_semi")
 

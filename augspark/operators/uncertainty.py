@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from augspark.functions.scoring import INF, NAN, top_entropy, top_entropy_arrow
-from augspark.operators.skew import broadcast_if_small, split_by_group_size
+from augspark.operators.skew import BROADCAST_ROWS, broadcast_if_small, split_by_group_size
 
 # Fixed values of the metrics
 RIDGE = 0.001
@@ -61,10 +61,10 @@ def logit_entropy(
     entropy = (top_entropy_arrow if wide else top_entropy)(F.col("logits"), top_k)
     width = F.size("logits") if top_k is None else F.least(F.size("logits"), F.lit(top_k))
     weight = {"mean": width, "sum": F.lit(1)}[normalize]
-    spans, fits = broadcast_if_small(spans) if spans is not None else (None, False)
+    spans, rows = broadcast_if_small(spans) if spans is not None else (None, 0)
     if spans is None:
         scored = logits.select("sample_id", entropy.alias("h"), weight.alias("w"))
-    elif fits:
+    elif rows <= BROADCAST_ROWS:
         # no shuffle before the aggregate, and tokens outside their span are not scored
         inside = logits.join(spans, "sample_id").withColumn("logits", F.when(in_span(), F.col("logits")))
         scored = inside.select("sample_id", entropy.alias("h"), weight.alias("w"))
