@@ -31,15 +31,25 @@ def fan_out(df: DataFrame, n_samples: int = DEFAULT_SAMPLES) -> DataFrame:
     return df.withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
 
 
-def regroup(df: DataFrame, key: str, values: Sequence[str], n_samples: int = DEFAULT_SAMPLES) -> DataFrame:
-    """Back to one row per input: an array with one slot per sample number.
+def into_slots(df: DataFrame, key: str, value: Column, n_samples: int, name: str) -> DataFrame:
+    """One row per key: an array with one slot per sample number, null where there is no value.
 
-    (key, sample_idx) is unique. Each slot is an aggregate of its own, so a key never holds more than
-    ``n_samples`` structs, and rows are combined before the shuffle.
+    Each slot is an aggregate of its own, so a key never holds more than ``n_samples`` values, and rows
+    are combined before the shuffle. A repeated sample number, or one out of range, fails the job.
     """
-    value = F.struct("sample_idx", *values)
-    slots = [F.first(F.when(F.col("sample_idx") == i, value), ignorenulls=True) for i in range(n_samples)]
-    grouped = df.groupBy(key).agg(F.array(*slots).alias("samples"))
+    numbers = range(n_samples)
+    slots = [F.first(F.when(F.col("sample_idx") == i, value), ignorenulls=True) for i in numbers]
+    filled = [F.max(F.when(F.col("sample_idx") == i, 1).otherwise(0)) for i in numbers]
+    grouped = df.groupBy(key).agg(
+        F.array(*slots).alias("_slots"), (sum(filled[1:], filled[0]) == F.count("*")).alias("_whole")
+    )
+    message = F.concat(F.lit("repeated or unexpected sample number for "), F.col(key).cast("string"))
+    return grouped.select(key, F.when(F.col("_whole"), F.col("_slots")).otherwise(F.raise_error(message)).alias(name))
+
+
+def regroup(df: DataFrame, key: str, values: Sequence[str], n_samples: int = DEFAULT_SAMPLES) -> DataFrame:
+    """Back to one row per input, with its samples as an array in order; (key, sample_idx) is unique."""
+    grouped = into_slots(df, key, F.struct("sample_idx", *values), n_samples, "samples")
     return grouped.withColumn("samples", F.filter("samples", lambda s: s.isNotNull()))
 
 

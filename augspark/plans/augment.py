@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from augspark.functions.prompts import append_reply, chat_messages, render_chat
 from augspark.functions.scoring import let
 from augspark.functions.text import drop_end_marker, join_rewrite, sentence_of, truncate_chars
-from augspark.operators.generate import DEFAULT_SAMPLES, Factory, generated_samples
+from augspark.operators.generate import DEFAULT_SAMPLES, Factory, generated_samples, into_slots
 from augspark.operators.incremental import read_written, unprocessed
 from augspark.operators.select import with_best_sample
 from augspark.sources.sinks import append_rows
@@ -49,12 +49,8 @@ def scoring_prompts(df: DataFrame, key: str, text: str = "text", lang: Column |
 
 
 def score_slots(scores: DataFrame, key: str, n_samples: int, score: str = "svd_score") -> DataFrame:
-    """Scores of an input as an array by sample number, null where one is missing.
-
-    (key, sample_idx) is unique. Each slot is a plain aggregate, combined before the shuffle.
-    """
-    slots = [F.min(F.when(F.col("sample_idx") == i, F.col(score))) for i in range(n_samples)]
-    return scores.groupBy(key).agg(F.array(*slots).alias("scores"))
+    """Scores of an input as an array by sample number, null where one is missing."""
+    return into_slots(scores, key, F.col(score), n_samples, "scores")
 
 
 def choose_rewrite(df: DataFrame, text: str = "text") -> DataFrame:

@@ -150,6 +150,9 @@ def test_regroup_and_spread(spark):
     for r in rows:
         expected = [r["key"] * 10 + i for i in range(3) if r["key"] * 10 + i != 11]
         assert [s["x"] for s in r["samples"]] == expected
+    for wrong in (df.union(df.limit(1)), df.withColumn("sample_idx", F.col("sample_idx") + 1)):
+        with pytest.raises(Exception, match="sample number for"):
+            gen.regroup(wrong, "key", ["x"], 3).collect()
     spread = gen.generate_text(spark.range(100).coalesce(1), F.col("id").cast("string"), fx.stub_factory, spread=4)
     assert spread.rdd.getNumPartitions() == 4
 
@@ -339,6 +342,9 @@ def test_resume_is_idempotent(spark, tmp_path):
         rest = inc.unprocessed(df, spark.read.parquet(path), ["unique_id"])
         sinks.append_rows(rest, path)
         assert inc.written_rows(spark, path) == 200
+    lines = df.select(F.concat_ws("\n", F.lit("two"), F.lit("lines, and a comma")).alias("text"), "unique_id")
+    sinks.append_rows(lines, path + "-csv", "csv")
+    assert inc.written_rows(spark, path + "-csv", "csv", header=True, multiLine=True, escape='"') == 200
     nulls = spark.createDataFrame([(None,), (1,)], "k int")
     assert inc.unprocessed(nulls, nulls.where("k is null"), ["k"]).collect()[0]["k"] == 1
 
