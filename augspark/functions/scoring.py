@@ -11,6 +11,9 @@ from pyspark.sql import Column, functions as F
 INF = float("inf")
 NAN = float("nan")
 
+# Fixed value: ridge added to the diagonal of a Gram matrix
+RIDGE = 0.001
+
 # Fixed values of the selection rule
 GRID_POINTS = 500
 GRID_MARGIN = 0.5
@@ -102,6 +105,62 @@ def top_entropy_arrow(logits: Column, top_k: int | None = None) -> Column:
     return entropy(logits)
 
 
+def mean_token_entropy(tokens: Column, top_k: int | None = None) -> Column:
+    """Mean over tokens and entries of the entropies of an array of logit arrays; NaN without tokens."""
+    width = F.size(tokens[0]) if top_k is None else F.least(F.size(tokens[0]), F.lit(top_k))
+    entropies = total(F.transform(tokens, lambda t: top_entropy(t, top_k)))
+    return F.when(F.size(tokens) > 0, entropies / (F.size(tokens) * width)).when(tokens.isNotNull(), F.lit(NAN))
+
+
+# -- log-determinant and attention --------------------------------------------------------------
+
+
+def safe_log(x: Column) -> Column:
+    """Logarithm with log 0 = -inf instead of null."""
+    return F.when(x == 0, F.lit(-INF)).otherwise(F.ln(x))
+
+
+def mean_log_singular_value(z: np.ndarray) -> np.ndarray:
+    """Mean log singular value of the ridged Gram matrix of centred token vectors, for a stack of samples.
+
+    The matrix is positive definite, so this is its log-determinant over the number of tokens. With
+    more tokens than features the smaller matrix is used: det(ZZ' + aI_t) = a^(t-d) det(Z'Z + aI_d).
+    """
+    tokens, features = z.shape[-2:]
+    z = z - z.mean(axis=-1, keepdims=True)
+    turned = z.swapaxes(-1, -2)
+    gram = z @ turned if tokens <= features else turned @ z
+    size = min(tokens, features)
+    logdet = np.linalg.slogdet(gram + RIDGE * np.eye(size))[1] + (tokens - size) * np.log(RIDGE)
+    return logdet / tokens
+
+
+def log_det_score(vectors: Column) -> Column:
+    """:func:`mean_log_singular_value` of each row's array of token vectors; NaN without tokens."""
+
+    @F.arrow_udf("double")
+    def scores(column: pa.Array) -> pa.Array:
+        lengths = np.asarray(column.value_lengths().fill_null(0))
+        out = np.full(len(column), np.nan)
+        for tokens in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == tokens)
+            flat = column.take(pa.array(at)).flatten().flatten().to_numpy(zero_copy_only=False)
+            out[at] = mean_log_singular_value(flat.astype(np.float64, copy=False).reshape(len(at), tokens, -1))
+        return pa.array(out, mask=np.asarray(column.is_null()))
+
+    return scores(vectors)
+
+
+def self_attention_score(heads: Column) -> Column:
+    """Sum over heads of the mean log self-attention; one array of token values per head."""
+
+    def head_mean(values: Column) -> Column:
+        logs = total(F.transform(values, lambda x: safe_log(x.cast("double"))))
+        return F.when(F.size(values) > 0, logs / F.size(values)).otherwise(F.lit(NAN))
+
+    return total(F.transform(heads, head_mean))
+
+
 # -- kernel-density mode ------------------------------------------------------------------------
 
 

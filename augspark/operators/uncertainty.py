@@ -16,11 +16,21 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from augspark.functions.scoring import INF, NAN, top_entropy, top_entropy_arrow
+from augspark.functions.scoring import (
+    INF,
+    NAN,
+    RIDGE,
+    log_det_score,
+    mean_log_singular_value,
+    mean_token_entropy,
+    safe_log,
+    self_attention_score,
+    top_entropy,
+    top_entropy_arrow,
+)
 from augspark.operators.skew import BROADCAST_ROWS, broadcast_if_small, split_by_group_size
 
 # Fixed values of the metrics
-RIDGE = 0.001
 DIAGONAL_EPSILON = 1e-12
 DEFAULT_TOP_K = 50
 
@@ -50,14 +60,17 @@ def logit_entropy(
     spans: DataFrame | None = None,
     top_k: int | None = None,
     normalize: str = "mean",
-    wide: bool = False,
+    wide: bool | None = None,
 ) -> DataFrame:
     """Mean of -p log p over the tokens of a span and the ``top_k`` entries of each.
 
-    ``normalize='sum'`` gives the plain entropy averaged over tokens instead. ``wide=True`` selects the
-    largest logits without sorting them all. A sample whose span is empty gets NaN; a sample without
+    ``normalize='sum'`` gives the plain entropy averaged over tokens instead. ``wide`` sends the logits
+    to Python in Arrow batches and selects the largest without sorting them all, which is the faster way
+    at any width and so the default when there is a ``top_k``. A sample whose span is empty gets NaN; a sample without
     any logits is not returned.
     """
+    if wide is None:
+        wide = top_k is not None
     entropy = (top_entropy_arrow if wide else top_entropy)(F.col("logits"), top_k)
     width = F.size("logits") if top_k is None else F.least(F.size("logits"), F.lit(top_k))
     weight = {"mean": width, "sum": F.lit(1)}[normalize]
@@ -81,16 +94,14 @@ def logit_entropy(
 
 
 def _vectors(table: pa.Table) -> np.ndarray:
-    """Token vectors as rows, each centred over its own features."""
+    """Token vectors as rows."""
     flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    z = flat.astype(np.float64, copy=False).reshape(table.num_rows, -1)
-    return z - z.mean(axis=1, keepdims=True)
+    return flat.astype(np.float64, copy=False).reshape(table.num_rows, -1)
 
 
 def _gram_score(table: pa.Table) -> pa.Table:
-    z = _vectors(table)
-    gram = z @ z.T + RIDGE * np.eye(len(z))
-    return pa.table({"sample_id": table.column("sample_id")[:1], "svd_score": [np.linalg.slogdet(gram)[1] / len(z)]})
+    score = mean_log_singular_value(_vectors(table))
+    return pa.table({"sample_id": table.column("sample_id")[:1], "svd_score": [score]})
 
 
 # Bytes of d x d sums that a task holds at once
@@ -121,6 +132,7 @@ def _partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         codes = batch.column(0).dictionary_encode(null_encoding="encode")
         index = codes.indices.to_numpy(zero_copy_only=False)
         z = _vectors(table)
+        z = z - z.mean(axis=1, keepdims=True)
         for code, sample in enumerate(codes.dictionary.to_pylist()):
             part = z[index == code]
             held = sums.setdefault(sample, [0.0, 0])
@@ -146,7 +158,6 @@ def svd_score(
 ) -> DataFrame:
     """Mean log singular value of the ridged Gram matrix of a span's centred token vectors.
 
-    The matrix is positive definite, so the mean is its log-determinant over the number of tokens.
     Samples above ``max_tokens`` are reduced to d x d sums of outer products, added up per task before
     the shuffle and then row by row of the matrix.
     """
@@ -184,11 +195,6 @@ def own_attention(attention: DataFrame) -> Column:
     return own.cast("double")
 
 
-def safe_log(x: Column) -> Column:
-    """Logarithm with log 0 = -inf instead of null."""
-    return F.when(x == 0, F.lit(-INF)).otherwise(F.ln(x))
-
-
 def attention_score(attention: DataFrame, spans: DataFrame | None, layer: int) -> DataFrame:
     """Sum over heads of the mean log self-attention of the span's tokens."""
     tokens = attention.where(F.col("layer") == layer).select(
@@ -225,7 +231,7 @@ def calculate_metrics(
     attention: DataFrame | None,
     layer: int,
     top_k: int | None = None,
-    wide: bool = False,
+    wide: bool | None = None,
     strict: bool = True,
 ) -> DataFrame:
     """All three scores for every sample of ``spans``.
@@ -249,6 +255,29 @@ def calculate_metrics(
     return out.select("sample_id", "svd_score", "attn_eig", "logit_entropy")
 
 
+def in_array_span(values: Column, start: Column, end: Column) -> Column:
+    """Entries ``[start, end)`` of an array by token."""
+    return F.slice(values, start + 1, F.greatest(end - start, F.lit(0)))
+
+
+def metrics_from_arrays(df: DataFrame, top_k: int | None = None) -> DataFrame:
+    """All three scores where each sample is one row; nothing is shuffled, so it works on streams.
+
+    Columns: ``start`` and ``end`` of the span, ``logits`` (logits per token), ``vectors`` (hidden state of
+    one layer per token) and ``own`` (self-attention per head and token). Null vectors or attention score
+    0.0, an empty span NaN.
+    """
+    start, end = F.col("start"), F.col("end")
+    span = lambda values: in_array_span(values, start, end)
+    return df.withColumns(
+        {
+            "svd_score": F.coalesce(log_det_score(span(F.col("vectors"))), F.lit(0.0)),
+            "attn_eig": F.coalesce(self_attention_score(F.transform("own", span)), F.lit(0.0)),
+            "logit_entropy": mean_token_entropy(span(F.col("logits")), top_k),
+        }
+    ).drop("start", "end", "logits", "vectors", "own")
+
+
 def attach_scores(candidates: DataFrame, scores: DataFrame, on: list[str]) -> DataFrame:
     """Scores of each candidate; a candidate without a valid one gets (inf, 0, 0) and an empty prompt."""
     joined = candidates.join(scores, on, "left")

@@ -149,15 +149,12 @@ def stream_augmentation(spark, sf):
     source = scratch_path(spark, "stream-in")
     target = scratch_path(spark, "stream-out")
     inputs = fx_labeled(spark, sf).select("doc_id", "label", "text")
-    inputs.repartition(4, "doc_id").write.parquet(source)
+    inputs.write.parquet(source)
 
     def step(files):
         return augment.augment_best_of_n(
             files, fx.stub_factory, _length_score, prompt=fx.whole_prompt
         )
 
-    running = augment_files(
-        spark, source, inputs.schema, target, scratch_path(spark, "stream-state"), step, files_per_batch=2
-    )
-    running.awaitTermination()
+    augment_files(spark, source, inputs.schema, target, scratch_path(spark, "stream-state"), step).awaitTermination()
     return spark.read.parquet(target).select("doc_id", "label", "sample_idx", "text")

@@ -162,7 +162,7 @@ def _entropy(spark, sf, start, end, **settings):
 
 @query(_entropy_sql("vec_id % 5 >= 1", "r <= 10", "avg(-p * ln(p))"))
 def logit_entropy_top_k(spark, sf):
-    return _entropy(spark, sf, 1, 5, top_k=10)
+    return _entropy(spark, sf, 1, 5, top_k=10, wide=False)
 
 
 @query(_entropy_sql("true", "true", "avg(-p * ln(p))"))
@@ -242,6 +242,24 @@ def calculate_metrics(spark, sf):
     return _metrics(spark, sf).select("sample_id", *[F.round(n, 6).alias(n) for n in names])
 
 
+@query(f"""with {_METRICS_SQL} select sample_id, round(svd_score, 6) as svd_score, round(attn_eig, 6) as attn_eig,
+  round(logit_entropy, 6) as logit_entropy from metrics""")
+def metrics_from_arrays(spark, sf):
+    """The same scores with one row per sample, scored without a shuffle once the fixture is grouped."""
+    tokens = tokens_of(spark, sf, 4, "vec").withColumnRenamed("pos", "sample_idx")
+    rows = gen.into_slots(tokens, "sample_id", F.col("vec"), 4, "vectors")
+    own = fx.fx_attention(spark, sf).withColumn("own", F.col("row")[F.col("pos")])
+    heads = own.withColumn("sample_idx", F.col("head") * 4 + F.col("pos"))
+    flat = gen.into_slots(heads, "sample_id", F.col("own"), 8, "flat")
+    both = F.array(F.slice("flat", 1, 4), F.slice("flat", 5, 4))
+    by_head = flat.select("sample_id", F.filter(both, lambda h: h[0].isNotNull()).alias("own"))
+    samples = rows.join(by_head, "sample_id", "left").withColumns(
+        {"logits": F.col("vectors"), "start": F.lit(1), "end": F.lit(4)}
+    )
+    names = ("svd_score", "attn_eig", "logit_entropy")
+    return un.metrics_from_arrays(samples, top_k=50).select("sample_id", *[F.round(n, 6).alias(n) for n in names])
+
+
 @query(f"""with {_METRICS_SQL}
 select l.doc_id, m.sample_id is null as failed, round(m.svd_score, 6) as finite_svd, round(coalesce(m.attn_eig, 0.0), 6) as attn_eig,
   round(coalesce(m.logit_entropy, 0.0), 6) as logit_entropy

@@ -114,6 +114,27 @@ def test_all_tokens_and_text_ids(spark):
     assert by_sample(un.attention_score(diagonal, None, 0), "attn_eig")[0] == pytest.approx(-2.9957322736, abs=1e-9)
 
 
+def test_metrics_from_arrays(spark):
+    rng = np.random.default_rng(8)
+    z = [rng.normal(size=(t, 3)).tolist() for t in (5, 2, 9)]
+    rows = [
+        (0, 1, 5, [[2.0, 1.0, 0.0]] * 5, z[0], [[0.5, 0.25, 0.5, 1.0, 0.1]] * 2),
+        (1, 2, 2, [[1.0, 1.0, 1.0]] * 2, z[1], [[0.5, 0.0]]),
+        (2, 0, 9, [[0.0, 0.0]] * 9, z[2], None),
+        (3, 0, 1, [[0.0, 0.0]], None, [[0.0]]),
+    ]
+    schema = "sample_id bigint, start int, end int, logits array<array<double>>, vectors array<array<float>>, own array<array<double>>"
+    got = {r["sample_id"]: r for r in un.metrics_from_arrays(spark.createDataFrame(rows, schema)).collect()}
+    assert got[0]["svd_score"] == pytest.approx(brute_svd(np.float32(z[0])[1:5]), rel=1e-6)
+    assert got[0]["attn_eig"] == pytest.approx(2 * np.log([0.25, 0.5, 1.0, 0.1]).mean())
+    p = np.exp([2, 1, 0]) / np.exp([2, 1, 0]).sum()
+    assert got[0]["logit_entropy"] == pytest.approx(-(p * np.log(p)).mean())
+    assert all(math.isnan(got[1][n]) for n in ("svd_score", "attn_eig", "logit_entropy"))
+    assert got[2]["svd_score"] == pytest.approx(brute_svd(np.float32(z[2])), rel=1e-6)
+    assert (got[2]["attn_eig"], got[3]["svd_score"], got[3]["attn_eig"]) == (0.0, 0.0, -INF)
+    assert got[2]["logit_entropy"] == pytest.approx(np.log(2) / 2)
+
+
 def attention_table(spark):
     # the diagonals are .5 .25 and .1 .2 for sample 0; sample 1 attends nowhere at position 0
     rows = [(0, 0, 0, 0, [0.5, 0.0]), (0, 0, 0, 1, [0.75, 0.25]), (0, 0, 1, 0, [0.1, 0.0]), (0, 0, 1, 1, [0.8, 0.2]),
