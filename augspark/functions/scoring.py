@@ -22,7 +22,11 @@ DEFAULT_BANDWIDTH = 0.1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    Columns that may come from a Python function go in through ``value`` (several of them as a struct),
+    since a Python function cannot be evaluated inside a lambda.
+    """
     return F.transform(F.array(value), body)[0]
 
 

@@ -53,11 +53,15 @@ def regroup(df: DataFrame, key: str, values: Sequence[str], n_samples: int = DEF
     return grouped.withColumn("samples", F.filter("samples", lambda s: s.isNotNull()))
 
 
+def _checked(results: Sequence, prompts: list[str]) -> list:
+    results = list(results)
+    if len(results) != len(prompts):
+        raise ValueError(f"got {len(results)} results for {len(prompts)} prompts")
+    return results
+
+
 def _call(generate: Generator, prompts: list[str], numbers: list[int], options: dict) -> list[str]:
-    texts = list(generate(prompts, sample_idx=numbers, **options))
-    if len(texts) != len(prompts):
-        raise ValueError(f"generator returned {len(texts)} texts for {len(prompts)} prompts")
-    return texts
+    return _checked(generate(prompts, sample_idx=numbers, **options), prompts)
 
 
 def _call_safely(
@@ -118,6 +122,44 @@ def generated_samples(
     return run.asNondeterministic()(prompt)
 
 
+def sample_scores(
+    opening: Column, replies: Column, factory: Factory, batch_size: int = DEFAULT_BATCH_SIZE
+) -> Column:
+    """Score of each reply of an array, from a function that takes a batch of conversations.
+
+    A conversation is ``opening`` followed by the reply; the opening is sent once per input. Where the
+    function fails, even on a single conversation, the score is null and counts as failed. Null replies
+    are not scored.
+    """
+
+    @F.arrow_udf("array<double>")
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        scorer = factory()
+
+        def scored(prompts: list[str]) -> list[float | None]:
+            try:
+                return [float(x) for x in _checked(scorer(prompts), prompts)]
+            except Exception:
+                return [None] if len(prompts) == 1 else [x for p in prompts for x in scored([p])]
+
+        for openings, arrays in columns:
+            rows = [
+                None if opening is None or texts is None else [None if t is None else opening + t for t in texts]
+                for opening, texts in zip(openings.to_pylist(), arrays.to_pylist())
+            ]
+            asked = [p for row in rows if row is not None for p in row if p is not None]
+            results: list[float | None] = []
+            for at in range(0, len(asked), batch_size):
+                results.extend(scored(asked[at : at + batch_size]))
+            found = iter(results)
+            yield pa.array(
+                [None if row is None else [None if p is None else next(found) for p in row] for row in rows],
+                type=pa.list_(pa.float64()),
+            )
+
+    return run.asNondeterministic()(opening, replies)
+
+
 def generate_text(
     df: DataFrame, prompt: Column, factory: Factory, spread: int | None = None, **settings
 ) -> DataFrame:

@@ -168,7 +168,7 @@ def collect_lexicon(lexicon: DataFrame) -> LexiconArrays:
 def lexicon_logits(logits: Column, lexicon: LexiconArrays) -> Column:
     """The scores of the lexicon's words, picked from the scores of the whole vocabulary."""
     words = F.lit(list(lexicon.words)).cast("array<int>")
-    return F.transform(words, lambda w: F.element_at(logits, w + 1).cast("double"))
+    return let(logits, lambda scores: F.transform(words, lambda w: F.element_at(scores, w + 1).cast("double")))
 
 
 def array_prior(support: DataFrame, lexicon: LexiconArrays, logits: str = "logits") -> Column:

@@ -17,6 +17,7 @@ from augspark.functions.scoring import (
     bandwidth,
     density_mode_arrow,
     is_valid_score,
+    let,
     ordering_score,
 )
 from augspark.operators.skew import join_keys, row_numbers, split_by_group_size, stored_side
@@ -40,14 +41,12 @@ def _distance(score: Column, mode: Column) -> Column:
 
 def nearest_sample(samples: Column, mode: Column) -> Column:
     """The sample nearest to the mode, else the one of lowest score; the earlier one on ties."""
-    return F.array_min(
-        F.transform(
-            samples,
-            lambda s: F.struct(
-                _distance(s["score"], mode).alias("d"), s["sample_idx"].alias("i"), s.alias("s")
-            ),
-        )
-    )["s"]
+
+    def placed(s: Column, mode: Column) -> Column:
+        return F.struct(_distance(s["score"], mode).alias("d"), s["sample_idx"].alias("i"), s.alias("s"))
+
+    given = F.struct(samples.alias("samples"), mode.alias("mode"))
+    return let(given, lambda g: F.array_min(F.transform(g["samples"], lambda s: placed(s, g["mode"]))))["s"]
 
 
 def with_best_sample(df: DataFrame, samples: str = "samples", name: str = "best_sample") -> DataFrame:

@@ -20,6 +20,7 @@ from augspark.functions.scoring import (
     INF,
     NAN,
     RIDGE,
+    let,
     log_det_score,
     mean_log_singular_value,
     mean_token_entropy,
@@ -268,12 +269,16 @@ def metrics_from_arrays(df: DataFrame, top_k: int | None = None) -> DataFrame:
     0.0, an empty span NaN.
     """
     start, end = F.col("start"), F.col("end")
-    span = lambda values: in_array_span(values, start, end)
+    own = let(
+        F.struct("own", "start", "end"),
+        lambda g: F.transform(g["own"], lambda values: in_array_span(values, g["start"], g["end"])),
+    )
+    logits = in_array_span(F.col("logits"), start, end)
     return df.withColumns(
         {
-            "svd_score": F.coalesce(log_det_score(span(F.col("vectors"))), F.lit(0.0)),
-            "attn_eig": F.coalesce(self_attention_score(F.transform("own", span)), F.lit(0.0)),
-            "logit_entropy": mean_token_entropy(span(F.col("logits")), top_k),
+            "svd_score": F.coalesce(log_det_score(in_array_span(F.col("vectors"), start, end)), F.lit(0.0)),
+            "attn_eig": F.coalesce(self_attention_score(own), F.lit(0.0)),
+            "logit_entropy": let(logits, lambda tokens: mean_token_entropy(tokens, top_k)),
         }
     ).drop("start", "end", "logits", "vectors", "own")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from augspark.functions.prompts import append_reply, chat_messages, render_chat
 from augspark.functions.scoring import let
 from augspark.functions.text import drop_end_marker, join_rewrite, sentence_of, truncate_chars
-from augspark.operators.generate import DEFAULT_SAMPLES, Factory, generated_samples, into_slots
+from augspark.operators.generate import DEFAULT_SAMPLES, Factory, generated_samples, into_slots, sample_scores
 from augspark.operators.incremental import read_written, unprocessed
 from augspark.operators.select import with_best_sample
 from augspark.sources.sinks import append_rows
@@ -56,11 +56,11 @@ def score_slots(scores: DataFrame, key: str, n_samples: int, score: str = "svd_s
 def choose_rewrite(df: DataFrame, text: str = "text") -> DataFrame:
     """Pick one of ``samples`` by ``scores`` and append it to the text; rows with a null are dropped."""
 
-    def scored(s: Column) -> Column:
-        score = F.col("scores")[s["sample_idx"]]
+    def scored(s: Column, score: Column) -> Column:
         return F.struct(s["sample_idx"].alias("sample_idx"), s["text"].alias("text"), score.alias("score"))
 
-    chosen = with_best_sample(df.withColumn("samples", F.transform("samples", scored)))
+    # both arrays are in the order of the sample numbers
+    chosen = with_best_sample(df.withColumn("samples", F.zip_with("samples", "scores", scored)))
     return (
         chosen.withColumn("sample_idx", F.col("best_sample")["sample_idx"])
         .withColumn(text, join_rewrite(F.col(text), F.col("best_sample")["text"]))
@@ -79,7 +79,25 @@ def augment_best_of_n(
 ) -> DataFrame:
     """Whole step with the score as a column of (input text, sample text). No shuffle; works on streams."""
     made = with_samples(df, factory, text, n_samples, **settings)
-    scores = F.transform("samples", lambda s: score(F.col(text), s["text"]))
+    given = F.struct(F.col(text).alias("text"), F.col("samples").alias("samples"))
+    scores = let(given, lambda g: F.transform(g["samples"], lambda s: score(g["text"], s["text"])))
+    return choose_rewrite(made.withColumn("scores", scores), text)
+
+
+def augment_with_scorer(
+    df: DataFrame,
+    factory: Factory,
+    scorer: Factory,
+    text: str = "text",
+    n_samples: int = DEFAULT_SAMPLES,
+    lang: Column | str = "en",
+    **settings,
+) -> DataFrame:
+    """Whole step with a second model call that scores the conversations. No shuffle; works on streams."""
+    settings.setdefault("prompt", chat_prompt(lang))
+    made = with_samples(df, factory, text, n_samples, **settings)
+    opening = chat_prompt(lang)(truncate_chars(F.col(text)))
+    scores = sample_scores(opening, F.transform("samples", lambda s: s["text"]), scorer)
     return choose_rewrite(made.withColumn("scores", scores), text)
 
 

@@ -157,6 +157,20 @@ def failing_factory():
     return generate
 
 
+def varied_length(number: int) -> int:
+    return 8 + (number * number * 3) % 17
+
+
+def varied_factory():
+    """Generator whose samples differ in length."""
+    return lambda prompts, sample_idx, **options: [p[: varied_length(i)] for p, i in zip(prompts, sample_idx)]
+
+
+def length_scorer():
+    """Scorer that returns the length of a conversation."""
+    return lambda prompts: [float(len(p)) for p in prompts]
+
+
 def whole_prompt(text: Column) -> Column:
     """Prompt builder of the stubs: the text itself."""
     return text

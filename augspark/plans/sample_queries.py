@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from augspark.operators import generate as gen, select as sel, uncertainty as un
+from augspark.functions.prompts import EXAMPLES, SYSTEM_ENGLISH
 from augspark.functions.text import truncate_chars
 from augspark.functions.scoring import is_valid_score
 from augspark.plans import augment, fixtures as fx
@@ -74,11 +75,8 @@ def prompt_and_generate(spark, sf):
     return made.select("doc_id", "generated")
 
 
-AUGMENT_SQL = f"""with {FX_LABELED},
-f as (select l.doc_id, l.label, l.text, i, {stub_sql("substring(l.text, 1, 500)", "i")} as raw from fx_labeled l cross join range(5) r(i)),
-g as (select *, {first_sentence_sql("raw")} as gen from f),
-sc as (select g.*, round(e.embedding[1]::double, 6) as score
-       from g join embeddings e on e.vec_id = (g.doc_id * 5 + g.i) % (select count(*) from embeddings)),
+# picks the sample at the density mode from sc(doc_id, label, text, i, gen, score)
+CHOOSE_SQL = """
 st as (select doc_id, count(*) as n, stddev_pop(score) as sd, min(score) as mn, max(score) as mx from sc group by doc_id),
 h0 as (select *, case when sd > 1e-6 then pow(4 * pow(sd, 5) / (3 * n), 0.2) else 0.1 end as b from st),
 h as (select *, case when b < 1e-6 then 0.1 else b end as bw from h0),
@@ -89,7 +87,12 @@ se as (select sc.*, row_number() over (partition by sc.doc_id order by abs(score
 select doc_id, label, i::integer as sample_idx, concat(text, ' ', gen) as text from se where r = 1"""
 
 
-@query(AUGMENT_SQL)
+@query(f"""with {FX_LABELED},
+f as (select l.doc_id, l.label, l.text, i, {stub_sql("substring(l.text, 1, 500)", "i")} as raw from fx_labeled l cross join range(5) r(i)),
+g as (select *, {first_sentence_sql("raw")} as gen from f),
+sc as (select g.*, round(e.embedding[1]::double, 6) as score
+       from g join embeddings e on e.vec_id = (g.doc_id * 5 + g.i) % (select count(*) from embeddings)),
+{CHOOSE_SQL}""")
 def augment_best_of_n(spark, sf):
     inputs = fx_labeled(spark, sf).select("doc_id", "text", "label")
     scores = fx.fx_scores(spark, sf)
@@ -99,6 +102,23 @@ def augment_best_of_n(spark, sf):
     return chosen.select("doc_id", "label", "sample_idx", "text")
 
 
+# length of the rendered conversation without the input and the reply
+_FRAME_CHARS = len("system\n" + SYSTEM_ENGLISH) + len("user\nassistant\n")
+_FRAME_CHARS += sum(len(f"user\n{given}assistant\n{wanted}") for given, wanted in EXAMPLES)
+
+
+@query(f"""with {FX_LABELED},
+f as (select l.doc_id, l.label, l.text, i, substring(l.text, 1, 8 + (i * i * 3) % 17) as raw from fx_labeled l cross join range(5) r(i)),
+g as (select *, {first_sentence_sql("raw")} as gen from f),
+sc as (select *, ({_FRAME_CHARS} + length(substring(text, 1, 500)) + length(gen))::double as score from g),
+{CHOOSE_SQL}""")
+def augment_with_scorer(spark, sf):
+    """Array layout with a second model call that scores each conversation."""
+    inputs = fx_labeled(spark, sf).select("doc_id", "text", "label")
+    chosen = augment.augment_with_scorer(inputs, fx.varied_factory, fx.length_scorer, prompt=fx.whole_prompt)
+    return chosen.select("doc_id", "label", "sample_idx", "text")
+
+
 @query(f"""with {FX_LABELED},
 f as (select doc_id, text, i, {stub_sql("substring(text, 1, 500)", "i")} as raw from fx_labeled cross join range(5) r(i)),
 g as (select doc_id, text, i, {first_sentence_sql("raw")} as gen from f),

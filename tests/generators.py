@@ -11,5 +11,16 @@ def counting_factory():
     return generate
 
 
+def picky_scorer():
+    """Fails on conversations that mention a fault."""
+
+    def score(prompts):
+        if any("fault" in p for p in prompts):
+            raise RuntimeError("no score")
+        return [len(p) for p in prompts]
+
+    return score
+
+
 def short_factory():
     return lambda prompts, sample_idx, **options: []

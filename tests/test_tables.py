@@ -7,7 +7,7 @@ import statistics
 
 import numpy as np
 import pytest
-from generators import counting_factory, short_factory
+from generators import counting_factory, picky_scorer, short_factory
 from pyspark.sql import functions as F
 
 from augspark.functions.scoring import density_mode
@@ -94,6 +94,8 @@ def test_plans(spark):
     step = augment.augment_best_of_n(made, fx.stub_factory, lambda t, s: F.length(s).cast("double"))
     assert "Exchange" not in plan(step), "the array layout is map-only"
     assert plan(step).count("ArrowEvalPython") == 2, "one call of the generator, one of the density mode"
+    step = augment.augment_with_scorer(made, fx.stub_factory, fx.length_scorer)
+    assert "Exchange" not in plan(step) and plan(step).count("ArrowEvalPython") == 3
     shots = plan(fs.sample_shots(hot_table(spark).withColumnRenamed("k", "label"), "unique_id"))
     assert shots.count("WindowGroupLimit") >= 1, "each task keeps its first rows before the shuffle"
     lexicon = fx.fx_lexicon(spark)
@@ -140,7 +142,7 @@ def test_failures(spark):
 
 def test_wrong_number_of_texts(spark):
     df = spark.createDataFrame([("a",)], "t string")
-    with pytest.raises(Exception, match="returned 0 texts for 1 prompts"):
+    with pytest.raises(Exception, match="got 0 results for 1 prompts"):
         gen.generate_text(df, F.col("t"), short_factory).collect()
 
 
@@ -170,6 +172,29 @@ def test_scores_missing_for_some_samples(spark):
     assert {r["id"]: (r["sample_idx"], r["text"]) for r in rows} == {1: (2, "a aug: a #2"), 2: (0, "b aug: b #0")}
 
 
+def test_scorer(spark):
+    df = spark.createDataFrame([(["a", "fault", None, ""],), (None,), ([],)], "p array<string>").coalesce(1)
+    rows = df.select(gen.sample_scores(F.lit("x"), F.col("p"), picky_scorer, batch_size=3).alias("s")).collect()
+    assert [r["s"] for r in rows] == [[2.0, None, None, 1.0], None, []]
+    df = spark.createDataFrame([(1, "a fault"), (2, "fine")], "id int, text string")
+    out = augment.augment_with_scorer(df, fx.stub_factory, picky_scorer, lang="zh").collect()
+    assert [(r["id"], r["sample_idx"]) for r in out] == [(1, 0), (2, 0)], "without scores the first sample is kept"
+
+
+def test_columns_of_python_functions(spark):
+    """Texts and scores may come from Python functions, which Spark does not evaluate inside lambdas."""
+    same_text = F.arrow_udf(lambda a: a, "string").asNondeterministic()
+    same_array = F.arrow_udf(lambda a: a, "array<double>").asNondeterministic()
+    df = spark.createDataFrame([(1, "one. two", [1.0, 2.0, 0.5])], "id int, raw string, raw_logits array<double>")
+    df = df.select("id", same_text("raw").alias("text"), same_array("raw_logits").alias("logits"))
+    first = augment.augment_best_of_n(df, fx.stub_factory, score_by_length, prompt=fx.whole_prompt)
+    second = augment.augment_with_scorer(df, fx.stub_factory, fx.length_scorer, prompt=fx.whole_prompt)
+    assert first.first()["text"] == second.first()["text"] == "one. two aug: one."
+    lexicon = lx.LexiconArrays((0, 1), (0, 1), (0.0, 0.0))
+    scored = lx.class_score_arrays(df, lexicon).select(lx.predicted_class(F.col("class_scores")))
+    assert scored.first()[0] == 1
+
+
 def test_scoring_prompts(spark):
     df = spark.createDataFrame([(1, "hello")], "id int, text string")
     made = augment.with_samples(df, fx.stub_factory, n_samples=2, prompt=fx.whole_prompt)
