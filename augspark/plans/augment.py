@@ -26,9 +26,16 @@ def with_samples(
     text: str = "text",
     n_samples: int = DEFAULT_SAMPLES,
     prompt: Callable[[Column], Column] | None = None,
+    spread: int | None = None,
     **settings,
 ) -> DataFrame:
-    """Add ``samples``: n generated rewrites of the truncated text, each cut to its first sentence."""
+    """Add ``samples``: n generated rewrites of the truncated text, each cut to its first sentence.
+
+    ``spread`` is a number of partitions to distribute the rows over first. Partitions are sized for
+    data, and one of usual size can mean hours of model calls in a single task.
+    """
+    if spread:
+        df = df.repartition(spread)
     build = prompt or chat_prompt()
     made = generated_samples(build(truncate_chars(F.col(text))), factory, n_samples=n_samples, **settings)
 

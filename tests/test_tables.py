@@ -157,6 +157,8 @@ def test_regroup_and_spread(spark):
             gen.regroup(wrong, "key", ["x"], 3).collect()
     spread = gen.generate_text(spark.range(100).coalesce(1), F.col("id").cast("string"), fx.stub_factory, spread=4)
     assert spread.rdd.getNumPartitions() == 4
+    texts = spark.range(100).coalesce(1).select("id", F.col("id").cast("string").alias("text"))
+    assert augment.with_samples(texts, fx.stub_factory, spread=5).rdd.getNumPartitions() == 5
 
 
 def test_augment_drops_nulls(spark):
