@@ -25,7 +25,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``.
 
     Columns that may come from a Python function go in through ``value`` (several of them as a struct),
-    since a Python function cannot be evaluated inside a lambda.
+    since a Python function cannot be evaluated inside a lambda. The other way round, give the result of
+    such a struct to a Python function only as a column of its own: Spark 4.1 does not plan the call when
+    a nested lambda that uses the outer variable stands in its argument.
     """
     return F.transform(F.array(value), body)[0]
 
