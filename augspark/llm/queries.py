@@ -10,12 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from augspark.llm.context_tree import language_scores
+from augspark.llm.embedding_graph import near_vector_groups
+from augspark.llm.html_text import extract_text
 from augspark.llm.mixing import mix_sources, mix_sql
 from augspark.llm.packing import pack
 from augspark.llm.quality import fit_quality, rate_quality
 from augspark.llm.simhash import simhash_groups
 from augspark.llm.suffix_dedup import remove_repeats
 from augspark.llm.toxicity import fit_toxicity, score_toxicity
+from augspark.llm.warc import read_archives, resolved, write_archives
+from augspark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,11 +68,29 @@ def op3_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+@query
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return resolved(read_archives(spark, path, with_payload=False)).withColumnRenamed("key", "page_id")
+
+
+@query
+def op5_html_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = extract_text(table(spark, sf_dir, "pages"))
+    return extracted.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 @query
 def op6_simhash_point_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_embedding_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_language_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = language_scores(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 
 import numpy as np
@@ -46,3 +47,18 @@ def sorted_counts(values: np.ndarray, weights: np.ndarray | None = None) -> tupl
     if weights is None:
         return values[first], np.diff(first, append=len(values))
     return values[first], np.add.reduceat(weights, first)
+
+
+def join_parts(parts: Sequence[bytes]) -> bytes:
+    """Several byte strings in one, with their lengths in front."""
+    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def split_parts(data: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<I", data)
+    sizes = struct.unpack_from(f"<{n}Q", data, 4)
+    at, out = 4 + 8 * n, []
+    for size in sizes:
+        out.append(data[at : at + size])
+        at += size
+    return out

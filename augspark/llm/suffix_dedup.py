@@ -20,7 +20,6 @@ chosen by the whole window; equal windows still meet, and a run sends each of th
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from augspark.llm.arrays import SpanHash, text_blocks
-from augspark.llm.runs import RUN_BYTES, dealt_into_runs, pack_sorted, run_count, sorted_counts, unpack_sorted
+from augspark.llm.runs import RUN_BYTES, dealt_into_runs, join_parts, pack_sorted, run_count, sorted_counts, split_parts, unpack_sorted
 
 LENGTH = 100
 HOT = 1000
@@ -90,20 +89,6 @@ def _texts(table: pa.Table) -> pa.Array:
     return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
 
 
-def join_parts(parts: Sequence[bytes]) -> bytes:
-    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
-
-
-def split_parts(data: bytes) -> list[bytes]:
-    (n,) = struct.unpack_from("<I", data)
-    sizes = struct.unpack_from(f"<{n}Q", data, 4)
-    at, out = 4 + 8 * n, []
-    for size in sizes:
-        out.append(data[at : at + size])
-        at += size
-    return out
-
-
 def front_coded(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Of sorted suffixes: length shared with the one before, length of the rest, all rests."""
     n = len(suffixes)
