@@ -53,7 +53,7 @@ def top_entropy(logits: Column, top_k: int | None = None) -> Column:
     """Entropy of the softmax over the ``top_k`` largest logits of one token.
 
     With d = x - max, z = sum(exp d): H = ln z - sum(d * exp d) / z. A probability that underflows to
-    zero makes the reference formula 0 * log 0, hence NaN.
+    zero makes the sum of -p * ln p hold 0 * ln 0, hence NaN.
     """
     logits = logits.cast("array<double>")
     top = logits if top_k is None else F.slice(F.sort_array(logits, asc=False), 1, top_k)

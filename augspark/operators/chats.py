@@ -2,31 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from augspark.functions.prompts import message, render_chat, render_message
+from augspark.functions.prompts import append_reply, message, render_chat, render_message
 from augspark.operators.skew import row_numbers
 
-PART_TURNS = 256
+def whole_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, messages): one array per conversation, in the order of turn, role and text.
 
+    A conversation is one value, as it is for the model that reads it.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    messages = F.transform(ordered, lambda m: message(m["role"], m["text"]))
+    return turns.groupBy(key).agg(messages.alias("messages"))
 
-def chat_parts(turns: DataFrame, key: str = "conv_id", part_turns: int = PART_TURNS) -> DataFrame:
-    """Message arrays of up to ``part_turns`` consecutive turns: (key, part, messages).
 
-    Ordinary conversations make one part. A longer one is cut by the rank of its turns, so no task
-    gets all of it; its rendered parts follow each other without a separator.
+def chat_parts(turns: DataFrame, part_turns: int, key: str = "conv_id") -> DataFrame:
+    """Message arrays of up to ``part_turns`` consecutive turns: (key, part, is_last, messages).
+
+    For conversations too long for one row. They are cut by the rank of their turns, so no task gets all
+    of one; the rendered parts follow each other without a separator, and a reply goes to the last part.
     """
     order = [F.col("turn"), F.col("role"), F.col("text")]
     ranked = row_numbers(turns.select(key, "turn", "role", "text"), [key], order, "_rank")
     part = F.floor((F.col("_rank") - 1) / part_turns).cast("int")
     ordered = F.array_sort(F.collect_list(F.struct("_rank", "role", "text")))
     messages = F.transform(ordered, lambda m: message(m["role"], m["text"]))
-    return ranked.groupBy(key, part.alias("part")).agg(messages.alias("messages"))
+    parts = ranked.groupBy(key, part.alias("part")).agg(messages.alias("messages"))
+    lengths = turns.groupBy(F.col(key).alias("_key")).agg(F.floor((F.count("*") - 1) / part_turns).cast("int").alias("_last"))
+    joined = parts.join(lengths, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.select(key, "part", (F.col("part") == F.col("_last")).alias("is_last"), "messages")
+
 
+def render_conversations(turns: DataFrame, key: str = "conv_id", part_turns: int | None = None) -> DataFrame:
+    """Rendered text per conversation, or per part of up to ``part_turns`` turns."""
+    if part_turns is None:
+        return whole_chats(turns, key).select(key, render_chat(F.col("messages")).alias("rendered"))
+    return chat_parts(turns, part_turns, key).select(key, "part", render_chat(F.col("messages")).alias("rendered"))
 
-def render_conversations(turns: DataFrame, key: str = "conv_id", part_turns: int = PART_TURNS) -> DataFrame:
-    """Rendered text per conversation part."""
-    return chat_parts(turns, key, part_turns).select(key, "part", render_chat(F.col("messages")).alias("rendered"))
+
+def with_reply(turns: DataFrame, reply: Column, key: str = "conv_id", part_turns: int | None = None) -> DataFrame:
+    """Rendered conversations with one reply at their end and an open turn behind it.
+
+    reply: a column of the key. With ``part_turns`` only the last part of a conversation gets the reply.
+    """
+    if part_turns is None:
+        messages = append_reply(F.col("messages"), reply)
+        return whole_chats(turns, key).select(key, render_chat(messages, open_reply=True).alias("rendered"))
+    answered = render_chat(append_reply(F.col("messages"), reply), open_reply=True)
+    rendered = F.when(F.col("is_last"), answered).otherwise(render_chat(F.col("messages")))
+    return chat_parts(turns, part_turns, key).select(key, "part", rendered.alias("rendered"))
 
 
 def render_turns(turns: DataFrame) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+import types
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from augspark.functions.prompts import flat_prompt
 from augspark.functions.text import extract_completion
 
 # A generator gets a batch of prompts, the sample number of each prompt and the options below, and
-# returns one text per prompt. A factory makes it once per task, so that models load once.
+# returns one text per prompt. A factory makes it once per Python worker, at its first prompt.
 Generator = Callable[..., Sequence[str]]
 Factory = Callable[[], Generator]
 
@@ -53,6 +57,23 @@ def regroup(df: DataFrame, key: str, values: Sequence[str], n_samples: int = DEF
     return grouped.withColumn("samples", F.filter("samples", lambda s: s.isNotNull()))
 
 
+def loaded(factory: Factory, token: str):
+    """What the factory makes, once per Python worker.
+
+    The package travels by value, so its globals live for one task; the model is kept in a module of its
+    own instead, under ``token``, which names the factory.
+    """
+    home = sys.modules.setdefault("_augspark_models", types.ModuleType("_augspark_models"))
+    if token not in home.__dict__:
+        home.__dict__[token] = factory()
+    return home.__dict__[token]
+
+
+def factory_token(factory: Factory) -> str:
+    """Name of a factory with all that it carries along, the same wherever it is unpickled."""
+    return hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
+
+
 def _checked(results: Sequence, prompts: list[str]) -> list:
     results = list(results)
     if len(results) != len(prompts):
@@ -101,13 +122,14 @@ def generated_samples(
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error must be one of {ON_ERROR}")
     options = {**DEFAULT_OPTIONS, **options}
+    token = factory_token(factory)
 
     @F.arrow_udf(SAMPLES_TYPE)
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        generate = factory()
         for column in columns:
             prompts = column.to_pylist()
             asked = [(p, i) for p in prompts if p is not None for i in range(n_samples)]
+            generate = loaded(factory, token) if asked else None
             results: list[tuple] = []
             for at in range(0, len(asked), batch_size):
                 texts, numbers = map(list, zip(*asked[at : at + batch_size]))
@@ -132,11 +154,12 @@ def sample_scores(
     are not scored.
     """
 
+    token = factory_token(factory)
+
     @F.arrow_udf("array<double>")
     def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        scorer = factory()
-
         def scored(prompts: list[str]) -> list[float | None]:
+            scorer = loaded(factory, token)
             try:
                 return [float(x) for x in _checked(scorer(prompts), prompts)]
             except Exception:

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from augspark.operators.skew import global_position, join_keys, row_numbers
+from augspark.sources.sinks import CSV_READ_OPTIONS
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "guid") -> DataFrame:
@@ -30,7 +31,9 @@ def with_content_key(
 
 
 def read_written(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame | None:
-    """The output written so far, or None when there is none yet."""
+    """The output written so far, or None when there is none yet. CSV comes back as strings, without its headers."""
+    if format == "csv":
+        options = {**CSV_READ_OPTIONS, **options}
     try:
         return spark.read.format(format).options(**options).load(path)
     except AnalysisException as exc:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augspark.functions.scoring import cosine, dot, let, normalised, softmax
 from augspark.operators.skew import broadcast_if_small, global_position
+from augspark.session import cut_lineage
 
 # Fixed values
 TOP_WORDS = 30
@@ -111,10 +112,15 @@ def calibration_prior(support: DataFrame, lexicon: DataFrame | None = None) -> D
 
 
 def calibrated_probabilities(probabilities: DataFrame, prior: DataFrame) -> DataFrame:
-    """Word probability divided by its prior, renormalised per example."""
+    """Word probability divided by its prior, renormalised per example.
+
+    The prior, a number per word of the lexicon, is stored once and broadcast after a count of its words,
+    so examples are not shuffled by the few words.
+    """
     example = Window.partitionBy("example")
+    stored, _ = broadcast_if_small(cut_lineage(prior.select("word", "prior")), MAX_LEXICON_WORDS)
     return (
-        probabilities.join(prior, "word")
+        probabilities.join(stored, "word")
         .withColumn("_q", F.col("p") / F.col("prior"))
         .withColumn("p", F.col("_q") / F.sum("_q").over(example))
         .drop("_q", "prior")

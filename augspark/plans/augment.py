@@ -60,20 +60,78 @@ def score_slots(scores: DataFrame, key: str, n_samples: int, score: str = "svd_s
     return into_slots(scores, key, F.col(score), n_samples, "scores")
 
 
-def choose_rewrite(df: DataFrame, text: str = "text") -> DataFrame:
-    """Pick one of ``samples`` by ``scores`` and append it to the text; rows with a null are dropped."""
+def choose_rewrite(
+    df: DataFrame, text: str = "text", required: Sequence[str] | None = None, score: str | None = None
+) -> DataFrame:
+    """Pick one of ``samples`` by ``scores`` and append it to the text.
+
+    Rows with a null in a ``required`` column, by default the text, are dropped: those without a text and
+    those whose samples all failed. Nulls in other columns do no harm. ``score`` names a column for the
+    score of the chosen sample.
+    """
 
     def scored(s: Column, score: Column) -> Column:
         return F.struct(s["sample_idx"].alias("sample_idx"), s["text"].alias("text"), score.alias("score"))
 
     # both arrays are in the order of the sample numbers
     chosen = with_best_sample(df.withColumn("samples", F.zip_with("samples", "scores", scored)))
+    if score:
+        chosen = chosen.withColumn(score, F.col("best_sample")["score"])
     return (
         chosen.withColumn("sample_idx", F.col("best_sample")["sample_idx"])
         .withColumn(text, join_rewrite(F.col(text), F.col("best_sample")["text"]))
         .drop("samples", "scores", "best_sample")
-        .dropna("any")
+        .dropna("any", subset=list(required) if required is not None else [text])
+    )
+
+
+def rejected_samples(df: DataFrame, key: str) -> DataFrame:
+    """(key, sample_idx, error, all_failed) of every failed sample of rows with ``samples``."""
+    failed = F.filter("samples", lambda s: s["error"].isNotNull())
+    counted = df.select(key, "samples", failed.alias("_failed"))
+    rows = counted.select(key, (F.size("_failed") == F.size("samples")).alias("all_failed"), F.explode("_failed").alias("_s"))
+    return rows.select(key, F.col("_s")["sample_idx"].alias("sample_idx"), F.col("_s")["error"].alias("error"), "all_failed")
+
+
+def augment_with_rejects(
+    df: DataFrame,
+    path: str,
+    key: str,
+    factory: Factory,
+    score: Callable[[Column, Column], Column],
+    text: str = "text",
+    n_samples: int = DEFAULT_SAMPLES,
+    **settings,
+) -> tuple[DataFrame, DataFrame]:
+    """Whole step that goes on when the model fails: the augmented rows, and what failed.
+
+    Samples and scores are appended to a store under ``path`` first, so the model runs once; both results
+    are read from the whole store. See :func:`rejected_samples` for the second one.
+    """
+    settings.setdefault("on_error", "skip")
+    made = with_samples(df, factory, text, n_samples, **settings)
+    given = F.struct(F.col(text).alias("text"), F.col("samples").alias("samples"))
+    scores = let(given, lambda g: F.transform(g["samples"], lambda s: score(g["text"], s["text"])))
+    made.withColumn("scores", scores).write.mode("append").parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    return choose_rewrite(stored, text), rejected_samples(stored, key)
+
+
+def augment_from_metrics(
+    df: DataFrame, metrics: DataFrame, key: str, n_samples: int = DEFAULT_SAMPLES, text: str = "text", score: str = "svd_score"
+) -> DataFrame:
+    """Choice by scores computed from model outputs, for rows with ``samples``.
+
+    metrics: one row per sample_id = key * n_samples + sample number, as :func:`calculate_metrics` gives
+    them. A sample without a row has failed and is chosen only where all samples have.
+    """
+    numbered = metrics.select(
+        F.floor(F.col("sample_id") / n_samples).alias(key), F.pmod("sample_id", F.lit(n_samples)).alias("sample_idx"), score
     )
+    slots = score_slots(numbered, key, n_samples, score)
+    ready = df.join(slots, key, "left").withColumn("scores", F.coalesce("scores", F.array().cast("array<double>")))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.get("scores", i))
+    return choose_rewrite(ready.withColumn("scores", whole), text)
 
 
 def augment_best_of_n(
@@ -143,9 +201,12 @@ def augment_pending(
 
     A job that died is started again with the same arguments. The output keeps the key columns. With
     several ``batches`` the rows are cut by key hash and each batch is committed before the next one
-    starts, so that less model time is lost; each batch scans the input again.
+    starts, so that less model time is lost; each batch scans the input again. CSV output is read back
+    with the options that it is written with; its keys are compared as the input's types.
     """
     written = read_written(df.sparkSession, target, format)
+    if written is not None:
+        written = written.select(*[F.col(k).cast(df.schema[k].dataType).alias(k) for k in keys])
     rest = df if written is None else unprocessed(df, written, keys)
     for batch in range(batches):
         part = rest.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == batch) if batches > 1 else rest

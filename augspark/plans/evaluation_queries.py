@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from augspark.operators import fewshot as fs, incremental as inc
 from augspark.plans import augment, classify, fixtures as fx
-from augspark.plans.fixtures import FX_LABELED, SEED, first_sentence_sql, fx_labeled, strip_sql, stub_sql, table
+from augspark.plans.fixtures import FX_LABELED, SEED, fx_labeled, strip_sql, table
 from augspark.plans.registry import query
+from augspark.plans.sample_queries import CHOOSE_SQL
 from augspark.session import scratch_path
+from augspark.sources import sinks
 from augspark.streaming.augment import augment_files
 
 # -- sampling -----------------------------------------------------------------------------------
@@ -90,9 +94,18 @@ def best_epoch(spark, sf):
     return fs.best_epoch(epochs).select("epoch", *[F.round(n, 6).alias(n) for n in ("val_acc", "rmse", "mae")])
 
 
-@query()
+@query("""
+with shots as (select toxic, least(count(*), 10) as train, greatest(least(count(*), 20) - 10, 0) as validation from labels group by 1),
+facts as (select 'train' as split, sum(train) as n, sum(train * toxic) as positives from shots
+  union all select 'validation', sum(validation), sum(validation * toxic) from shots
+  union all select 'test', count(*), sum(toxic) from labels)
+select split, n::bigint as n, positives::bigint as positives, true as disjoint, split <> 'train' as rated, true as in_bounds from facts""")
 def train_and_test_classifier(spark, sf):
-    """Fit on the few-shot train rows, report on the validation rows and on all labelled rows."""
+    """Fit on the few-shot train rows, rate the validation rows and all labelled rows: what is fixed of that.
+
+    The rows of each split and their labels, that no row is in two of the few-shot splits, and that every
+    metric lies within its bounds.
+    """
     labeled = fx_labeled(spark, sf).select("doc_id", "text", "label")
     split = fs.sample_shots(labeled, "doc_id", seed=SEED).select("doc_id", "split")
     shots = labeled.join(split, "doc_id")
@@ -102,7 +115,15 @@ def train_and_test_classifier(spark, sf):
     both = validation.select(F.lit("validation").alias("split"), "label", "pred").unionByName(
         tested.select(F.lit("test").alias("split"), "label", "pred")
     )
-    return fs.evaluate(both, by=["split"])
+    rated = fs.evaluate(both, by=["split"])
+    rates = [F.col(c).between(0, 1) for c in ("accuracy", "rmse", "mae", "precision", "recall", "f1")]
+    bounds = rated.select("split", reduce(lambda a, b: a & b, rates).alias("in_bounds"))
+    once = split.groupBy("doc_id").count().agg(F.max("count") == 1).scalar()
+    rows = shots.select("split", "label").unionByName(labeled.select(F.lit("test").alias("split"), "label"))
+    counts = rows.groupBy("split").agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("positives"))
+    return counts.join(bounds, "split", "left").select(
+        "split", "n", "positives", once.alias("disjoint"), F.col("in_bounds").isNotNull().alias("rated"), F.coalesce("in_bounds", F.lit(True)).alias("in_bounds")
+    )
 
 
 # -- identity and resuming ----------------------------------------------------------------------
@@ -120,14 +141,36 @@ def content_keys(spark, sf):
     return inc.with_content_key(docs, ["text", "lang"], [F.col("doc_id")]).select("doc_id", "content_key", "occurrence")
 
 
-@query("""select count(*) filter (where quality = 1) as written, count(*) filter (where quality = 0) as remaining
-from documents join labels using (doc_id)""")
+@query("""select format, count(*) filter (where quality = 1) as written, count(*) filter (where quality = 0) as remaining
+from documents join labels using (doc_id) cross join (values ('csv'), ('parquet')) f(format) group by 1""")
 def written_progress(spark, sf):
-    path = scratch_path(spark, "progress")
+    """Rows in the output so far, for both formats of it."""
     rows = fx_labeled(spark, sf)
-    rows.where(F.col("quality") == 1).write.mode("append").parquet(path)
-    written = F.lit(inc.written_rows(spark, path)).cast("bigint")
-    return rows.agg(written.alias("written"), (F.count("*") - written).alias("remaining"))
+    found = []
+    for format in ("csv", "parquet"):
+        path = scratch_path(spark, "progress")
+        sinks.append_rows(rows.where(F.col("quality") == 1), path, format)
+        found.append((format, inc.written_rows(spark, path, format)))
+    n = F.expr("stack(2, " + ", ".join(f"'{f}', {n}L" for f, n in found) + ") as (format, written)")
+    return rows.agg(F.count("*").alias("n")).select("n", n).select("format", "written", (F.col("n") - F.col("written")).alias("remaining"))
+
+
+@query(f"""with {FX_LABELED},
+g as (select doc_id, label, text, i, {fx.varied_sql("substring(text, 1, 500)", "i")} as gen from fx_labeled cross join range(5) r(i)),
+sc as (select *, length(gen)::double as score from g),
+{CHOOSE_SQL}""")
+def resume_csv(spark, sf):
+    """CSV output of a job that was started three times, the first time on some rows only."""
+    target = scratch_path(spark, "resumed")
+    inputs = fx_labeled(spark, sf).select("doc_id", "label", "text")
+
+    def step(rows):
+        return augment.augment_best_of_n(rows, fx.varied_factory, _length_score, prompt=fx.whole_prompt)
+
+    for part in (inputs.where("label = 1"), inputs, inputs):
+        augment.augment_pending(part, target, ["doc_id"], step, format="csv")
+    written = inc.read_written(spark, target, "csv")
+    return written.select(F.col("doc_id").cast("bigint"), F.col("label").cast("int"), F.col("sample_idx").cast("int"), "text")
 
 
 @query("select doc_id, text from documents where doc_id not in (select doc_id from labels)")
@@ -137,13 +180,14 @@ def unprocessed_rows(spark, sf):
 
 
 def _length_score(text, sample):
-    """Stand-in for an uncertainty score. The stub's samples are equally long, so the first one is chosen."""
+    """Stand-in for an uncertainty score."""
     return F.length(sample).cast("double")
 
 
 @query(f"""with {FX_LABELED},
-g as (select doc_id, label, text, {first_sentence_sql(stub_sql("substring(text, 1, 500)", "0"))} as gen from fx_labeled)
-select doc_id, label, 0 as sample_idx, text || ' ' || gen as text from g""")
+g as (select doc_id, label, text, i, {fx.varied_sql("substring(text, 1, 500)", "i")} as gen from fx_labeled cross join range(5) r(i)),
+sc as (select *, length(gen)::double as score from g),
+{CHOOSE_SQL}""")
 def stream_augmentation(spark, sf):
     """The files of a folder, augmented by a stream that ends when it has seen them all."""
     source = scratch_path(spark, "stream-in")
@@ -153,7 +197,7 @@ def stream_augmentation(spark, sf):
 
     def step(files):
         return augment.augment_best_of_n(
-            files, fx.stub_factory, _length_score, prompt=fx.whole_prompt
+            files, fx.varied_factory, _length_score, prompt=fx.whole_prompt
         )
 
     augment_files(spark, source, inputs.schema, target, scratch_path(spark, "stream-state"), step).awaitTermination()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from augspark.operators.fewshot import evaluate
+from augspark.operators.incremental import read_written
 from augspark.plans.evaluation_queries import EVALUATION_COLUMNS, fx_preds
 from augspark.plans.fixtures import FX_LABELED, SEED, fx_labeled, table
 from augspark.plans.registry import query
@@ -89,6 +92,52 @@ def dataset_catalog(spark, sf):
     return read[0].unionByName(read[1]).groupBy("dataset", "split", "label").agg(F.count("*").alias("n"))
 
 
+# first line of a label-word file, then the second one, and the classes they stand for in label order
+_LEXICON_FILES = {
+    "tweets": ("cyberbullying", "not_cyberbullying", 0, 1),
+    "ToxiGen": ("cyberbullying", "not_cyberbullying", 1, 0),
+    "LHd": ("cyberbullying", "not_cyberbullying", 1, 0),
+    "weibo": ("暴力", "非暴力", 1, 0),
+}
+
+
+@query(f"""with sources as (select distinct source from documents where source is not null),
+files as (select * from (values {", ".join(f"('{d}', '{a}', '{b}', {x}, {y})" for d, (a, b, x, y) in _LEXICON_FILES.items())}) v(dataset, one, two, first_class, second_class))
+select dataset, source || ' ' || one as word, first_class as class_id from files cross join sources
+union all select dataset, source || ' ' || two, second_class from files cross join sources""")
+def catalog_lexicon(spark, sf):
+    """Label-word files of all known datasets: the line of a class, and the number that the dataset gives the class."""
+    root = scratch_path(spark, "scripts")
+    sources = table(spark, sf, "documents").where("source is not null").select("source").distinct()
+    found = []
+    for name, (one, two, _, _) in _LEXICON_FILES.items():
+        lines = [F.array_join(F.array_sort(F.collect_set(F.concat("source", F.lit(f" {c}")))), ",") for c in (one, two)]
+        both = sources.agg(F.concat_ws("\n", *lines).alias("value"))
+        folder = f"{root}/{name}"
+        both.coalesce(1).write.text(f"{folder}/{catalog.find_dataset(name).scripts}/manual_verbalizer.txt")
+        words = catalog.dataset_lexicon(spark, folder, name, "manual")
+        found.append(words.select(F.lit(name).alias("dataset"), "word", "class_id"))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query("""select d.dataset, t.template_id, 'line ' || t.template_id || ' of ' || d.dataset || ' with ' || s.n || ' sources {"mask"}' as template
+from (values ('tweets'), ('ToxiGen'), ('LHd'), ('weibo')) d(dataset) cross join (select unnest([0, 1, 2]) as template_id) t
+cross join (select count(distinct source) as n from documents) s""")
+def catalog_template(spark, sf):
+    """Template files of all known datasets, read line by line."""
+    root = scratch_path(spark, "templates")
+    found = []
+    for name in _LEXICON_FILES:
+        count = table(spark, sf, "documents").agg(F.count_distinct("source").cast("string").alias("n"))
+        lines = [F.concat(F.lit(f"line {i} of {name} with "), F.col("n"), F.lit(' sources {"mask"}')) for i in range(3)]
+        folder = f"{root}/{name}"
+        count.select(F.concat_ws("\n", *lines).alias("value")).coalesce(1).write.text(f"{folder}/{catalog.find_dataset(name).scripts}/manual_template.txt")
+        texts = [catalog.dataset_template(spark, folder, name, "manual", i) for i in range(3)]
+        rows = [F.struct(F.lit(name).alias("dataset"), F.lit(i).alias("template_id"), F.lit(t).alias("template")) for i, t in enumerate(texts)]
+        found.append(count.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query(r"""
 with lines as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line_no,
                       regexp_replace(unnest(string_split(text, chr(10))), '^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$', '', 'g') as line from documents),
@@ -120,16 +169,27 @@ def label_word_sets(spark, sf):
 # -- sinks --------------------------------------------------------------------------------------
 
 
-@query(f"""with {FX_LABELED} select {CLASS_NAME} as cyberbullying_type, text || ' more' as tweet_text from fx_labeled""")
+_ODD_SQL = """case length(text) % 5 when 0 then '' when 1 then '  ' || text || ' ' || chr(10) || ' ' when 2 then '"' || text || '", "more' else text || ' more' end"""
+
+
+@query(f"""with {FX_LABELED}
+select {CLASS_NAME} as cyberbullying_type, {_ODD_SQL} as tweet_text, case when length(text) % 4 = 0 then null else lang end as lang from fx_labeled""")
 def append_batches(spark, sf):
+    """Texts with blanks at their ends, quotes, line breaks, empty texts and nulls, through CSV and back."""
     path = scratch_path(spark, "augmented")
-    rows = fx_labeled(spark, sf).select(
-        "quality", _class_name().alias("cyberbullying_type"), F.concat("text", F.lit(" more")).alias("tweet_text")
+    text, rest = F.col("text"), F.length("text") % 5
+    odd = (
+        F.when(rest == 0, "")
+        .when(rest == 1, F.concat(F.lit("  "), text, F.lit(" \n ")))
+        .when(rest == 2, F.concat(F.lit('"'), text, F.lit('", "more')))
+        .otherwise(F.concat(text, F.lit(" more")))
     )
+    lang = F.when(F.length("text") % 4 != 0, F.col("lang"))
+    rows = fx_labeled(spark, sf).select("quality", _class_name().alias("cyberbullying_type"), odd.alias("tweet_text"), lang.alias("lang"))
     for quality in (0, 1):
         batch = rows.where(F.col("quality") == quality).drop("quality")
         sinks.append_rows(batch, path, "csv", first=quality == 0)
-    return labeled.read_csv_strings(spark, path, ("cyberbullying_type", "tweet_text"), header=True)
+    return read_written(spark, path, "csv")
 
 
 @query(f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from augspark.functions.scoring import softmax
@@ -62,11 +64,19 @@ FX_ATTENTION = """e as (select vec_id, generate_subscripts(embedding, 1) - 1 as
     from e group by vec_id)"""
 
 
+def total(vec: Column) -> Column:
+    """Sum of a vector, a score that depends on all of it."""
+    return F.aggregate(vec.cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+
+
+TOTAL_SQL = "list_sum(embedding::double[])"
+
+
 def fx_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Five scored candidates per input; some scores failed, some inputs have one valid score or none."""
     v, key, idx = F.col("vec_id"), F.floor(F.col("vec_id") / 5), F.col("vec_id") % 5
     failed = (v % 11 == 0) | ((key % 10 == 0) & (idx != 3)) | (key % 10 == 5)
-    score = F.when(failed, F.lit(float("inf"))).otherwise(F.round(F.col("vec")[0], 6))
+    score = F.when(failed, F.lit(float("inf"))).otherwise(F.round(total(F.col("vec")), 6))
     return vectors(spark, sf).select(
         key.alias("input_key"),
         idx.alias("sample_idx"),
@@ -75,12 +85,8 @@ def fx_candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-FX_CANDIDATES = """fx_candidates as (
-  select vec_id // 5 as input_key, vec_id % 5 as sample_idx, 'candidate ' || vec_id as text,
-         case when vec_id % 11 = 0 or ((vec_id // 5) % 10 = 0 and vec_id % 5 <> 3) or (vec_id // 5) % 10 = 5
-              then 'inf'::double else round(embedding[1]::double, 6) end as score
-  from embeddings),
-moments as (
+# The steps from scored candidates (input_key, sample_idx, text, score) to the best one of each input
+BEST_SQL = """moments as (
   select input_key, count(*) as n, stddev_pop(score) as sd, min(score) as lo, max(score) as hi
   from fx_candidates where score < 'inf'::double group by input_key),
 widths as (
@@ -103,11 +109,18 @@ best as (
              c.sample_idx) as r
     from fx_candidates c left join modes m on m.input_key = c.input_key) where r = 1)"""
 
+FX_CANDIDATES = f"""fx_candidates as (
+  select vec_id // 5 as input_key, vec_id % 5 as sample_idx, 'candidate ' || vec_id as text,
+         case when vec_id % 11 = 0 or ((vec_id // 5) % 10 = 0 and vec_id % 5 <> 3) or (vec_id // 5) % 10 = 5
+              then 'inf'::double else round({TOTAL_SQL}, 6) end as score
+  from embeddings),
+{BEST_SQL}"""
+
 
 def fx_scores(spark: SparkSession, sf: str) -> DataFrame:
     """A score for each of the five samples of every labelled document."""
     vecs = table(spark, sf, "embeddings")
-    scores = vecs.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("svd_score"))
+    scores = vecs.select("vec_id", F.round(total(F.col("embedding")), 6).alias("svd_score"))
     samples = fan_out(table(spark, sf, "labels").select("doc_id"), SAMPLES)
     vec_id = (F.col("doc_id") * SAMPLES + F.col("sample_idx")) % vecs.agg(F.count("*")).scalar()
     return samples.withColumn("vec_id", vec_id).join(scores, "vec_id").select("doc_id", "sample_idx", "svd_score")
@@ -137,8 +150,13 @@ FX_LEXICON = "fx_lexicon as (select r as word, r % 10 as class_id, (r % 3)::doub
 # -- generators ---------------------------------------------------------------------------------
 
 
+def digest(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def stub_text(prompt: str, number: int) -> str:
-    return f"aug: {prompt[:40]} #{number}"
+    """Depends on the whole prompt, also where only its first sentence is kept."""
+    return f"aug {digest(prompt)}: {prompt} #{number}"
 
 
 def stub_factory():
@@ -162,8 +180,26 @@ def varied_length(number: int) -> int:
 
 
 def varied_factory():
-    """Generator whose samples differ in length."""
-    return lambda prompts, sample_idx, **options: [p[: varied_length(i)] for p, i in zip(prompts, sample_idx)]
+    """Generator whose samples depend on the whole prompt and differ in length."""
+
+    def generate(prompts, sample_idx, **options):
+        return [digest(p) + "x" * varied_length(i) for p, i in zip(prompts, sample_idx)]
+
+    return generate
+
+
+def varied_sql(prompt: str, number: str) -> str:
+    return f"concat(md5({prompt}), repeat('x', (8 + ({number} * {number} * 3) % 17)::integer))"
+
+
+def echo_factory():
+    """Answers a flat prompt as models do: with the prompt, and a turn that repeats its last input."""
+
+    def generate(prompts, sample_idx, **options):
+        inputs = [p.rpartition("Input: ")[2].partition("<|eot_id|>")[0] for p in prompts]
+        return [f"{p}{given} [{digest(p)}]<|eot_id|>\nmore" for p, given in zip(prompts, inputs)]
+
+    return generate
 
 
 def length_scorer():
@@ -177,7 +213,7 @@ def whole_prompt(text: Column) -> Column:
 
 
 def stub_sql(prompt: str, number: str) -> str:
-    return f"concat('aug: ', substring({prompt}, 1, 40), ' #', {number}::varchar)"
+    return f"concat('aug ', md5({prompt}), ': ', {prompt}, ' #', {number}::varchar)"
 
 
 _BLANK = r"[\s\x0b\x1c-\x1f\x85\pZ]+"

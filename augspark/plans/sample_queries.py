@@ -11,6 +11,7 @@ from augspark.functions.scoring import is_valid_score
 from augspark.plans import augment, fixtures as fx
 from augspark.plans.fixtures import (
     FX_ATTENTION,
+    BEST_SQL,
     FX_CANDIDATES,
     FX_LABELED,
     first_sentence_sql,
@@ -23,6 +24,7 @@ from augspark.plans.fixtures import (
 )
 from augspark.plans.registry import query
 from augspark.plans.text_queries import _AFTER, _BEFORE, quoted
+from augspark.session import scratch_path
 
 # -- generation ---------------------------------------------------------------------------------
 
@@ -34,13 +36,13 @@ def fan_out_samples(spark, sf):
 
 
 @query(f"""with {FX_LABELED}
-select doc_id, 5::bigint as n_samples, concat_ws('|', {", ".join(f"'{i}:' || substring(text, 1, {10 + i})" for i in range(5))}) as joined from fx_labeled""")
+select doc_id, 5::bigint as n_samples, md5(concat_ws('|', {", ".join(f"'{i}:{i}#' || text" for i in range(5))})) as joined from fx_labeled""")
 def regroup_samples(spark, sf):
     rows = gen.fan_out(fx_labeled(spark, sf).select("doc_id", "text"))
-    rows = rows.withColumn("text", F.expr("substring(text, 1, 10 + sample_idx)"))
+    rows = rows.withColumn("text", F.concat(F.col("sample_idx").cast("string"), F.lit("#"), F.col("text")))
     joined = F.transform("samples", lambda s: F.concat(s["sample_idx"].cast("string"), F.lit(":"), s["text"]))
     return gen.regroup(rows, "doc_id", ["text"]).select(
-        "doc_id", F.size("samples").cast("bigint").alias("n_samples"), F.array_join(joined, "|").alias("joined")
+        "doc_id", F.size("samples").cast("bigint").alias("n_samples"), F.md5(F.array_join(joined, "|")).alias("joined")
     )
 
 
@@ -69,9 +71,9 @@ def generate_with_skip_on_error(spark, sf):
 
 
 @query(f"""with prompts as (select doc_id, concat({quoted(_BEFORE)}, text, {quoted(_AFTER)}) as p from documents)
-select doc_id, {strip_sql(stub_sql('p', '0'))} as generated from prompts""")
+select d.doc_id, {strip_sql("concat(text, ' [', md5(p), ']')")} as generated from prompts join documents d on d.doc_id = prompts.doc_id""")
 def prompt_and_generate(spark, sf):
-    made = gen.prompt_and_generate(table(spark, sf, "documents"), F.col("text"), fx.stub_factory)
+    made = gen.prompt_and_generate(table(spark, sf, "documents"), F.col("text"), fx.echo_factory)
     return made.select("doc_id", "generated")
 
 
@@ -90,7 +92,7 @@ select doc_id, label, i::integer as sample_idx, concat(text, ' ', gen) as text f
 @query(f"""with {FX_LABELED},
 f as (select l.doc_id, l.label, l.text, i, {stub_sql("substring(l.text, 1, 500)", "i")} as raw from fx_labeled l cross join range(5) r(i)),
 g as (select *, {first_sentence_sql("raw")} as gen from f),
-sc as (select g.*, round(e.embedding[1]::double, 6) as score
+sc as (select g.*, round(list_sum(e.embedding::double[]), 6) as score
        from g join embeddings e on e.vec_id = (g.doc_id * 5 + g.i) % (select count(*) from embeddings)),
 {CHOOSE_SQL}""")
 def augment_best_of_n(spark, sf):
@@ -102,13 +104,46 @@ def augment_best_of_n(spark, sf):
     return chosen.select("doc_id", "label", "sample_idx", "text")
 
 
+# rendered default chat around the input
+_CHAT_BEFORE = "system\n" + SYSTEM_ENGLISH + "".join(f"user\n{a}assistant\n{b}" for a, b in EXAMPLES) + "user\n"
+_CHAT_SQL = f"concat({quoted(_CHAT_BEFORE)}, substring(l.text, 1, 500), 'assistant' || chr(10))"
+
+
+@query(f"""with {FX_LABELED},
+f as (select l.doc_id, l.label, l.text, i, {fx.varied_sql(_CHAT_SQL, "i")} as gen from fx_labeled l cross join range(5) r(i)),
+sc as (select *, length(gen)::double as score from f),
+{CHOOSE_SQL}""")
+def augment_with_default_prompt(spark, sf):
+    """The whole step with the default chat as prompt and a score column that differs from sample to sample."""
+    inputs = fx_labeled(spark, sf).select("doc_id", "text", "label")
+    chosen = augment.augment_best_of_n(inputs, fx.varied_factory, lambda _, s: F.length(s).cast("double"))
+    return chosen.select("doc_id", "label", "sample_idx", "text")
+
+
+@query(f"""with {FX_LABELED}
+select doc_id, i::integer as sample_idx, 'model failed' as error, true as all_failed
+from fx_labeled cross join range(5) r(i) where length(substring(text, 1, 500)) % 7 = 0""")
+def augment_rejects(spark, sf):
+    """What a failing model leaves behind: each failed sample with its error."""
+    inputs = fx_labeled(spark, sf).select("doc_id", "text", "label")
+    _, rejects = augment.augment_with_rejects(
+        inputs,
+        scratch_path(spark, "augmented-samples"),
+        "doc_id",
+        fx.failing_factory,
+        lambda _, s: F.length(s).cast("double"),
+        prompt=fx.whole_prompt,
+    )
+    return rejects
+
+
 # length of the rendered conversation without the input and the reply
 _FRAME_CHARS = len("system\n" + SYSTEM_ENGLISH) + len("user\nassistant\n")
 _FRAME_CHARS += sum(len(f"user\n{given}assistant\n{wanted}") for given, wanted in EXAMPLES)
 
 
 @query(f"""with {FX_LABELED},
-f as (select l.doc_id, l.label, l.text, i, substring(l.text, 1, 8 + (i * i * 3) % 17) as raw from fx_labeled l cross join range(5) r(i)),
+f as (select l.doc_id, l.label, l.text, i, {fx.varied_sql("substring(l.text, 1, 500)", "i")} as raw from fx_labeled l cross join range(5) r(i)),
 g as (select *, {first_sentence_sql("raw")} as gen from f),
 sc as (select *, ({_FRAME_CHARS} + length(substring(text, 1, 500)) + length(gen))::double as score from g),
 {CHOOSE_SQL}""")
@@ -149,20 +184,26 @@ def ranked_rewrites(spark, sf):
 # -- uncertainty --------------------------------------------------------------------------------
 
 
+def _whole(vec: str):
+    """Length and sum of a vector."""
+    return [F.size(vec).cast("bigint").alias("n"), F.round(fx.total(F.col(vec)), 6).alias("total")]
+
+
 @query("""
-select vec_id // 5 as sample_id, vec_id % 5 as pos, round(embedding[1]::double, 6) as first_value
+select vec_id // 5 as sample_id, vec_id % 5 as pos, len(embedding)::bigint as n, round(list_sum(embedding::double[]), 6) as total
 from embeddings where vec_id % 5 >= 1 and vec_id % 5 < 4""")
 def span_tokens(spark, sf):
     tokens = tokens_of(spark, sf, 5, "logits")
     kept = un.span_tokens(tokens, fx.fx_spans(tokens, 1, 4))
-    return kept.select("sample_id", "pos", F.round(F.col("logits")[0], 6).alias("first_value"))
+    return kept.select("sample_id", "pos", *_whole("logits"))
 
 
-@query("select vec_id, label as layer, round(embedding[64]::double, 6) as last_value from embeddings where label = 5")
+@query("""select vec_id, label as layer, len(embedding)::bigint as n, round(list_sum(embedding::double[]), 6) as total
+from embeddings where label = 5""")
 def middle_layer(spark, sf):
     hidden = fx.vectors(spark, sf).withColumnRenamed("label", "layer")
     rows = un.middle_layer(hidden, num_layers=10)
-    return rows.select("vec_id", "layer", F.round(F.element_at("vec", -1), 6).alias("last_value"))
+    return rows.select("vec_id", "layer", *_whole("vec"))
 
 
 def _entropy_sql(condition: str, top: str, normalize: str) -> str:
@@ -298,6 +339,34 @@ def failed_score_sentinels(spark, sf):
     )
 
 
+@query(f"""with {_METRICS_SQL}, {FX_LABELED},
+fx_candidates as (
+  select l.doc_id as input_key, i as sample_idx, {stub_sql("l.text", "i")} as text,
+         case when m.svd_score is null then 'inf'::double else round(m.svd_score, 6) end as score
+  from fx_labeled l cross join range(5) r(i) left join metrics m on m.sample_id = l.doc_id * 5 + i),
+{BEST_SQL}
+select l.doc_id, l.label, b.sample_idx::integer as sample_idx, concat(l.text, ' ', b.text) as text
+from best b join fx_labeled l on l.doc_id = b.input_key""")
+def augment_from_model_outputs(spark, sf):
+    """From the tables that a model leaves to the augmented text: metrics, scores of the samples, choice.
+
+    Samples beyond the scored ones have failed; an input with failed samples only keeps its first one.
+    """
+    inputs = fx_labeled(spark, sf).select("doc_id", "text", "label")
+    numbers = F.sequence(F.lit(0), F.lit(fx.SAMPLES - 1))
+    texts = F.transform(
+        numbers,
+        lambda i: F.struct(
+            i.alias("sample_idx"),
+            F.concat(F.lit("aug "), F.md5("text"), F.lit(": "), F.col("text"), F.lit(" #"), i.cast("string")).alias("text"),
+            F.lit(None).cast("string").alias("error"),
+        ),
+    )
+    metrics = _metrics(spark, sf).withColumn("svd_score", F.round("svd_score", 6))
+    chosen = augment.augment_from_metrics(inputs.withColumn("samples", texts), metrics, "doc_id", fx.SAMPLES)
+    return chosen.select("doc_id", "label", "sample_idx", "text")
+
+
 # -- choice -------------------------------------------------------------------------------------
 
 

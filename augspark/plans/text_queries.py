@@ -132,10 +132,13 @@ def system_text_by_language(spark, sf):
 @query(f"""
 select doc_id, 12::bigint as n_messages, 'system' as first_role, {quoted(prompts.SYSTEM_ENGLISH)} as first_content,
   'user,assistant,user,assistant,user,assistant,user,assistant,user,assistant' as example_roles,
+  {quoted("|".join(content for pair in prompts.EXAMPLES for content in pair))} as example_contents,
   'user' as last_role, text as last_content from documents""")
 def chat_messages(spark, sf):
     messages = F.col("messages")
-    roles = F.transform(F.slice(messages, 2, F.size(messages) - 2), lambda m: m["role"])
+    examples = F.slice(messages, 2, F.size(messages) - 2)
+    roles = F.transform(examples, lambda m: m["role"])
+    contents = F.transform(examples, lambda m: m["content"])
     return (
         table(spark, sf, "documents")
         .select("doc_id", prompts.chat_messages(F.col("text"), F.col("lang")).alias("messages"))
@@ -145,6 +148,7 @@ def chat_messages(spark, sf):
             messages[0]["role"].alias("first_role"),
             messages[0]["content"].alias("first_content"),
             F.array_join(roles, ",").alias("example_roles"),
+            F.array_join(contents, "|").alias("example_contents"),
             F.element_at(messages, -1)["role"].alias("last_role"),
             F.element_at(messages, -1)["content"].alias("last_content"),
         )
@@ -152,9 +156,7 @@ def chat_messages(spark, sf):
 
 
 @query("""
-with ranked as (select *, row_number() over (partition by conv_id order by turn, role, text) as r from conversations)
-select conv_id, ((r - 1) // 256)::integer as part, string_agg(role || chr(10) || text, '' order by r) as rendered
-from ranked group by 1, 2""")
+select conv_id, string_agg(role || chr(10) || text, '' order by turn, role, text) as rendered from conversations group by 1""")
 def render_conversations(spark, sf):
     return chats.render_conversations(table(spark, sf, "conversations"))
 
@@ -165,16 +167,12 @@ def render_turns(spark, sf):
 
 
 @query("""
-with ranked as (select *, row_number() over (partition by conv_id order by turn, role, text) as r from conversations)
-select conv_id, ((r - 1) // 256)::integer as part,
-  string_agg(role || chr(10) || text, '' order by r) || 'assistant' || chr(10) || 'reply to ' || conv_id
+select conv_id, string_agg(role || chr(10) || text, '' order by turn, role, text) || 'assistant' || chr(10) || 'reply to ' || conv_id
     || 'assistant' || chr(10) as rendered
-from ranked group by 1, 2""")
+from conversations group by conv_id""")
 def append_reply(spark, sf):
-    parts = chats.chat_parts(table(spark, sf, "conversations"))
     reply = F.concat(F.lit("reply to "), F.col("conv_id").cast("string"))
-    messages = prompts.append_reply(F.col("messages"), reply)
-    return parts.select("conv_id", "part", prompts.render_chat(messages, open_reply=True).alias("rendered"))
+    return chats.with_reply(table(spark, sf, "conversations"), reply)
 
 
 @query("select item_id, 1::bigint as n_messages, 'user' as role, text as content from benchmark")

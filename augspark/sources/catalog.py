@@ -51,7 +51,7 @@ DATASETS = {
         mask_users=True,
         folder="Cyberbullying/weibo",
         scripts="Cyberbullying/weibo",
-        lexicon_classes=("非暴力", "暴力"),
+        lexicon_classes=("暴力", "非暴力"),
     ),
 }
 

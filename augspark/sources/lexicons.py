@@ -43,12 +43,22 @@ def read_lexicon(
     """
     words = parse_lexicon(whole_files(spark, path))
     if choice is not None:
+        check_choice(words, choice)
         words = words.where(F.col("choice") == choice)
     if classes is not None:
         check_class_count(words, len(classes))
     return words
 
 
+def check_choice(words: DataFrame, choice: int) -> None:
+    """Every lexicon has a set of this number."""
+    most = words.groupBy("lexicon").agg(F.max("choice").alias("last"))
+    short = most.where(F.col("last") < choice).first()
+    if short or choice < 0 or most.first() is None:
+        found = f"{short['lexicon']} has sets up to {short['last']}" if short else "no words found"
+        raise ValueError(f"no label-word set {choice}: {found}")
+
+
 def check_class_count(words: DataFrame, expected: int) -> None:
     wrong = (
         words.groupBy("lexicon", "choice")

@@ -18,28 +18,42 @@ RECORD_METRICS = (
 )
 RECORD_RULE = "=" * 20
 
+# Shared by all CSV that the library writes: doubled quotes, white space kept, "" for an empty text and
+# nothing for null
+CSV_WRITE_OPTIONS = {
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": '""',
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+# Reads appended output back as it was: each file has a header, texts may hold line breaks
+CSV_READ_OPTIONS = {
+    "header": True,
+    "multiLine": True,
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": "",
+    "nullValue": "\x00",  # an empty field without quotes is null in any case
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "maxCharsPerColumn": -1,
+}
+
 
 def append_rows(df: DataFrame, path: str, format: str = "parquet", first: bool = False, header: bool = True) -> None:
     """Append a batch to the output; the first one replaces what was there. Each CSV file has its header."""
     writer = df.write.mode("overwrite" if first else "append")
     if format == "csv":
-        writer.option("header", header).option("escape", '"').option("quote", '"').option("emptyValue", "").csv(path)
+        writer.options(**CSV_WRITE_OPTIONS).option("header", header).csv(path)
     else:
         writer.format(format).save(path)
 
 
 def write_labeled_csv(df: DataFrame, path: str, header: bool = False) -> None:
     """Quoted CSV in the form that the labelled readers expect."""
-    (
-        df.write.mode("overwrite")
-        .option("header", header)
-        .option("escape", '"')
-        .option("quoteAll", False)
-        .option("emptyValue", '""')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    df.write.mode("overwrite").options(**CSV_WRITE_OPTIONS).option("header", header).csv(path)
 
 
 def clean_text_file(spark: SparkSession, source: str, target: str) -> None:

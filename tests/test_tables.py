@@ -4,12 +4,14 @@ import hashlib
 import math
 import os
 import statistics
+import uuid
 
 import numpy as np
 import pytest
 from generators import counting_factory, picky_scorer, short_factory
 from pyspark.sql import functions as F
 
+from augspark.functions import templates
 from augspark.functions.scoring import density_mode
 from augspark.operators import chats, fewshot as fs, generate as gen, incremental as inc, lexicon as lx, skew
 from augspark.operators import uncertainty as un
@@ -132,7 +134,7 @@ def test_failures(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     for mode, bad in (("empty", ""), ("skip", None)):
         rows = gen.generate_text(df, F.col("t"), fx.failing_factory, on_error=mode).collect()
-        assert [r["generated"] for r in rows] == [bad, "aug: a #0", None, "aug: bb #0"]
+        assert [r["generated"] for r in rows] == [bad, fx.stub_text("a", 0), None, fx.stub_text("bb", 0)]
         assert [r["error"] for r in rows] == ["model failed", None, "no prompt", None]
     with pytest.raises(Exception, match="model failed"):
         gen.generate_text(df, F.col("t"), fx.failing_factory).collect()
@@ -164,14 +166,14 @@ def test_regroup_and_spread(spark):
 def test_augment_drops_nulls(spark):
     df = spark.createDataFrame([(1, "one. two"), (2, None)], "id int, text string")
     rows = augment.augment_best_of_n(df, fx.stub_factory, lambda t, s: F.length(s).cast("double"), prompt=fx.whole_prompt)
-    assert [tuple(r) for r in rows.collect()] == [(1, "one. two aug: one.", 0)]
+    assert [tuple(r) for r in rows.collect()] == [(1, f"one. two aug {fx.digest('one. two')}: one.", 0)]
 
 
 def test_scores_missing_for_some_samples(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
     scores = spark.createDataFrame([(1, 2, 5.0)], "id int, sample_idx int, svd_score double")
     rows = augment.augment_with_scores(df, fx.stub_factory, scores, "id", n_samples=3, prompt=fx.whole_prompt).collect()
-    assert {r["id"]: (r["sample_idx"], r["text"]) for r in rows} == {1: (2, "a aug: a #2"), 2: (0, "b aug: b #0")}
+    assert {r["id"]: (r["sample_idx"], r["text"]) for r in rows} == {1: (2, "a " + fx.stub_text("a", 2)), 2: (0, "b " + fx.stub_text("b", 0))}
 
 
 def test_scorer(spark):
@@ -191,7 +193,7 @@ def test_columns_of_python_functions(spark):
     df = df.select("id", same_text("raw").alias("text"), same_array("raw_logits").alias("logits"))
     first = augment.augment_best_of_n(df, fx.stub_factory, score_by_length, prompt=fx.whole_prompt)
     second = augment.augment_with_scorer(df, fx.stub_factory, fx.length_scorer, prompt=fx.whole_prompt)
-    assert first.first()["text"] == second.first()["text"] == "one. two aug: one."
+    assert first.first()["text"] == second.first()["text"] == f"one. two aug {fx.digest('one. two')}: one."
     lexicon = lx.LexiconArrays((0, 1), (0, 1), (0.0, 0.0))
     scored = lx.class_score_arrays(df, lexicon).select(lx.predicted_class(F.col("class_scores")))
     assert scored.first()[0] == 1
@@ -201,7 +203,7 @@ def test_scoring_prompts(spark):
     df = spark.createDataFrame([(1, "hello")], "id int, text string")
     made = augment.with_samples(df, fx.stub_factory, n_samples=2, prompt=fx.whole_prompt)
     rows = augment.scoring_prompts(made, "id").orderBy("sample_idx").collect()
-    assert rows[1]["full_prompt"].endswith("user\nhelloassistant\naug: hello #1")
+    assert rows[1]["full_prompt"].endswith("user\nhelloassistant\n" + fx.stub_text("hello", 1))
 
 
 @pytest.mark.parametrize("limit", [10_000, 100])
@@ -214,6 +216,88 @@ def test_long_conversation_is_cut(spark, monkeypatch, limit):
     assert "".join(r["rendered"] for r in parts) == "".join(f"u\n{i}" for i in range(1000))
 
 
+def test_reply_goes_to_the_end_once(spark):
+    turns = spark.range(600).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"), F.col("id").cast("string").alias("text"))
+    body = "".join(f"u\n{i}" for i in range(600))
+    whole = chats.with_reply(turns.repartition(5), F.lit("yes")).collect()
+    assert [r["rendered"] for r in whole] == [body + "assistant\nyes" + "assistant\n"]
+    parts = chats.with_reply(turns.repartition(5), F.lit("yes"), part_turns=256).orderBy("part").collect()
+    assert len(parts) == 3 and "".join(r["rendered"] for r in parts) == whole[0]["rendered"]
+    assert [r["rendered"] for r in chats.render_conversations(turns).collect()] == [body]
+
+
+def test_models_load_once_per_worker(spark, tmp_path):
+    def factory():
+        (tmp_path / uuid.uuid4().hex).touch()
+        return lambda prompts, sample_idx, **options: list(prompts)
+
+    texts = spark.range(10).select(F.col("id").cast("string").alias("text")).repartition(20)
+    for _ in range(3):
+        assert gen.generate_text(texts, F.col("text"), factory).where("error is not null").count() == 0
+    assert 1 <= len(list(tmp_path.iterdir())) <= 16, "three runs of 20 tasks on 8 cores; Spark may start a second worker on a core"
+
+
+def test_nulls_in_other_columns_are_kept(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, "x")], "id int, text string, note string")
+    step = lambda **more: augment.augment_best_of_n(df, fx.stub_factory, score_by_length, prompt=fx.whole_prompt)
+    assert [(r["id"], r["note"]) for r in step().collect()] == [(1, None)]
+
+
+def test_failures_of_the_whole_step(spark, tmp_path):
+    df = spark.createDataFrame([(1, "fine"), (2, "sevench"), (3, "also fine")], "id int, text string")
+    chosen, rejects = augment.augment_with_rejects(
+        df, str(tmp_path / "store"), "id", fx.failing_factory, score_by_length, prompt=fx.whole_prompt, n_samples=2
+    )
+    assert sorted(r["id"] for r in chosen.collect()) == [1, 3]
+    assert sorted(tuple(r) for r in rejects.collect()) == [(2, 0, "model failed", True), (2, 1, "model failed", True)]
+
+
+@pytest.mark.parametrize("name", ["tweets", "ToxiGen", "LHd", "weibo"])
+def test_class_of_the_first_label_word(spark, tmp_path, name):
+    known = catalog.find_dataset(name)
+    folder = tmp_path / known.scripts
+    folder.mkdir(parents=True)
+    for kind in ("manual", "adj", "kpt++"):
+        (folder / f"{kind}_verbalizer.txt").write_text("bully,insult\nkind,calm\n", encoding="utf-8")
+        words = {r["word"]: known.classes[r["class_id"]] for r in catalog.dataset_lexicon(spark, str(tmp_path), name, kind).collect()}
+        assert words["bully"] in ("cyberbullying", "暴力") and words["kind"] in ("not_cyberbullying", "非暴力")
+        with pytest.raises(ValueError, match="no label-word set 3"):
+            lexicons.read_lexicon(spark, str(folder / f"{kind}_verbalizer.txt"), choice=3)
+
+
+def test_stray_braces_and_odd_files(spark, tmp_path):
+    for bad in ("a } b", "a { b", '{"mask"} } x'):
+        with pytest.raises(ValueError):
+            templates.parse_template(bad)
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("line", encoding="utf-8")
+    with pytest.raises(ValueError, match="several files"):
+        templates.read_whole(spark, str(tmp_path / "*.txt"))
+    with pytest.raises(ValueError, match="more than the limit"):
+        templates.read_whole(spark, str(tmp_path / "a.txt"), limit=2)
+
+
+def test_csv_output_keeps_texts(spark, tmp_path):
+    rows = [(1, "  hi there  "), (2, ""), (3, None), (4, 'say "x", y'), (5, "two\nlines\n"), (6, " "), (7, "\\ back")]
+    path = str(tmp_path / "out")
+    sinks.append_rows(spark.createDataFrame(rows, "id int, text string").coalesce(2), path, "csv")
+    back = inc.read_written(spark, path, "csv")
+    assert sorted((int(r["id"]), r["text"]) for r in back.collect()) == rows
+    assert inc.written_rows(spark, path, "csv") == len(rows)
+
+
+def test_prior_is_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = spark.range(200).select((F.col("id") % 20).alias("example"), (F.col("id") / 20).cast("int").alias("word"), F.lit(0.5).alias("logit"))
+        lexicon = spark.range(10).select(F.col("id").cast("int").alias("word"), (F.col("id") % 2).cast("int").alias("class_id"))
+        p = lx.word_probabilities(scores, lexicon)
+        found = plan(lx.calibrated_probabilities(p, lx.calibration_prior(scores, lexicon)))
+        assert "SortMergeJoin" not in found and "hashpartitioning(word" not in found
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # -- label words --------------------------------------------------------------------------------
 
 
@@ -371,7 +455,7 @@ def test_resume_is_idempotent(spark, tmp_path):
         assert inc.written_rows(spark, path) == 200
     lines = df.select(F.concat_ws("\n", F.lit("two"), F.lit("lines, and a comma")).alias("text"), "unique_id")
     sinks.append_rows(lines, path + "-csv", "csv")
-    assert inc.written_rows(spark, path + "-csv", "csv", header=True, multiLine=True, escape='"') == 200
+    assert inc.written_rows(spark, path + "-csv", "csv") == 200
     nulls = spark.createDataFrame([(None,), (1,)], "k int")
     assert inc.unprocessed(nulls, nulls.where("k is null"), ["k"]).collect()[0]["k"] == 1
 
@@ -387,7 +471,7 @@ def test_pending_rows(spark, tmp_path):
     for part in (df.where("id < 10"), df, df):
         augment.augment_pending(part, target, ["id"], step)
     got = [tuple(r) for r in spark.read.parquet(target).select("id", "text").collect()]
-    assert sorted(got) == [(i, f"text {i} aug: text {i} #0") for i in range(30)]
+    assert sorted(got) == [(i, f"text {i} " + fx.stub_text(f"text {i}", 0)) for i in range(30)]
 
 
 def test_finished_batches_survive_a_failure(spark, tmp_path):
@@ -417,7 +501,7 @@ def test_dataset_is_augmented_in_place(spark, tmp_path):
         datasets.augment_dataset(spark, str(tmp_path), "ToxiGen", step)
         rows = catalog.read_split(spark, str(tmp_path), "ToxiGen", "test").collect()
         assert sorted((r["label"], r["text"]) for r in rows) == [
-            (0, "one, two aug: one, two #0"), (1, "copy aug: copy #0"), (1, "copy aug: copy #0"),
+            (0, "one, two " + fx.stub_text("one, two", 0)), *[(1, "copy " + fx.stub_text("copy", 0))] * 2,
         ]
 
 
@@ -425,7 +509,7 @@ def test_rejects_are_stored_once(spark, tmp_path):
     df = spark.createDataFrame([("1234567",), ("a",)], "t string")
     made = gen.generate_text(df, F.col("t"), fx.failing_factory, on_error="skip")
     good, bad = gen.store_with_rejects(made, str(tmp_path / "made"))
-    assert [r["generated"] for r in good.collect()] == ["aug: a #0"]
+    assert [r["generated"] for r in good.collect()] == [fx.stub_text("a", 0)]
     assert [(r["t"], r["error"]) for r in bad.collect()] == [("1234567", "model failed")]
 
 
