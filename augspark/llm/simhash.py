@@ -21,7 +21,7 @@ from augspark.session import cut_lineage
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
 # Fingerprints that the top of the tree is fitted on, and fingerprints wanted in a shard
-SAMPLE, SHARD = 4096, 20_000
+SAMPLE, SHARD = 4096, 100_000
 # At the end of the tree all pairs of a leaf's home rows and its visitors are compared
 LEAF = 64
 
@@ -173,7 +173,7 @@ def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS, shard: int = SHARD,
     they are changes the shards but not the links' components.
     """
     n = fps.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))) * 2)
+    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
     chosen = [r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()] if depth else []
     tree = build_top(np.array(chosen, np.int64).view(np.uint64), depth, bits, np.random.default_rng(5)) if depth else None
 
