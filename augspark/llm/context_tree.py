@@ -317,15 +317,16 @@ def fit_context_tree(dealt: DataFrame, buckets: int = BUCKETS) -> ContextTree:
         )
 
     asked_path = scratch_path(spark, "context-windows")
-    dealt.groupBy("run").applyInArrow(count, "bucket int, run int, windows binary, counts binary").write.parquet(asked_path)
-    asked = spark.read.parquet(asked_path)
+    counted = dealt.groupBy("run").applyInArrow(count, "bucket int, run int, windows binary, counts binary")
+    counted.write.parquet(asked_path)
+    asked = spark.read.schema(counted.schema).parquet(asked_path)
     merged = asked.groupBy("bucket").applyInArrow(
         merge,
         "bucket int, windows binary, counts binary, node array<bigint>, zeros array<bigint>, ones array<bigint>, below array<double>",
     )
     path = scratch_path(spark, "context-tree")
     merged.write.parquet(path)
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(merged.schema).parquet(path)
     slim = stored.select(F.explode(F.arrays_zip("node", "zeros", "ones", "below")).alias("x")).select("x.*")
     rows = slim.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
     rows = rows.orderBy("node").collect()  # at most 257 x 255, and one of the words
@@ -412,8 +413,8 @@ def language_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     Null texts count as empty and consist of the end mark only. Equal rows get equal scores. Without
     training rows every decision has the chance one half. An empty table gives an empty result.
     """
-    texts = docs.withColumn("_train", F.coalesce(train, F.lit(False))).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     runs = run_count(texts, "_text", run_bytes)
-    dealt = dealt_into_runs(texts, runs, key, "_text", [F.col("_train").alias("train")])
+    dealt = dealt_into_runs(texts, runs, "_key", "_text", [F.col("_train").alias("train")])
     tree = fit_context_tree(dealt, buckets)
     return score_context_tree(dealt, tree).withColumn("train_tokens", F.lit(tree.tokens).cast("bigint")).withColumnRenamed("key", key)

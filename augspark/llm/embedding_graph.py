@@ -267,8 +267,9 @@ def near_vector_groups(vectors: DataFrame, key: str = "vec_id", embedding: str =
         return pa.table({k: pa.array([v], pa.int32() if isinstance(v, int) else pa.binary()) for k, v in values.items()})
 
     path = scratch_path(spark, "vector-graphs")
-    dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, numbers binary, vectors binary, graph binary").write.parquet(path)
-    graphs = spark.read.parquet(path)
+    built = dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, numbers binary, vectors binary, graph binary")
+    built.write.parquet(path)
+    graphs = spark.read.schema(built.schema).parquet(path)
 
     def search(at: tuple[pa.Scalar, ...], asks: pa.Table, shards_: pa.Table) -> pa.Table:
         dim, out = at[0].as_py(), {"class": [], "links": [], "u": [], "v": []}

@@ -142,9 +142,11 @@ def _refine(narrow: DataFrame, state: DataFrame, digits: int) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents as often as the mix takes them; columns as given. ``key`` must be unique."""
-    mixed = mix_sources(docs, key=key, **options).where(F.col("copies") > 0).select(F.col(key).alias("_mix_key"), F.col("copies").alias("_mix_copies"))
-    repeated = docs.join(mixed, F.col(key).eqNullSafe(F.col("_mix_key")))
+    """The documents as often as the mix takes them; columns as given. Rows with equal keys go together."""
+    source = options.get("source", "source")
+    mixed = mix_sources(docs, key=key, **options).where(F.col("copies") > 0)
+    mixed = mixed.select(F.col(key).alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies")).distinct()
+    repeated = docs.join(mixed, F.col(key).eqNullSafe(F.col("_mix_key")) & F.col(source).eqNullSafe(F.col("_mix_source")))
     return repeated.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_mix_copies"))).select(*docs.columns)
 
 

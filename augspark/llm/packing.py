@@ -293,8 +293,9 @@ def pack(
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
     # stored: ids are computed once, and a lost executor does not change the order of a queue
-    tokenized(docs, tokenizer_path, key, source, text, end_id).write.parquet(path)
-    stored = spark.read.parquet(path)
+    ids = tokenized(docs, tokenizer_path, key, source, text, end_id)
+    ids.write.parquet(path)
+    stored = spark.read.schema(ids.schema).parquet(path)
     parts = stored.groupBy("task", "source").agg(F.sum("n_tokens").alias("tokens"))
     before = F.sum("tokens").over(Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     begins = parts.select(

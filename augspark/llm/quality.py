@@ -236,9 +236,11 @@ def fit_quality(
     to MAX_LINES lines of a sampled text come to the driver. Rows without key, label or words teach nothing.
     """
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where("_key is not null and _label in (0, 1)")
-    chosen = known.dropDuplicates(["_key"]).orderBy(F.md5(F.col("_key").cast("string")), "_key").limit(max_texts)
+    chosen = known.groupBy("_key").agg(F.min("_label").alias("_label")).orderBy(F.md5(F.col("_key").cast("string")), "_key").limit(max_texts)
     rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
-    sample = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).select(F.col("_text").cast("binary"), "_label")
+    # a repeated key counts once, so the sample is bounded whatever the table holds
+    once = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).groupBy("_key").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label"))
+    sample = once.select(F.col("_text").cast("binary"), "_label")
     found = [r for r in sample.mapInArrow(_line_rows, "facts binary, label int").collect() if r["facts"]]
     found.sort(key=lambda r: (bytes(r["facts"]), r["label"]))  # the same field whatever the order of rows
     return fit_field([np.frombuffer(r["facts"], np.uint8).reshape(-1, 23) for r in found], [r["label"] for r in found])

@@ -222,7 +222,14 @@ def simhash_groups(
 
 
 def keep_one_per_group(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents whose key is their component's smallest; columns as given. Rows with equal keys stay together."""
+    """The documents whose key is their component's smallest; columns as given.
+
+    Of rows with the same key and text one stays; a key with several texts keeps each of them.
+    """
     first = simhash_groups(docs, key=key, **options).where(F.col(key).eqNullSafe(F.col("component_id")))
-    chosen = first.select(F.col(key).alias("_chosen")).distinct()
-    return docs.join(chosen, F.col(key).eqNullSafe(F.col("_chosen")), "left_semi")
+    chosen = cut_lineage(first.groupBy(F.col(key).alias("_chosen")).agg(F.count("*").alias("_rows")))
+    kept = lambda c: docs.join(c, F.col(key).eqNullSafe(F.col("_chosen")), "left_semi")
+    if chosen.where("_rows > 1").first() is None:
+        return kept(chosen)
+    repeated = kept(chosen.where("_rows > 1")).dropDuplicates([key, options.get("text", "text")])
+    return kept(chosen.where("_rows = 1")).unionByName(repeated)

@@ -154,13 +154,15 @@ def fit_toxicity(
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where("_key is not null and _label in (0, 1)")
     if usable is not None:
         known = known.where(usable)
-    chosen = known.dropDuplicates(["_key"]).orderBy(F.md5(F.col("_key").cast("string")), "_key").limit(max_rows)
+    chosen = known.groupBy("_key").agg(F.max("_label").alias("_label")).orderBy(F.md5(F.col("_key").cast("string")), "_key").limit(max_rows)
     rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).where("_text is not null")
-    sample = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).select(F.col("_text").cast("binary"), "_label")
+    # a repeated key counts once, so the sample is bounded whatever the table holds
+    once = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).groupBy("_key").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    sample = once.select(F.col("_text").cast("binary"), "_label")
     found = sample.mapInArrow(_slots_of, "slots binary, label int").collect()
     found.sort(key=lambda r: (bytes(r["slots"]), r["label"]))  # the same machine whatever the order of rows
     rng = np.random.default_rng(1)
-    found = [found[i] for i in rng.permutation(len(found))][:max_rows]
+    found = [found[i] for i in rng.permutation(len(found))]
     return fit_machine([np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in found], np.array([r["label"] for r in found]))
 
 
