@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Texts are handled in buffers of about this many bytes, whatever the size of an Arrow batch
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 # The white space of `[^\x20\x09-\x0D]+`
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 # The byte between two texts of a buffer; it is white space, so no word crosses it
@@ -73,24 +73,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse, kept by the worker for the next block."""
+
+    def make(size: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+            powers = np.full(size, base, np.uint64)
+            powers[0] = 1
+            out.append(np.cumprod(powers))
+        return out[0], out[1]
+
+    if n > BLOCK_BYTES * 2:
+        return make(n)
+    held = worker_state("powers", lambda: make(BLOCK_BYTES * 2))
+    return held[0][:n], held[1][:n]
+
+
 class SpanHash:
     """64-bit hashes of any spans of a buffer, all taken from one running sum."""
 
     def __init__(self, buf: np.ndarray):
         n = len(buf)
         table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-        powers = np.full(n + 1, _ODD, np.uint64)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
-        self.inverse = np.full(n + 1, pow(_ODD, -1, 1 << 64), np.uint64)
-        self.inverse[0] = 1
-        np.cumprod(self.inverse, out=self.inverse)
+        powers, self.inverse = _powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[buf] * powers[:n], out=self.sums[1:])
+        values = table[buf]
+        values *= powers[:n]
+        np.cumsum(values, out=self.sums[1:])
 
     def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mix((self.sums[last] - self.sums[first]) * self.inverse[first])
 
+    def all_of_size(self, size: int) -> np.ndarray:
+        """Unmixed hashes of the spans of one size at every place; :func:`mix` gives the usual ones."""
+        return (self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size]
+
 
 def counts_per_text(text_of: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     """How many items (or which sum of weights) each of n texts has, as integers."""

@@ -28,11 +28,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from augspark.llm.arrays import SpanHash, text_blocks
+from augspark.llm.arrays import SpanHash, mix, text_blocks
 from augspark.llm.runs import RUN_BYTES, dealt_into_runs, join_parts, pack_sorted, run_count, sorted_counts, split_parts, unpack_sorted
 
 LENGTH = 100
 HOT = 1000
+# Entries with one anchor that are compared pair by pair; more are compared by a set of their windows
+PAIRWISE = 6
 
 
 def anchored(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -43,31 +45,34 @@ def anchored(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     none = np.zeros(0, np.int64)
     if m < reach:
         return none, none, none, np.zeros(0, np.uint64), none
-    at = np.arange(m)
-    hashes = SpanHash(buf)(at, at + part)
+    fits = ends - starts >= length
+    if not fits.any():
+        return none, none, none, np.zeros(0, np.uint64), none
+    raw = SpanHash(buf).all_of_size(part)
     bits = np.uint64(int(len(buf)).bit_length())
     # the lowest hash, the leftmost of equal ones
-    low = (hashes >> bits << bits) | at.astype(np.uint64)
+    low = raw * np.uint64(0x9E3779B97F4A7C15)
+    low >>= bits
+    low <<= bits
+    low |= np.arange(m, dtype=np.uint64)
     span = 1
     while span * 2 <= reach:
         low = np.minimum(low[: len(low) - span], low[span:])
         span *= 2
     if span < reach:
         low = np.minimum(low[: len(low) - (reach - span)], low[reach - span :])
-    anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    room = np.zeros(len(buf) + 1, np.int64)
-    fits = ends - starts >= length
-    np.add.at(room, starts[fits], 1)
-    np.add.at(room, ends[fits] - length + 1, -1)
-    window = np.flatnonzero(np.cumsum(room)[: len(anchor)] > 0)
-    if not len(window):
-        return none, none, none, np.zeros(0, np.uint64), none
-    anchor = anchor[window]
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(window)) - 1
-    lo, hi, p = window[first], window[last], anchor[first]
-    return lo, hi, p, hashes[p], np.searchsorted(ends, lo, "right")
+    change = np.flatnonzero(low[1:] != low[:-1]) + 1
+    text = np.searchsorted(ends, change, "right")
+    inside = (change > starts[text]) & (change <= ends[text] - length)
+    lo = np.concatenate([starts[fits], change[inside]])
+    text = np.concatenate([np.flatnonzero(fits), text[inside]])
+    order = np.argsort(lo)
+    lo, text = lo[order], text[order]
+    hi = np.append(lo[1:] - 1, 0)
+    final = np.append(text[1:] != text[:-1], True)
+    hi[final] = ends[text[final]] - length
+    p = (low[lo] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return lo, hi, p, mix(raw[p]), text
 
 
 def in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
@@ -184,6 +189,18 @@ def merged(runs: list[list[bytes]], shared: list[list[int]]) -> Iterator[tuple[i
             node >>= 1
 
 
+def _shared_end(a: bytes, b: bytes) -> int:
+    """How many of their last bytes are equal."""
+    n = min(len(a), len(b))
+    if n == 0:
+        return 0
+    x, y = a[len(a) - n :], b[len(b) - n :]
+    if x == y:
+        return n
+    differ = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+    return n - (differ.bit_length() + 7) // 8
+
+
 def _scan(table: pa.Table, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
     for lo, _, buf, starts, ends in text_blocks(_texts(table)):
         yield lo, buf, starts, anchored(buf, starts, ends, length)
@@ -270,10 +287,29 @@ def repeated_windows(messages: list[tuple[int, bytes]], length: int = LENGTH) ->
         details.append(list(zip(left, *numbers, strict=True)))
     out: dict[int, list[tuple[int, int, int]]] = {}
 
-    def settle(group: list[tuple[int, int]]) -> None:
+    def settle(group: list[tuple[int, int, int]]) -> None:
+        if len(group) > PAIRWISE:
+            return settle_many(group)
+        # shared bytes to the right of the anchor are known from the merge
+        for b in range(len(group)):
+            known = length
+            for a in range(b - 1, -1, -1):
+                known = min(known, group[a + 1][2])
+                one, two = group[a], group[b]
+                x, y = details[one[0]][one[1]], details[two[0]][two[1]]
+                first_x = (x[1], x[2], messages[one[0]][0], x[3], x[4]) < (y[1], y[2], messages[two[0]][0], y[3], y[4])
+                s, i = (two[0], two[1]) if first_x else (one[0], one[1])
+                later = y if first_x else x
+                shared_left = _shared_end(x[0], y[0])
+                size = len(later[0])
+                from_, to = size - shared_left, min(size + len(runs[s][i]) - length, size - length + known)
+                if from_ <= to:
+                    out.setdefault(messages[s][0], []).append((later[3], later[4] + from_, to - from_ + 1))
+
+    def settle_many(group: list[tuple[int, int, int]]) -> None:
         members = sorted(
             (details[s][i][1], details[s][i][2], messages[s][0], details[s][i][3], details[s][i][4], details[s][i][0] + runs[s][i])
-            for s, i in group
+            for s, i, _ in group
         )
         seen: set[bytes] = set()
         for _, _, run, row, place, whole in members:
@@ -296,13 +332,13 @@ def repeated_windows(messages: list[tuple[int, bytes]], length: int = LENGTH) ->
                     out.setdefault(run, []).append((row, place + again, i - again))
                     again = -1
 
-    group: list[tuple[int, int]] = []
+    group: list[tuple[int, int, int]] = []
     for s, i, known in merged(runs, shared):
         if known < part and group:
             if len(group) > 1:
                 settle(group)
             group = []
-        group.append((s, i))
+        group.append((s, i, known))
     if len(group) > 1:
         settle(group)
     return out
@@ -324,13 +360,11 @@ def remove_repeats(
     their text and the text. Null texts count as empty, texts shorter than ``length`` stay whole. Keys are
     whole numbers. An empty table gives an empty result.
     """
-    whole = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("string").alias("none"))
+    whole = docs.select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), carried.alias("_carried"))
     runs = run_count(whole, "_text", run_bytes)
     buckets = max(12, min(2 * runs, 1024))
-    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("string").alias("none"))
-    dealt = dealt_into_runs(
-        whole.withColumn(key, F.col(key).cast("bigint")), runs, key, "_text", [F.xxhash64("_text").alias("mark"), carried.alias("carried")]
-    )
+    dealt = dealt_into_runs(whole, runs, "_key", "_text", [F.xxhash64("_text").alias("mark"), F.col("_carried").alias("carried")])
 
     def ask(run: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found = [sorted_counts(e[3]) for _, _, _, e in _scan(table, length)]
