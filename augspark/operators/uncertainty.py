@@ -9,6 +9,7 @@ the table are scored, which saves the join where the writer has already left out
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from augspark.functions.scoring import (
     top_entropy,
     top_entropy_arrow,
 )
-from augspark.operators.skew import BROADCAST_ROWS, broadcast_if_small, split_by_group_size
+from augspark.operators.skew import BROADCAST_ROWS, split_by_group_size
+from augspark.session import cut_lineage
 
 # Fixed values of the metrics
 DIAGONAL_EPSILON = 1e-12
@@ -39,6 +41,28 @@ DEFAULT_TOP_K = 50
 MAX_GRAM_TOKENS = 4_096
 
 
+@dataclass(frozen=True)
+class StoredSpans:
+    """Spans stored once, with what all scores want to know of them.
+
+    table: (sample_id, start, end), with a broadcast hint if it is small. rows: its length. longest: the
+    tokens of the longest span.
+    """
+
+    table: DataFrame
+    rows: int
+    longest: int
+
+
+def stored_spans(spans: DataFrame | StoredSpans) -> StoredSpans:
+    """Stores three columns of the spans and looks at them once; the scores need no further job to be planned."""
+    if isinstance(spans, StoredSpans):
+        return spans
+    table = cut_lineage(spans.select("sample_id", "start", "end"))
+    rows, longest = table.agg(F.count("*"), F.max(F.col("end") - F.col("start"))).first()
+    return StoredSpans(F.broadcast(table) if rows <= BROADCAST_ROWS else table, rows, longest or 0)
+
+
 def in_span() -> Column:
     return (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
 
@@ -58,7 +82,7 @@ def middle_layer(table: DataFrame, num_layers: int) -> DataFrame:
 
 def logit_entropy(
     logits: DataFrame,
-    spans: DataFrame | None = None,
+    spans: DataFrame | StoredSpans | None = None,
     top_k: int | None = None,
     normalize: str = "mean",
     wide: bool | None = None,
@@ -75,17 +99,17 @@ def logit_entropy(
     entropy = (top_entropy_arrow if wide else top_entropy)(F.col("logits"), top_k)
     width = F.size("logits") if top_k is None else F.least(F.size("logits"), F.lit(top_k))
     weight = {"mean": width, "sum": F.lit(1)}[normalize]
-    spans, rows = broadcast_if_small(spans) if spans is not None else (None, 0)
-    if spans is None:
+    known = stored_spans(spans) if spans is not None else None
+    if known is None:
         scored = logits.select("sample_id", entropy.alias("h"), weight.alias("w"))
-    elif rows <= BROADCAST_ROWS:
+    elif known.rows <= BROADCAST_ROWS:
         # no shuffle before the aggregate, and tokens outside their span are not scored
-        inside = logits.join(spans, "sample_id").withColumn("logits", F.when(in_span(), F.col("logits")))
+        inside = logits.join(known.table, "sample_id").withColumn("logits", F.when(in_span(), F.col("logits")))
         scored = inside.select("sample_id", entropy.alias("h"), weight.alias("w"))
     else:
         # the join would shuffle the logits, so each token is reduced to two numbers first
         tokens = logits.select("sample_id", "pos", entropy.alias("h"), weight.alias("w"))
-        scored = tokens.join(spans, "sample_id").withColumn("h", F.when(in_span(), F.col("h")))
+        scored = tokens.join(known.table, "sample_id").withColumn("h", F.when(in_span(), F.col("h")))
     weights = F.sum(F.when(F.col("h").isNotNull(), F.col("w")))
     score = F.coalesce(F.sum("h") / weights, F.lit(NAN))
     return scored.groupBy("sample_id").agg(score.alias("logit_entropy"))
@@ -101,7 +125,8 @@ def _vectors(table: pa.Table) -> np.ndarray:
 
 
 def _gram_score(table: pa.Table) -> pa.Table:
-    score = mean_log_singular_value(_vectors(table))
+    inside = table.drop_null()
+    score = mean_log_singular_value(_vectors(inside)) if inside.num_rows else NAN
     return pa.table({"sample_id": table.column("sample_id")[:1], "svd_score": [score]})
 
 
@@ -128,6 +153,9 @@ def _partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.record_batch(columns)
 
     for batch in batches:
+        batch = batch.drop_null()
+        if not batch.num_rows:
+            continue
         table = pa.Table.from_batches([batch])
         id_type = batch.schema.field(0).type
         codes = batch.column(0).dictionary_encode(null_encoding="encode")
@@ -139,8 +167,9 @@ def _partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             held = sums.setdefault(sample, [0.0, 0])
             held[0] = held[0] + part.T @ part
             held[1] += len(part)
-        if len(sums) * 8 * z.shape[1] ** 2 > _HELD_BYTES:
-            yield from rows()
+            # before the next matrix is made: at most one more than the limit allows is held
+            if (len(sums) + 1) * 8 * z.shape[1] ** 2 > _HELD_BYTES:
+                yield from rows()
     yield from rows()
 
 
@@ -155,21 +184,27 @@ def _product_score(table: pa.Table) -> pa.Table:
 
 
 def svd_score(
-    hidden: DataFrame, spans: DataFrame | None, layer: int, max_tokens: int = MAX_GRAM_TOKENS
+    hidden: DataFrame, spans: DataFrame | StoredSpans | None, layer: int, max_tokens: int = MAX_GRAM_TOKENS
 ) -> DataFrame:
     """Mean log singular value of the ridged Gram matrix of a span's centred token vectors.
 
     Samples above ``max_tokens`` are reduced to d x d sums of outer products, added up per task before
     the shuffle and then row by row of the matrix.
     """
-    layer_rows = hidden.where(F.col("layer") == layer).select("sample_id", "pos", "vec")
-    if spans is not None:
-        spans, _ = broadcast_if_small(spans)
-    tokens = layer_rows if spans is None else span_tokens(layer_rows, spans)
-    tokens = tokens.select("sample_id", "vec")
+    tokens = hidden.where(F.col("layer") == layer).select("sample_id", "pos", "vec")
     id_type = hidden.schema["sample_id"].dataType.simpleString()
     schema = f"sample_id {id_type}, svd_score double"
-    small, large = split_by_group_size(tokens, ["sample_id"], max_tokens)
+    if spans is None:
+        small, large = split_by_group_size(tokens.select("sample_id", "vec"), ["sample_id"], max_tokens)
+    else:
+        known = stored_spans(spans)
+        # a row outside its span loses its vector but tells that the sample has rows, which gives NaN
+        inside = tokens.join(known.table, "sample_id").withColumn("vec", F.when(in_span(), F.col("vec")))
+        is_large = F.col("end") - F.col("start") > max_tokens
+        small, large = inside.select("sample_id", "vec"), None
+        if known.longest > max_tokens:
+            large = inside.where(is_large & F.col("vec").isNotNull()).select("sample_id", "vec")
+            small = inside.where(~is_large | F.col("vec").isNull()).select("sample_id", "vec")
     scores = small.groupBy("sample_id").applyInArrow(_gram_score, schema)
     if large is not None:
         partial = large.mapInArrow(
@@ -180,11 +215,10 @@ def svd_score(
             F.sum("tokens").alias("tokens"),
         )
         scores = scores.unionByName(summed.groupBy("sample_id").applyInArrow(_product_score, schema))
-    if spans is None:
+    if large is None or spans is None:
         return scores
-    # NaN for a sample that has rows in the layer but none in its span
-    present = layer_rows.join(spans.select("sample_id"), "sample_id", "left_semi").select("sample_id").distinct()
-    return present.join(scores, "sample_id", "left").withColumn("svd_score", F.coalesce("svd_score", F.lit(NAN)))
+    # of a large sample, the rows outside its span have given NaN beside its score
+    return scores.groupBy("sample_id").agg(F.coalesce(F.min(F.when(~F.isnan("svd_score"), F.col("svd_score"))), F.lit(NAN)).alias("svd_score"))
 
 
 # -- attention diagonal -------------------------------------------------------------------------
@@ -196,14 +230,13 @@ def own_attention(attention: DataFrame) -> Column:
     return own.cast("double")
 
 
-def attention_score(attention: DataFrame, spans: DataFrame | None, layer: int) -> DataFrame:
+def attention_score(attention: DataFrame, spans: DataFrame | StoredSpans | None, layer: int) -> DataFrame:
     """Sum over heads of the mean log self-attention of the span's tokens."""
     tokens = attention.where(F.col("layer") == layer).select(
         "sample_id", "head", "pos", safe_log(own_attention(attention)).alias("log_own")
     )
     if spans is not None:
-        spans, _ = broadcast_if_small(spans)
-        tokens = tokens.join(spans, "sample_id").withColumn("log_own", F.when(in_span(), F.col("log_own")))
+        tokens = tokens.join(stored_spans(spans).table, "sample_id").withColumn("log_own", F.when(in_span(), F.col("log_own")))
     heads = tokens.groupBy("sample_id", "head").agg(F.avg("log_own").alias("head_mean"))
     # an average over no token is NaN
     total = F.sum(F.coalesce("head_mean", F.lit(NAN)))
@@ -241,8 +274,9 @@ def calculate_metrics(
     NaN. A sample without logits fails the job, or when not ``strict`` is left out, so that
     :func:`attach_scores` treats it as failed.
     """
+    spans = stored_spans(spans)
     entropy = logit_entropy(logits, spans, top_k, wide=wide)
-    out = spans.select("sample_id").join(entropy, "sample_id", "left" if strict else "inner")
+    out = spans.table.select("sample_id").join(entropy, "sample_id", "left" if strict else "inner")
     if strict:
         missing = F.raise_error(F.concat(F.lit("no logits for sample "), F.col("sample_id").cast("string")))
         out = out.withColumn("logit_entropy", F.coalesce("logit_entropy", missing.cast("double")))

@@ -64,7 +64,7 @@ def test_logit_entropy(spark, wide, top_k, expected):
 @pytest.mark.parametrize("fits", [True, False])
 def test_entropy_of_odd_tokens(spark, monkeypatch, fits):
     if not fits:
-        monkeypatch.setattr(un, "broadcast_if_small", lambda df: (df, un.BROADCAST_ROWS + 1))
+        monkeypatch.setattr(un, "BROADCAST_ROWS", -1)
     table = logits_table(spark, [[[2, 1, 0], [1, 1, 1]], [[0, -INF]], [[0, -2000.0]], [[1, 2]]])
     got = by_sample(un.logit_entropy(table, spans(spark, [(0, 5, 9), (1, 0, 1), (2, 0, 1), (9, 0, 1)])), "logit_entropy")
     assert set(got) == {0, 1, 2}
@@ -257,3 +257,36 @@ def test_input_results(spark):
     assert [s["text"] for s in row["samples"]] == ["t1", "t0", "t2"]
     empty = spark.createDataFrame([("x", [])], "input_key string, samples array<struct<sample_idx:int,text:string,score:double>>")
     assert sel.input_results(empty, "input_key").first()["best_sample"] == ""
+
+
+def test_few_jobs_to_plan_the_metrics(spark):
+    """The spans are stored and looked at once; the scores themselves need no job to be planned."""
+    logits = spark.range(60).select((F.col("id") / 6).cast("int").alias("sample_id"), (F.col("id") % 6).alias("pos"), F.array(F.lit(1.0), F.lit(2.0)).alias("logits"))
+    hidden = logits.select("sample_id", "pos", F.col("logits").alias("vec"), F.lit(0).alias("layer"))
+    spans = un.stored_spans(logits.select("sample_id", F.lit(1).alias("start"), F.lit(4).alias("end")).distinct())
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "metrics")
+    try:
+        out = un.calculate_metrics(spans, logits, hidden, None, layer=0)
+        assert len(tracker.getJobIdsForGroup("planning")) == 0
+        assert out.count() == 10
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_products_are_held_one_at_a_time(monkeypatch):
+    """Many short samples of one batch: no more matrices are held than the limit allows."""
+    import pyarrow as pa
+
+    n, d = 400, 32
+    monkeypatch.setattr(un, "_HELD_BYTES", 4 * 8 * d * d)
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(n, d))
+    ids = np.arange(n) % 100
+    batch = pa.record_batch({"sample_id": pa.array(ids), "vec": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+    out = list(un._partial_products(iter([batch])))
+    assert len(out) == 100 and all(b.num_rows == d for b in out)
+    z = vectors - vectors.mean(1, keepdims=True)
+    for b in out:
+        own = z[ids == b.column("sample_id")[0].as_py()]
+        assert np.allclose(np.array(b.column("products").to_pylist()), own.T @ own) and b.column("tokens")[0].as_py() == 4
