@@ -131,11 +131,26 @@ def _partial_densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield rows()
 
 
-def density_modes(candidates: DataFrame, key: str, score: str = "score") -> DataFrame:
-    """Density mode of each input that has one, from partial sums per grid point.
+def density_modes(
+    candidates: DataFrame, key: str, score: str = "score", group_limit: int = SMALL_GROUP
+) -> DataFrame:
+    """Density mode of each input that has one.
+
+    The scores of inputs with up to ``group_limit`` candidates meet as one array each; only larger inputs
+    use :func:`summed_modes`. The modes are the same either way.
+    """
+    table = candidates.select(key, F.col(score).cast("double").alias("_score"))
+    small, large = split_by_group_size(table, [key], group_limit)
+    arrays = small.groupBy(key).agg(F.collect_list("_score").alias("_scores"))
+    modes = arrays.select(key, density_mode_arrow(F.col("_scores")).alias("mode")).where(F.col("mode").isNotNull())
+    return modes if large is None else modes.unionByName(summed_modes(large, key, "_score"))
+
+
+def summed_modes(candidates: DataFrame, key: str, score: str = "score") -> DataFrame:
+    """Density modes from partial sums per grid point.
 
     Each task adds up its own candidates at the 500 grid points of an input before the shuffle, so an
-    input with very many candidates costs one array per task. Small inputs are cheaper as arrays.
+    input with very many candidates costs one array per task.
     """
     moments = score_moments(candidates, key, score).where((F.col("n_valid") > 1) & (F.col("low") > -INF))
     bounds = stored_side(
@@ -176,7 +191,7 @@ def best_candidates(
     best = with_best_sample(arrays).select(key, "best_sample.*")
     if large is None:
         return best
-    modes = stored_side(density_modes(large, key))
+    modes = stored_side(summed_modes(large, key))
     distance = _distance(F.col("score"), F.col("mode"))
     best_large = (
         join_keys(large, modes, [key], "left")

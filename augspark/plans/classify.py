@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from augspark.functions.templates import render_template
 from augspark.functions.text import truncate_tokens
-from augspark.operators.fewshot import DEFAULT_SHOTS, evaluate, sample_shots
+from augspark.operators.fewshot import DEFAULT_SHOTS, evaluate, sample_shots, sample_total
+from augspark.plans.label_words import classify_by_words
+from augspark.sources.catalog import DATASETS, Dataset, dataset_lexicon, dataset_template, find_dataset, read_split
 from augspark.sources.sinks import run_record
 
 MAX_TOKENS = 128
@@ -39,3 +43,50 @@ def few_shot_prompts(
 def report(predictions: DataFrame, config: dict, positive_label: int = 1) -> DataFrame:
     """Settings and metrics of a run over (label, pred) rows."""
     return run_record(config, evaluate(predictions, positive_label))
+
+
+def few_shot_run(
+    spark: SparkSession,
+    root: str,
+    scripts_root: str,
+    name: str,
+    word_logit: Callable[[Column, Column], Column],
+    kind: str = "manual",
+    template_id: int = 0,
+    shots: int = DEFAULT_SHOTS,
+    seed: int = 144,
+    calibrate: bool = True,
+    refine: bool = False,
+    datasets: dict[str, Dataset] = DATASETS,
+) -> DataFrame:
+    """A whole classification run on a dataset of the catalog, as its run record.
+
+    The dataset's files, the template and the label words come by name; prompts hold as many words of a
+    text as the dataset allows. ``word_logit`` is the model: the score of a word (second column) for a
+    prompt (first column). Calibration uses the sampled train and validation rows as support; ``refine``
+    drops the dataset's share of the words whose prior is lowest. Metrics are those of the test split.
+    """
+    known = find_dataset(name, datasets)
+
+    def keyed(split: str) -> DataFrame:
+        rows = read_split(spark, root, name, split, datasets)
+        return rows.select(F.xxhash64("text", "label").alias("example"), "text", "label").dropDuplicates(["example"])
+
+    template = dataset_template(spark, scripts_root, name, kind, template_id, datasets)
+    lexicon = dataset_lexicon(spark, scripts_root, name, kind, datasets)
+    words = lexicon.select("word", "class_id").distinct()
+
+    def scored(rows: DataFrame) -> DataFrame:
+        prompts = classification_prompts(rows, template, max_tokens=known.max_tokens)
+        every = F.explode(F.lit(sorted({r["word"] for r in listed}))).alias("word")  # the words of one lexicon file
+        return prompts.select("example", "prompt", every).select("example", "word", word_logit(F.col("prompt"), F.col("word")).alias("logit"))
+
+    listed = words.select("word").collect()
+    train, test = keyed("train"), keyed("test")
+    sampled = train.join(sample_shots(train, "example", shots=shots, seed=seed).select("example"), "example")
+    support = train.join(sample_total(sampled, "example", seed=seed), "example") if calibrate else None
+    predicted = classify_by_words(
+        scored(test), words, scored(support) if calibrate else None, refine=known.candidate_share if refine else None
+    )
+    config = {"dataset": name, "template_id": template_id, "seed": seed, "shot": shots, "verbalizer": kind, "calibration": calibrate}
+    return report(test.select("example", "label").join(predicted, "example"), config)

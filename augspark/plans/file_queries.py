@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from augspark.operators.fewshot import evaluate
 from augspark.operators.incremental import read_written
 from augspark.plans.evaluation_queries import EVALUATION_COLUMNS, fx_preds
-from augspark.plans.fixtures import FX_LABELED, SEED, fx_labeled, table
+from augspark.plans import classify
+from augspark.plans.fixtures import FX_LABELED, SEED, fx_labeled, strip_sql, table
 from augspark.plans.registry import query
 from augspark.plans.text_queries import CLEAN_COMMAS_SQL
 from augspark.session import scratch_path
@@ -166,6 +167,41 @@ def label_word_sets(spark, sf):
     return lexicons.parse_word_sets(spark.read.parquet(path), "doc_id")
 
 
+_FEW_SHOT_TEMPLATE = '{"placeholder": "text_a"} It was {"mask"} .'
+
+
+@query(f"""with {FX_LABELED},
+cut as (select *, array_to_string(string_split_regex({strip_sql("text")}, '[ \\t\\n\\x0B\\f\\r]+')[1:128], ' ') || ' It was [MASK] .' as prompt
+        from (select text, label, quality from fx_labeled where quality = 0)),
+test as (select distinct text, label, prompt from cut),
+scores as (select text, label, class_id, ('0x' || substr(md5(prompt || word), 1, 8))::bigint / 4294967296.0 + length(prompt) % 3 * class_id as logit
+  from test cross join (values ('abuse', 1), ('insult', 1), ('calm', 0), ('kind', 0)) w(word, class_id)),
+p as (select text, label, class_id, exp(logit) / sum(exp(logit)) over (partition by text, label) as p from scores),
+classes as (select text, label, class_id, avg(ln(p + 1e-15)) as s from p group by 1, 2, 3),
+best as (select text, label, arg_max(class_id, struct_pack(s := round(s, 12), c := -class_id)) as pred from classes group by 1, 2),
+e as (select {EVALUATION_COLUMNS} from best)
+select 'ToxiGen' as dataset, 0 as template_id, 10 as shot, 'manual' as verbalizer, round(accuracy, 6) as accuracy, round(precision, 6) as precision,
+  round(recall, 6) as recall from e""")
+def few_shot_run(spark, sf):
+    """From the files of a known dataset to the record of a run, with a stub as the model."""
+    root = scratch_path(spark, "few-shot")
+    rows = fx_labeled(spark, sf)
+    for split, quality in (("train", 1), ("test", 0)):
+        part = rows.where(F.col("quality") == quality).select("label", "text")
+        sinks.write_labeled_csv(part, f"{root}/{catalog.find_dataset('ToxiGen').folder}/{split}.csv")
+    scripts = f"{root}/{catalog.find_dataset('ToxiGen').scripts}"
+    sinks.write_log_lines(spark.range(1).select(F.lit(_FEW_SHOT_TEMPLATE).alias("value")), f"{scripts}/manual_template.txt")
+    sinks.write_log_lines(spark.range(1).select(F.lit("abuse,insult\nkind,calm").alias("value")), f"{scripts}/manual_verbalizer.txt")
+
+    def word_logit(prompt, word):
+        number = F.conv(F.substring(F.md5(F.concat(prompt, word)), 1, 8), 16, 10).cast("double") / 4294967296
+        return number + F.length(prompt) % 3 * F.when(word.isin("abuse", "insult"), 1).otherwise(0)
+
+    record = classify.few_shot_run(spark, root, root, "ToxiGen", word_logit, calibrate=False)
+    metrics = [F.round(n, 6).alias(n) for n in ("accuracy", "precision", "recall")]
+    return record.select("dataset", "template_id", "shot", "verbalizer", *metrics)
+
+
 # -- sinks --------------------------------------------------------------------------------------
 
 
