@@ -20,6 +20,8 @@ from augspark.llm.arrays import SpanHash, byte_table, counts_per_text, mix, text
 MAX_TEXTS, MAX_LINES = 4096, 256
 MIN_SHARE = 0.5
 STEPS, RATE, DECAY = 200, 0.1, 1e-3
+# Neighbouring lines of a sampled text always share their label, which would tie lines more closely than they are
+MOVE_DECAY = 0.2
 # Fixed value: the symbols counted as n_symbols
 SYMBOLS = b"#*$%&|<>"
 
@@ -210,7 +212,7 @@ def fit_field(sequences: list[np.ndarray], labels: list[int]) -> LineField:
         wrong = chance.copy()
         wrong[np.arange(len(gold)), gold] -= 1
         gw = facts.T @ (wrong * line_weight[:, None]) / n + DECAY * weights
-        gm = (expected - gold_moves) / n + DECAY * moves
+        gm = (expected - gold_moves) / n + MOVE_DECAY * moves
         seen_w += gw * gw
         seen_m += gm * gm
         weights -= RATE * gw / np.sqrt(seen_w)
