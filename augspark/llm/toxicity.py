@@ -22,8 +22,10 @@ SLOT_BITS = 20
 # Labelled rows that a machine is fitted on: those with the lowest hash of their key
 MAX_ROWS = 8192
 # Terms kept by the fit: in this many labelled texts at least, and this far from chance
-MIN_TEXTS, MIN_Z, MAX_TERMS = 3, 3.0, 1 << 14
+MIN_TEXTS, MIN_Z, MAX_TERMS = 3, 4.5, 1 << 14
 FACTORS, EPOCHS, RATE, DECAY = 8, 80, 0.1, 1e-4
+# Weight of a missed toxic text against a clean one called toxic; toxic texts are few
+TOXIC_WEIGHT = 8.0
 OPENINGS = (4, 5, 6)
 
 
@@ -118,7 +120,7 @@ def fit_machine(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> F
             if not len(rows):
                 continue
             t, k = text[lo:hi] - b * 256, term[lo:hi]
-            error = logistic(m.raw(t, k, len(rows))) - labels[rows]
+            error = (logistic(m.raw(t, k, len(rows))) - labels[rows]) * np.where(labels[rows] == 1, TOXIC_WEIGHT, 1.0)
             g = error.mean()
             past[0] += g * g
             m.bias -= RATE * g / np.sqrt(past[0])
