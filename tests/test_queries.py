@@ -21,6 +21,8 @@ def data(request):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, data, name):
     path, con = data
+    if name not in ORACLE and not path.endswith("sf0.001"):
+        pytest.skip("without SQL only that it runs is seen here; its own tests look at its result")
     df = QUERIES[name](spark, path)
     if name in ORACLE:
         assert difference(df, con, ORACLE[name]) is None
