@@ -76,9 +76,9 @@ def mix_sources(
     """One row per document: key, size, source, source_size, target, copies and taken (words, repeats counted).
 
     A source takes every document ``floor(target / source_size)`` times and the documents below the
-    threshold once more. The documents of the boundary are taken as long as their running sum stays within
-    the budget, so a source ends at most one place short of its target. Documents with equal keys share a
-    place and are taken together. Empty texts have size 0, an empty table gives an empty result. The
+    threshold once more. The place in which the budget ends is taken if that comes closer to the target, so a
+    source misses it by half of one place at most. Documents with equal keys share a place and are taken
+    together. Empty texts have size 0, an empty table gives an empty result. The
     result is a function of the rows alone; order and partitioning do not matter.
     """
     place = hash_place(F.col(key), seed)
@@ -94,10 +94,12 @@ def mix_sources(
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("bigint"))
         .withColumn("prefix", F.lit(""))
+        .withColumn("edge", F.lit(0).cast("bigint"))
     )
     for digits in range(ROUND_DIGITS, PLACE_DIGITS + 1, ROUND_DIGITS):
         state = cut_lineage(_refine(narrow, state, digits))
-    below = F.when(F.left("place", F.length("prefix")) < F.col("prefix"), 1).otherwise(0)
+    closer = (F.col("place") == F.col("prefix")) & (2 * F.col("budget") > F.col("edge"))
+    below = F.when((F.left("place", F.length("prefix")) < F.col("prefix")) | closer, 1).otherwise(0)
     joined = narrow.join(state.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     copies = (F.col("epochs") + below).cast("bigint")
     return joined.select(
@@ -106,7 +108,7 @@ def mix_sources(
 
 
 def _refine(narrow: DataFrame, state: DataFrame, digits: int) -> DataFrame:
-    """The boundary prefix of every source, made ``ROUND_DIGITS`` longer, and what is left of its budget.
+    """The boundary prefix of every source, made ``ROUND_DIGITS`` longer, its tokens, and what is left of the budget.
 
     Places below the prefix are taken. At most 16^ROUND_DIGITS buckets a source come out of the histogram.
     """
@@ -125,7 +127,7 @@ def _refine(narrow: DataFrame, state: DataFrame, digits: int) -> DataFrame:
         sums.join(known.select("_source", "budget"), F.col("source").eqNullSafe(F.col("_source")))
         .where(F.col("upto") > F.col("budget"))
         .groupBy("source")
-        .agg(F.min("bucket").alias("_bucket"))
+        .agg(F.min("bucket").alias("_bucket"), F.min_by("tokens", "bucket").alias("_edge"))
     )
     out = known.join(taken, F.col("_source").eqNullSafe(F.col("source")), "left").drop("source")
     out = out.join(beyond, F.col("_source").eqNullSafe(F.col("source")), "left").drop("source")
@@ -138,6 +140,7 @@ def _refine(narrow: DataFrame, state: DataFrame, digits: int) -> DataFrame:
         "epochs",
         (F.col("budget") - F.coalesce(F.col("_taken"), F.lit(0))).alias("budget"),
         prefix.alias("prefix"),
+        F.coalesce("_edge", F.lit(0)).alias("edge"),
     )
 
 
@@ -172,7 +175,7 @@ b as (select *, floor(target - epochs * source_size)::bigint as budget from e),
 p as (select source, place, sum(size) as size from d group by source, place),
 q as (select *, sum(size) over (partition by source order by place) as upto from p)
 select d.doc_id, d.size, b.source_size, b.target,
-       (d.size * (b.epochs + case when q.upto <= b.budget then 1 else 0 end))::bigint as taken
+       (d.size * (b.epochs + case when 2 * q.upto - q.size < 2 * b.budget then 1 else 0 end))::bigint as taken
 from d join b on d.source is not distinct from b.source
 join q on q.source is not distinct from d.source and q.place = d.place
 """
