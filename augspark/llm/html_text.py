@@ -57,6 +57,13 @@ _NOISE_WORDS = set(
     "notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations widget widgets search toolbar pagination pager copyright legal skip tags contentinfo complementary form dialog paywall".split()
 )
+# The same inside longer names, such as commentlist, topnav or pagefooter
+_NOISE_NAMES = re.compile(
+    r"comment(?!ary)|sidebar|footer|masthead|breadcrumb|advert|cookie|newsletter|sponsor|promo|banner"
+    r"|(?<![a-z])(?:top|main|site|sub|side|page|global)(?:nav|menu)|(?:nav|menu)(?:bar|list|items?)(?![a-z])"
+)
+# Names of layouts that tell what stands beside them
+_LAYOUT = re.compile(r"(?<![a-z])(?:with|has|no|without|show|hide)[-_][a-z0-9_-]+|[a-z]+[-_](?:open|closed|enabled|disabled|count)(?![a-z])")
 _MAIN_TAGS = {"article", "main"}
 
 
@@ -127,14 +134,18 @@ class Page:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 found.setdefault(name.lower(), a or b or c)
         main = parent.main or tag in _MAIN_TAGS or found.get("role") == "main" or found.get("itemprop") == "articleBody"
-        words = {w.lower() for k in ("class", "id", "role") for w in _WORDS.findall(found.get(k, ""))}
-        noise = words & _NOISE_WORDS
-        if main:
-            noise -= {"header"}
-        if tag in ("html", "body"):
-            noise = set()
+        words, noise = set(), False
+        if found and tag not in ("html", "body"):
+            names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
+            words = {w.lower() for w in _WORDS.findall(names)}
+            told = _LAYOUT.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower())
+            exact = set(_WORDS.findall(told)) & _NOISE_WORDS - ({"header"} if main else set())
+            if tag in _MAIN_TAGS and not parent.main:
+                noise = bool(exact & {"comment", "comments"})
+            else:
+                noise = bool(exact) or bool(_NOISE_NAMES.search(told))
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        dropped = parent.dropped or tag in _NO_TEXT_TAGS or (tag == "header" and not main) or bool(noise) or hidden
+        dropped = parent.dropped or tag in _NO_TEXT_TAGS or (tag == "header" and not main) or noise or hidden
         if main and not dropped and not parent.main:
             self.has_main = True
         path, low = parent.path, parent.low

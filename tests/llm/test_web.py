@@ -142,6 +142,16 @@ def test_main_text_of_a_page():
     assert text == "Title 1 & more\nFirst paragraph 1 of bold text.\nSecond <tag> éA 1\none\ntwo\na\nb"
 
 
+def test_what_names_say():
+    inner = "<p>Text of the story.</p>"
+    for kept in ('class="layout with-sidebar"', 'class="has-comments post"', 'id="mainContent"', 'class="commentary"', 'class="navy"', 'class="comments-open"'):
+        assert ht.Page(f"<body><div {kept}>{inner}</div></body>").text() == "Text of the story.", kept
+    for gone in ('class="commentlist"', 'id="topNav"', "class=pagefooter", 'class="ad-slot"', 'role="navigation"', 'class="x cookieBar"', 'id="readerComments"', 'class="menu"'):
+        assert ht.Page(f"<body><div {gone}>{inner}</div><p>Rest</p></body>").text() == "Rest", gone
+    assert ht.Page(f'<article class="post comments-open sidebar-right">{inner}</article>').text() == "Text of the story."
+    assert ht.Page(f'<article><header class="entry-header"><h1>T</h1></header>{inner}<article class="comment"><p>c</p></article></article>').text() == "T\nText of the story."
+
+
 def test_broken_markup():
     assert ht.Page("").text() == "" and ht.Page("<").text() == "<" and ht.Page("a < b > c").text() == "a < b > c"
     assert ht.Page('<p class="x>never closed').text() in ("", 'never closed', '<p class="x>never closed')
