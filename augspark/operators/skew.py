@@ -13,6 +13,8 @@ from augspark.session import cut_lineage
 GROUP_LIMIT = 10_000
 # Tables of a few numbers per row are broadcast up to this many rows
 BROADCAST_ROWS = 1_000_000
+# ... and this many bytes, keys and carried columns included
+BROADCAST_BYTES = 256 << 20
 # Leading hex digits of a hash: 16^4 buckets, which is also the size of the table of bucket counts
 HASH_DIGITS = 4
 # Keys that a frequency sketch follows; a key with more than about 4 / SKETCH_KEYS of the rows is found
@@ -28,9 +30,25 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
-    """A table with a broadcast hint if it has up to ``limit`` rows, and its number of rows."""
-    rows = df.count()
-    return (F.broadcast(df) if rows <= limit else df), rows
+    """A table with a broadcast hint if it has up to ``limit`` rows and BROADCAST_BYTES bytes, and its number of rows."""
+    rows, size = df.agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    small = rows <= limit and (size or 0) <= BROADCAST_BYTES
+    return (F.broadcast(df) if small else df), rows
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 8 for each plain value, else its length."""
+    widths = [F.lit(8)]
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        column = F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            widths.append(F.coalesce(F.octet_length(column), F.lit(0)))
+        elif kind in ("array", "map", "struct"):
+            widths.append(F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)))
+        else:
+            widths.append(F.lit(8))
+    return reduce(lambda a, b: a + b, widths).cast("bigint")
 
 
 def stored_side(df: DataFrame) -> DataFrame:

@@ -668,3 +668,11 @@ def test_run_record(spark, tmp_path):
 def test_entropy_of_uniform_scores_is_finite(spark):
     row = spark.range(1).select(density_mode(F.array(F.lit(1.0), F.lit(2.0), F.lit(2.5)))).first()
     assert math.isfinite(row[0])
+
+
+def test_broadcast_by_rows_and_bytes(spark, monkeypatch):
+    df = spark.range(100).select("id", F.lit("x" * 1000).alias("wide"), F.array(F.lit("y" * 1000)).alias("list"))
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(skew.broadcast_if_small(df)[0]) and not hinted(skew.broadcast_if_small(df, 99)[0])
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 150_000)
+    assert not hinted(skew.broadcast_if_small(df)[0]) and hinted(skew.broadcast_if_small(df.select("id"))[0])
