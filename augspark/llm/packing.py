@@ -19,14 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augspark.llm.arrays import SpanHash, byte_table, lower_ascii, text_blocks, word_spans, worker_state
-from augspark.session import scratch_path
+from augspark.operators.skew import broadcast_if_small
+from augspark.session import cut_lineage, scratch_path
 
 WINDOW = 4096
 END_ID = 2
 # Windows that are laid out together
 BLOCK_WINDOWS = 64
 # Words whose ids a worker remembers; beyond that it starts anew
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
 
 
 class WordCache:
@@ -307,6 +308,8 @@ def pack(
     schedule = Schedule(
         [totals[s] for s in names], [weights.get(s, 0) for s in names] if weights is not None else None, window
     )
+    # a row per task and source: broadcast after a count, else joined by its chunks, none larger than a task's share
+    begins, _ = broadcast_if_small(cut_lineage(begins))
     placed = stored.join(begins, (F.col("task") == F.col("_task")) & F.col("source").eqNullSafe(F.col("_source")))
     rows = placed.select(key, "source", (F.col("_begin") + F.col("place")).alias("at"), "n_tokens", "ids")
     schema = (
