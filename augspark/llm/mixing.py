@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from augspark.operators.skew import broadcast_if_small
 from augspark.session import cut_lineage
 
 # Hex digits of the MD5 that place a document, and how many of them a round of buckets uses
@@ -88,7 +89,7 @@ def mix_sources(
         )
     )
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    state = cut_lineage(
+    state = _stored(
         source_targets(sizes, cycle, max_epochs)
         # full copies of everything, then the budget of the last, partial one
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -97,7 +98,7 @@ def mix_sources(
         .withColumn("edge", F.lit(0).cast("bigint"))
     )
     for digits in range(ROUND_DIGITS, PLACE_DIGITS + 1, ROUND_DIGITS):
-        state = cut_lineage(_refine(narrow, state, digits))
+        state = _stored(_refine(narrow, state, digits))
     closer = (F.col("place") == F.col("prefix")) & (2 * F.col("budget") > F.col("edge"))
     below = F.when((F.left("place", F.length("prefix")) < F.col("prefix")) | closer, 1).otherwise(0)
     joined = narrow.join(state.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
@@ -107,6 +108,11 @@ def mix_sources(
     )
 
 
+def _stored(state: DataFrame) -> DataFrame:
+    """A row per source, stored; broadcast after a look at its size, so that documents are not shuffled by source."""
+    return broadcast_if_small(cut_lineage(state))[0]
+
+
 def _refine(narrow: DataFrame, state: DataFrame, digits: int) -> DataFrame:
     """The boundary prefix of every source, made ``ROUND_DIGITS`` longer, its tokens, and what is left of the budget.
 
