@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Texts are handled in buffers of about this many bytes, whatever the size of an Arrow batch
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 # The white space of `[^\x20\x09-\x0D]+`
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 # The byte between two texts of a buffer; it is white space, so no word crosses it
@@ -42,6 +42,18 @@ def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int
         buf[inside] = data[offsets[lo] : offsets[hi]]
         yield lo, hi, buf, starts, starts + lens
         lo = hi
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system, since idle Python workers would keep it beside the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def byte_table(values) -> np.ndarray:

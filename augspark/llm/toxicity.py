@@ -97,16 +97,18 @@ def fit_machine(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> F
     n = len(texts)
     labels = np.asarray(labels, float)
     base = (labels.sum() + 0.5) / (n + 1)
-    text = np.repeat(np.arange(n), [len(t) for t in texts])
-    slot = np.concatenate(texts) if n else np.zeros(0, np.int64)
+    text = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in texts])
+    slot = np.concatenate(texts) if n else np.zeros(0, np.int32)
     seen = np.bincount(slot, minlength=1 << SLOT_BITS)
-    toxic = np.bincount(slot, labels[text], 1 << SLOT_BITS)
+    toxic = np.bincount(slot[(labels == 1)[text]], minlength=1 << SLOT_BITS)
     expected = seen * base
     z = (toxic - expected) / np.sqrt(np.maximum(expected * (1 - base), 1e-9))
     good = np.flatnonzero((seen >= MIN_TEXTS) & (np.abs(z) >= MIN_Z))
     good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:MAX_TERMS]])
-    inside = np.isin(slot, good)
-    text, term = text[inside], np.searchsorted(good, slot[inside])
+    chosen = np.zeros(1 << SLOT_BITS, bool)
+    chosen[good] = True
+    inside = chosen[slot]
+    text, term = text[inside].astype(np.int64), np.searchsorted(good, slot[inside])
     rng = np.random.default_rng(seed)
     m = FactorizationMachine(good, float(np.log(base / (1 - base))), np.zeros(len(good)), rng.normal(0, 0.05, (len(good), FACTORS)))
     if not len(good):
@@ -161,11 +163,10 @@ def fit_toxicity(
     # a repeated key counts once, so the sample is bounded whatever the table holds
     once = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).groupBy("_key").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
     sample = once.select(F.col("_text").cast("binary"), "_label")
-    found = sample.mapInArrow(_slots_of, "slots binary, label int").collect()
-    found.sort(key=lambda r: (bytes(r["slots"]), r["label"]))  # the same machine whatever the order of rows
-    rng = np.random.default_rng(1)
-    found = [found[i] for i in rng.permutation(len(found))]
-    return fit_machine([np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in found], np.array([r["label"] for r in found]))
+    found = [(bytes(r["slots"]), r["label"]) for r in sample.mapInArrow(_slots_of, "slots binary, label int").collect()]
+    found.sort()  # the same machine whatever the order of rows
+    order = np.random.default_rng(1).permutation(len(found))
+    return fit_machine([np.frombuffer(found[i][0], "<i4") for i in order], np.array([found[i][1] for i in order]))
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, text: str = "text", name: str = "score") -> DataFrame:
