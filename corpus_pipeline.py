@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from augspark.llm.mixing import apply_mix
 from augspark.llm.packing import pack
-from augspark.llm.queries import fold, tokenizer_path
+from augspark.llm.queries import fold, small_batches, tokenizer_path
 from augspark.llm.simhash import keep_one_per_group
 from augspark.llm.suffix_dedup import without_repeats
 from augspark.llm.toxicity import fit_toxicity, score_toxicity
@@ -15,6 +15,7 @@ from augspark.session import scratch_path
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores below one half."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = fit_toxicity(docs, labels, usable=fold("_key", 5) != 0)
     # a name that no column of the documents has
@@ -24,11 +25,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every SimHash component."""
+    small_batches(spark)
     return keep_one_per_group(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 100-byte strings that occur earlier."""
+    small_batches(spark)
     return without_repeats(docs)
 
 
@@ -39,6 +42,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 4096 tokens."""
+    small_batches(spark)
     return pack(docs, tokenizer_path())
 
 
