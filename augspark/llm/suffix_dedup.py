@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -352,9 +351,12 @@ def remove_repeats(
     length: int = LENGTH,
     run_bytes: int = RUN_BYTES,
     hot: int = HOT,
+    as_text: bool = False,
 ) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept (binary), and a struct ``carried`` of the named columns.
 
+    as_text: kept is a string; a character that lost some of its bytes goes as a whole.
+
     A byte goes if a ``length``-byte string that covers it also starts earlier: in a row with a smaller key,
     or in the same row further left. Null keys come last; rows with equal keys are ordered by a hash of
     their text and the text. Null texts count as empty, texts shorter than ``length`` stay whole. Keys are
@@ -430,14 +432,15 @@ def remove_repeats(
             edge = np.concatenate([[0], np.cumsum(cover & ~np.concatenate([[False], cover[:-1]]))])
             size[lo:hi], removed[lo:hi], spans[lo:hi] = ends - starts, upto[ends] - upto[starts], edge[ends] - edge[starts]
             data, left = buf[~cover].tobytes(), np.concatenate([[0], np.cumsum(~cover)])
-            kept += [data[a:b] for a, b in zip(left[starts].tolist(), left[ends].tolist(), strict=True)]
+            parts_left = [data[a:b] for a, b in zip(left[starts].tolist(), left[ends].tolist(), strict=True)]
+            kept += [p.decode("utf-8", "ignore") for p in parts_left] if as_text else parts_left
         return pa.table(
             {
                 "key": table.column("key"),
                 "n_bytes": pa.array(size),
                 "n_removed": pa.array(removed),
                 "n_spans": pa.array(spans),
-                "kept": pa.array(kept, pa.binary()),
+                "kept": pa.array(kept, pa.string() if as_text else pa.binary()),
                 "carried": table.column("carried"),
             }
         )
@@ -448,7 +451,7 @@ def remove_repeats(
     gone = sent.groupBy("bucket").applyInArrow(merge, "run int, dropped binary")
     kind = dealt.schema["carried"].dataType.simpleString()
     result = dealt.groupBy("run").cogroup(gone.groupBy("run")).applyInArrow(
-        cut, f"key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, carried {kind}"
+        cut, f"key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}, carried {kind}"
     )
     return result.withColumnRenamed("key", key)
 
@@ -458,16 +461,12 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
     A character that lost some of its bytes goes as a whole.
     """
-
-    @F.pandas_udf("string")
-    def decoded_text(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
     names = [f"`{c}`" for c in docs.columns]
     places = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text}
     numbered = docs.select(*[F.col(n).alias(places.get(c, "_body")) for n, c in zip(names, docs.columns, strict=True)])
-    left = remove_repeats(numbered.withColumn("_key", F.col(places[key])), "_key", "_body", list(places.values()), **options)
-    out = left.select(decoded_text("kept").alias("_body"), "carried.*")
+    keyed = numbered.withColumn("_key", F.col(places[key]))
+    left = remove_repeats(keyed, "_key", "_body", list(places.values()), as_text=True, **options)
+    out = left.select(F.col("kept").alias("_body"), "carried.*")
     out = out.select(*[F.col(places.get(c, "_body")).alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
