@@ -3,6 +3,7 @@
 The pages of a host are merged into one tree, whose nodes are the paths of elements (tag and class). A
 node's importance mixes two entropies: how differently the pages present it, and how differently they
 fill it. Branches that look and read the same on most pages of a host are noise, and go from each page.
+So are single texts that stand in the same place on most of a host's distinct contents, in articles as well.
 What an element says about itself (its tag, class or role) scales the importance, so that pages of hosts
 with few pages are cleaned as well.
 """
@@ -25,6 +26,8 @@ ATTENUATION, THRESHOLD = 0.9, 0.5
 MIN_PAGES = 5
 # A branch with more characters than this on an average page is text, however often it is copied
 LONG_CHARS = 400
+# A text in the same place of more than this share of a host's distinct contents is noise
+MOST = 0.5
 # Hosts and nodes up to which the low nodes are broadcast; beyond that they are joined by host and salt
 BROADCAST_NODES, SALTS = 100_000, 32
 
@@ -83,7 +86,7 @@ class Page:
     """One reading of a page: blocks of text with their paths, and the child sequence of every block element."""
 
     def __init__(self, html: str, low_paths: frozenset[int] | set[int] = frozenset(), path_hash=None):
-        self.blocks: list[tuple[str, tuple[str, ...], bool, bool, bool]] = []
+        self.blocks: list[tuple[str, tuple[str, ...], bool, bool, bool, bool]] = []
         self.styles: list[tuple[str, str, int]] = []
         self.has_main = False
         self._low_paths, self._hash = low_paths, path_hash
@@ -100,7 +103,8 @@ class Page:
             top = self._stack[-1]
             at = next((n for n in reversed(self._stack) if n.tag in _BLOCK or not n.tag), top)
             paths = tuple(dict.fromkeys(n.path for n in self._stack if n.path and n.tag in _BLOCK))
-            self.blocks.append((text, paths, at.dropped or top.dropped, at.low or top.low, at.main))
+            common = bool(self._low_paths) and len(text) < LONG_CHARS and text_node(self._hash(at.path), _Hash()(text)) in self._low_paths
+            self.blocks.append((text, paths, at.dropped or top.dropped, at.low or top.low, at.main, common))
 
     def _close(self, depth: int) -> None:
         """Ends all open elements down to ``depth``."""
@@ -154,7 +158,7 @@ class Page:
             path = f"{parent.path}/{kind}"
             parent_block = next(n for n in reversed(stack) if n.tag in _BLOCK or not n.tag)
             parent_block.children.append(kind)
-            # a main element and its running text are not taken for noise because pages are copies of each other
+            # all running text of articles shares a few paths, so that its texts are measured one by one
             known_text = main and (tag in _TEXT_TAGS or tag in _MAIN_TAGS) and not words
             if self._low_paths and not known_text and self._hash(path) in self._low_paths:
                 low = True
@@ -203,12 +207,28 @@ class Page:
         self._close(1)
         self._flush()
 
+    def _ours(self) -> list[tuple[str, bool, bool]]:
+        """Blocks of the main element, or of the whole body if the page has none: text, low, common."""
+        return [(t, low, common) for t, _, dropped, low, main, common in self.blocks if not dropped and (main or not self.has_main)]
+
+    def content(self) -> str:
+        """What tells the page from others of its host: its longest block, which copies with small changes mostly share."""
+        return max((t for t, *_ in self._ours()), key=len, default="")
+
     def text(self) -> str:
         """Blocks of the main element, or of the whole body if the page has none, joined by line breaks."""
-        ours = [(t, low) for t, _, dropped, low, main in self.blocks if not dropped and (main or not self.has_main)]
-        kept = [t for t, low in ours if not low]
+        ours = self._ours()
         # if every branch is low, importance tells no parts of the page apart
-        return "\n".join(kept if kept else [t for t, _ in ours])
+        kept = [(t, common) for t, low, common in ours if not low] or [(t, common) for t, _, common in ours]
+        own = [t for t, common in kept if not common]
+        # a page that is common text for the most part is a copy, not an article with notices
+        copied = 2 * sum(map(len, own)) < sum(len(t) for t, _ in kept)
+        return "\n".join(t for t, _ in kept) if copied else "\n".join(own)
+
+
+def text_node(path: int, text: int) -> int:
+    """The hash of a text in a place, from the hashes of both."""
+    return path ^ text
 
 
 def host_of(url: Column) -> Column:
@@ -235,7 +255,10 @@ class _Hash:
 
 
 def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and path: its child sequence, and each text that stands in it, once."""
+    """Per page and path: its child sequence, and each text that stands in it, once.
+
+    content: the hash of the page's content, on its outermost elements and on the innermost element of each text.
+    """
     path_hash = _Hash()
     for batch in batches:
         for a in range(0, batch.num_rows, 200):
@@ -250,39 +273,51 @@ def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     held[0] += style + ";"
                     held[1] = max(held[1], kinds)
                 texts: dict[tuple[int, int], int] = {}
+                places: set[tuple[int, int]] = set()
                 for text, paths, *_ in page.blocks:
                     value = _Hash()(text)
                     for path in paths:
                         key = (path_hash(path), value)
                         texts[key] = len(text)
-                rows += [(host, path_hash(p), True, path_hash(s), k) for p, (s, k) in styles.items()]
-                rows += [(host, p, False, v, n) for (p, v), n in texts.items()]
+                    if paths:
+                        places.add(key)
+                content = _Hash()(page.content())
+                rows += [(host, path_hash(p), True, path_hash(s), k, None if "/" in p[1:] else content) for p, (s, k) in styles.items()]
+                rows += [(host, p, False, v, n, content if (p, v) in places else None) for (p, v), n in texts.items()]
             if rows:
-                names = ["host", "path", "is_style", "value", "size"]
-                types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+                names = ["host", "path", "is_style", "value", "size", "content"]
+                types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def style_trees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The merged trees of all hosts: host, path (hash), pages, presentation, content, importance, chars.
+def _node_sums(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """Sums that nodes are measured by: one row per host and path, and one more per short text on several contents.
 
-    presentation: entropy of the child sequences, content: one minus the mean entropy of the texts, both
-    with the logarithm to the base of the number of pages; 1 for a node on one page. Statistics cover all
-    pages with a host and a text; pages of one host are spread over tasks by their nodes and texts.
+    Such a text is in ``text``, with the number of distinct contents that it stands in; the rows of a
+    path add up. Elements have the largest number of contents of their child sequences.
     """
     seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(
-        _observations, "host string, path bigint, is_style boolean, value bigint, size bigint"
+        _observations, "host string, path bigint, is_style boolean, value bigint, size bigint, content bigint"
+    )
+    counts = seen.groupBy("host", "path", "is_style", "value").agg(
+        F.count("*").alias("c"), F.sum("size").alias("size"), F.count_distinct("content").alias("contents")
     )
-    counts = seen.groupBy("host", "path", "is_style", "value").agg(F.count("*").alias("c"), F.sum("size").alias("size"))
     spread = F.col("c") * F.log(F.col("c").cast("double"))
-    sums = counts.groupBy("host", "path").agg(
+    short = ~F.col("is_style") & (F.col("contents") >= MIN_PAGES) & (F.col("size") < F.col("c") * LONG_CHARS)
+    return counts.groupBy("host", "path", F.when(short, F.col("value")).alias("text")).agg(
         F.sum(F.when(F.col("is_style"), F.col("c"))).alias("pages"),
         F.sum(F.when(F.col("is_style"), spread)).alias("style_sum"),
         F.sum(F.when(F.col("is_style"), F.col("size"))).alias("kinds"),
         F.coalesce(F.sum(F.when(~F.col("is_style"), F.col("c"))), F.lit(0)).alias("texts"),
         F.coalesce(F.sum(F.when(~F.col("is_style"), spread)), F.lit(0.0)).alias("text_sum"),
         F.coalesce(F.sum(F.when(~F.col("is_style"), F.col("size"))), F.lit(0)).alias("chars"),
+        F.sum(F.when(F.col("is_style") | short, F.col("contents"))).alias("contents"),
     )
+
+
+def _importance(parts: DataFrame) -> DataFrame:
+    names = ("pages", "style_sum", "kinds", "texts", "text_sum", "chars")
+    sums = parts.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in names))
     base = F.log(F.col("pages").cast("double"))
     several = F.col("pages") > 1
     presentation = F.when(several, (base - F.col("style_sum") / F.col("pages")) / base).otherwise(1.0)
@@ -293,15 +328,32 @@ def style_trees(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     )
 
 
+def style_trees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """The merged trees of all hosts: host, path (hash), pages, presentation, content, importance, chars.
+
+    presentation: entropy of the child sequences, content: one minus the mean entropy of the texts, both
+    with the logarithm to the base of the number of pages; 1 for a node on one page. Statistics cover all
+    pages with a host and a text; pages of one host are spread over tasks by their nodes and texts.
+    """
+    return _importance(_node_sums(pages, url, html))
+
+
+def _low_nodes(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(host, node): the paths of low importance and the texts in places that most contents of their host have."""
+    parts = cut_lineage(_node_sums(pages, url, html))
+    low = _importance(parts).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD) & (F.col("chars") < LONG_CHARS))
+    hosts = parts.where("text is null").groupBy("host").agg(F.max("contents").alias("all_contents"))
+    common = parts.where("text is not null").join(hosts, "host").where(F.col("contents") > F.col("all_contents") * MOST)
+    return low.select("host", F.col("path").alias("node")).unionByName(common.select("host", F.col("path").bitwiseXOR(F.col("text")).alias("node")))
+
+
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", name: str = "text") -> DataFrame:
     """(key, url, text) per row: the main text, blocks in page order joined by line breaks; empty if there is none.
 
     Null pages count as empty. Pages without a host in their URL are cleaned by what their elements say of
     themselves only. Repeated rows are pages like any others. Other columns are not carried along.
     """
-    trees = style_trees(pages, url, html)
-    low = trees.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD) & (F.col("chars") < LONG_CHARS))
-    low = cut_lineage(low.groupBy("host").agg(F.collect_set("path").alias("low")))
+    low = cut_lineage(_low_nodes(pages, url, html).groupBy("host").agg(F.collect_set("node").alias("low")))
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).cast("string").alias("html")).withColumn("_host", host_of(F.col("url")))
     size = low.agg(F.sum(F.size("low")), F.count("*")).first()
     if (size[0] or 0) <= BROADCAST_NODES and size[1] <= BROADCAST_NODES:

@@ -177,6 +177,25 @@ def test_style_tree_removes_repeated_branches(spark):
     assert all("Welcome" in got[100 + i] for i in range(2)), "two pages say nothing about their host"
 
 
+def test_texts_of_articles_that_most_contents_share_go(spark):
+    """A notice inside the article goes by the tree; what copies of a page share stays."""
+    def page(i, host, story):
+        body = f"<h1>Title {story}</h1><p>Please share this story</p><p>Story {story} " + f"word{story} " * 20 + "</p><p>Sign up for our letter</p>"
+        return (i, f"http://{host}/{i}", f"<html><body><article>{body}</article></body></html>")
+
+    rows = [page(i, "own.example", i) for i in range(20)] + [page(100 + i, "own.example", "copied") for i in range(30)]
+    rows += [page(200 + i, "copies.example", "same") for i in range(30)] + [page(300 + i, "few.example", i) for i in range(4)]
+    # near copies: each with a longest block and title of its own, all else the same
+    near = "<h1>{0} Title</h1>" + "".join(f"<p>Shared paragraph {k} of the story with some words</p>" for k in range(8)) + "<p>Last " + "changed{0} " * 8 + "</p>"
+    rows += [(400 + i, f"http://near.example/{i}", f"<html><body><article>{near.format(i)}</article></body></html>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in ht.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()}
+    for i, story in [*((i, i) for i in range(20)), *((100 + i, "copied") for i in range(30))]:
+        assert got[i] == f"Title {story}\nStory {story} " + " ".join([f"word{story}"] * 20), got[i]
+    for i in (*range(200, 230), *range(300, 304)):
+        assert got[i].count("\n") == 3 and "share" in got[i], "one content, or too few, say nothing about their host"
+    assert all(got[400 + i].count("Shared paragraph") == 8 for i in range(30))
+
+
 def test_importance_against_its_formula(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div>{'same' if i < 6 else i}</div>" + "<p>x</p>" * (i % 2)) for i in range(8)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
