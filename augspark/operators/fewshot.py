@@ -57,18 +57,29 @@ def _share(hits: Column, of: Column) -> Column:
     return F.coalesce(F.try_divide(hits, of), F.lit(0.0))
 
 
-def evaluate(predictions: DataFrame, positive_label: int = 1, by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, RMSE, MAE, and precision, recall and F1 of the positive label (0 where undefined)."""
+def evaluate(predictions: DataFrame, positive_label: int = 1, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Accuracy, RMSE, MAE, and precision, recall and F1 of the positive label (0 where undefined).
+
+    weight: column with the number of rows that a row stands for; one without it.
+    """
     label, pred = F.col("label"), F.col("pred")
     error = (pred - label).cast("double")
     told, true = pred == positive_label, label == positive_label
+    rows = F.lit(1) if weight is None else F.col(weight)
+
+    def count(condition: Column) -> Column:
+        return F.sum(F.when(condition, rows).otherwise(0))
+
+    def mean(value: Column) -> Column:
+        return F.try_divide(F.sum(value * rows), F.sum(F.when(value.isNotNull(), rows)))
+
     counts = predictions.groupBy(*by).agg(
-        F.avg((pred == label).cast("double")).alias("accuracy"),
-        F.sqrt(F.avg(error * error)).alias("rmse"),
-        F.avg(F.abs(error)).alias("mae"),
-        F.count_if(told & true).alias("tp"),
-        F.count_if(told).alias("told"),
-        F.count_if(true).alias("true"),
+        mean((pred == label).cast("double")).alias("accuracy"),
+        F.sqrt(mean(error * error)).alias("rmse"),
+        mean(F.abs(error)).alias("mae"),
+        count(told & true).alias("tp"),
+        count(told).alias("told"),
+        count(true).alias("true"),
     )
     # 2PR/(P+R) equals 2tp/(told+true), and both are 0 without hits
     return counts.select(

@@ -40,9 +40,9 @@ def few_shot_prompts(
     return classification_prompts(rows, template, max_tokens=max_tokens).drop("text")
 
 
-def report(predictions: DataFrame, config: dict, positive_label: int = 1) -> DataFrame:
-    """Settings and metrics of a run over (label, pred) rows."""
-    return run_record(config, evaluate(predictions, positive_label))
+def report(predictions: DataFrame, config: dict, positive_label: int = 1, weight: str | None = None) -> DataFrame:
+    """Settings and metrics of a run over (label, pred) rows, each standing for ``weight`` rows."""
+    return run_record(config, evaluate(predictions, positive_label, weight=weight))
 
 
 def few_shot_run(
@@ -64,13 +64,14 @@ def few_shot_run(
     The dataset's files, the template and the label words come by name; prompts hold as many words of a
     text as the dataset allows. ``word_logit`` is the model: the score of a word (second column) for a
     prompt (first column). Calibration uses the sampled train and validation rows as support; ``refine``
-    drops the dataset's share of the words whose prior is lowest. Metrics are those of the test split.
+    drops the dataset's share of the words whose prior is lowest. Metrics are those of all rows of the test
+    split; equal rows are scored once and count as often as they occur, and each may be sampled from train.
     """
     known = find_dataset(name, datasets)
 
     def keyed(split: str) -> DataFrame:
-        rows = read_split(spark, root, name, split, datasets)
-        return rows.select(F.xxhash64("text", "label").alias("example"), "text", "label").dropDuplicates(["example"])
+        rows = read_split(spark, root, name, split, datasets).groupBy("text", "label").agg(F.count("*").alias("copies"))
+        return rows.select(F.xxhash64("text", "label").alias("example"), "text", "label", "copies")
 
     template = dataset_template(spark, scripts_root, name, kind, template_id, datasets)
     lexicon = dataset_lexicon(spark, scripts_root, name, kind, datasets)
@@ -83,10 +84,16 @@ def few_shot_run(
 
     listed = words.select("word").collect()
     train, test = keyed("train"), keyed("test")
-    sampled = train.join(sample_shots(train, "example", shots=shots, seed=seed).select("example"), "example")
-    support = train.join(sample_total(sampled, "example", seed=seed), "example") if calibrate else None
+    if calibrate:
+        # every copy of a row has a key of its own; the first keeps that of the content
+        nth = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("nth")
+        own = F.when(F.col("nth") == 0, F.col("content")).otherwise(F.xxhash64("content", "nth")).alias("example")
+        each = train.select(F.col("example").alias("content"), "label", nth).select(own, "content", "label")
+        sampled = each.join(sample_shots(each, "example", shots=shots, seed=seed).select("example"), "example")
+        chosen = sampled.join(sample_total(sampled, "example", seed=seed), "example").select("example", "content")
+        support = chosen.join(train.select(F.col("example").alias("content"), "text"), "content")
     predicted = classify_by_words(
         scored(test), words, scored(support) if calibrate else None, refine=known.candidate_share if refine else None
     )
     config = {"dataset": name, "template_id": template_id, "seed": seed, "shot": shots, "verbalizer": kind, "calibration": calibrate}
-    return report(test.select("example", "label").join(predicted, "example"), config)
+    return report(test.select("example", "label", "copies").join(predicted, "example"), config, weight="copies")

@@ -676,3 +676,22 @@ def test_broadcast_by_rows_and_bytes(spark, monkeypatch):
     assert hinted(skew.broadcast_if_small(df)[0]) and not hinted(skew.broadcast_if_small(df, 99)[0])
     monkeypatch.setattr(skew, "BROADCAST_BYTES", 150_000)
     assert not hinted(skew.broadcast_if_small(df)[0]) and hinted(skew.broadcast_if_small(df.select("id"))[0])
+
+
+@pytest.mark.parametrize("calibrate", [False, True])
+def test_few_shot_run_rates_every_row(spark, tmp_path, calibrate):
+    """Copies of a test row count as often as they occur, and copies of a train row are sampled one by one."""
+    known = catalog.find_dataset("ToxiGen")
+    train = [(0, "calm day")] * 5 + [(1, "bad day"), (0, "day of rain")]
+    test = [(1, "bad words")] * 6 + [(0, "bad luck"), (0, "calm sea"), (0, "calm sea"), (1, "calm lake")]
+    for split, rows in (("train", train), ("test", test)):
+        sinks.write_labeled_csv(spark.createDataFrame(rows, "label int, text string"), f"{tmp_path}/{known.folder}/{split}.csv")
+    scripts = f"{tmp_path}/{known.scripts}"
+    sinks.write_log_lines(spark.createDataFrame([('{"placeholder": "text_a"} It was {"mask"} .',)], "value string"), f"{scripts}/manual_template.txt")
+    sinks.write_log_lines(spark.createDataFrame([("abuse\nkind",)], "value string"), f"{scripts}/manual_verbalizer.txt")
+
+    def word_logit(prompt, word):
+        return F.when(prompt.startswith("bad") == (word == "abuse"), 9.0).otherwise(0.0)
+
+    record = classify.few_shot_run(spark, str(tmp_path), str(tmp_path), "ToxiGen", word_logit, shots=2, calibrate=calibrate).first()
+    assert (record["accuracy"], record["precision"], record["recall"]) == pytest.approx((8 / 10, 6 / 7, 6 / 7))
