@@ -22,7 +22,11 @@ SLOT_BITS = 20
 # Labelled rows that a machine is fitted on: those with the lowest hash of their key
 MAX_ROWS = 8192
 # Terms kept by the fit: in this many labelled texts at least, and this far from chance
-MIN_TEXTS, MIN_Z, MAX_TERMS = 3, 4.5, 1 << 14
+MIN_TEXTS, MIN_Z = 3, 4.5
+# ... or with another term: both in this many toxic texts at least, and this far above the larger share of the two
+PAIR_TEXTS, PAIR_Z = 8, 9.0
+# Columns of the blocks in which pairs are counted
+PAIR_BLOCK = 1024
 FACTORS, EPOCHS, RATE, DECAY = 8, 80, 0.1, 1e-4
 # Weight of a missed toxic text against a clean one called toxic; toxic texts are few
 TOXIC_WEIGHT = 8.0
@@ -89,10 +93,53 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def pair_terms(text: np.ndarray, slot: np.ndarray, labels: np.ndarray, base: float) -> np.ndarray:
+    """Slots that stand in some pair which is toxic more often than either of its terms makes likely.
+
+    All pairs of terms in PAIR_TEXTS toxic texts are counted, over all texts; equal texts count once.
+    """
+    n = len(labels)
+    is_toxic = labels == 1
+    seen = np.bincount(slot, minlength=1 << SLOT_BITS)
+    toxic = np.bincount(slot[is_toxic[text]], minlength=1 << SLOT_BITS)
+    good = np.flatnonzero(toxic >= PAIR_TEXTS)
+    share = np.maximum(toxic[good] / seen[good], base).astype(np.float32)
+    at = np.full(1 << SLOT_BITS, -1, np.int32)
+    at[good] = np.arange(len(good))
+    term = at[slot]
+    text, term = text[term >= 0], term[term >= 0]
+    order = np.argsort(term, kind="stable")
+    text, term = text[order], term[order]
+    cuts = np.arange(0, len(good) + PAIR_BLOCK, PAIR_BLOCK)
+    bounds = np.searchsorted(term, cuts)
+
+    def block(i: int) -> np.ndarray:
+        has = np.zeros((n, min(cuts[i + 1], len(good)) - cuts[i]), np.float32)
+        has[text[bounds[i] : bounds[i + 1]], term[bounds[i] : bounds[i + 1]] - cuts[i]] = 1
+        return has
+
+    found = np.zeros(len(good), bool)
+    for i in range(len(cuts) - 1):
+        one = block(i)
+        for j in range(i, len(cuts) - 1):
+            other = one if j == i else block(j)
+            hits = one[is_toxic].T @ other[is_toxic]
+            a, b = np.nonzero(hits >= PAIR_TEXTS)
+            if not len(a):
+                continue
+            hit, both = hits[a, b], (one.T @ other)[a, b]
+            p = np.minimum(np.maximum(share[cuts[i] + a], share[cuts[j] + b]), 1 - 1e-6)
+            far = (hit - both * p >= PAIR_Z * np.sqrt(both * p * (1 - p))) & (cuts[i] + a != cuts[j] + b)
+            found[cuts[i] + a[far]] = True
+            found[cuts[j] + b[far]] = True
+    return good[found]
+
+
 def fit_machine(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> FactorizationMachine:
     """Fits on texts given as arrays of distinct slots, with labels 0 and 1, by adaptive gradient steps.
 
-    Without any term that tells the labels apart (one label only, no rows) the score is the share of label 1.
+    Terms are those that tell the labels apart alone, and those that do so in a pair only. Without any
+    (one label only, no rows) the score is the share of label 1.
     """
     n = len(texts)
     labels = np.asarray(labels, float)
@@ -103,10 +150,13 @@ def fit_machine(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> F
     toxic = np.bincount(slot[(labels == 1)[text]], minlength=1 << SLOT_BITS)
     expected = seen * base
     z = (toxic - expected) / np.sqrt(np.maximum(expected * (1 - base), 1e-9))
-    good = np.flatnonzero((seen >= MIN_TEXTS) & (np.abs(z) >= MIN_Z))
-    good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:MAX_TERMS]])
-    chosen = np.zeros(1 << SLOT_BITS, bool)
-    chosen[good] = True
+    chosen = (seen >= MIN_TEXTS) & (np.abs(z) >= MIN_Z)
+    once = np.zeros(n, bool)  # copies of a text say nothing about its pairs
+    once[list({t.tobytes(): i for i, t in enumerate(texts)}.values())] = True
+    own = once[text]
+    if own.any():
+        chosen[pair_terms((np.cumsum(once) - 1)[text[own]], slot[own], labels[once], base)] = True
+    good = np.flatnonzero(chosen)
     inside = chosen[slot]
     text, term = text[inside].astype(np.int64), np.searchsorted(good, slot[inside])
     rng = np.random.default_rng(seed)

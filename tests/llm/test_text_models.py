@@ -121,6 +121,48 @@ def test_machine_learns_pairs():
     assert score([1, 2]) > 0.9 and max(score([1]), score([2]), score([])) < 0.2
 
 
+def test_machine_learns_pairs_of_terms_that_say_nothing_alone():
+    """Each term is as toxic as chance has it; the 20 texts with both are all toxic."""
+    rng = np.random.default_rng(0)
+    n, texts, labels = 8192, [], []
+    for i in range(n):
+        pair = [1, 2] if i < 20 else [1] if i < 2000 else [2] if i < 4000 else []
+        label = int(i < 20 or rng.random() < (0.04 if pair else 0.055))
+        sign = [5000 + rng.integers(10)] if label and i >= 20 else []
+        texts.append(np.unique([*pair, *sign, *(10 + rng.choice(3000, 30, replace=False))]))
+        labels.append(label)
+    order = rng.permutation(n)
+    machine = toxicity.fit_machine([texts[i] for i in order], np.array(labels)[order])
+
+    def scores(kinds):
+        found = [np.unique([*kinds, *(10 + rng.choice(3000, 30, replace=False))]) for _ in range(100)]
+        keep = machine.keep()
+        found = [f[keep[f]] for f in found]
+        return machine.scores(np.repeat(np.arange(100), [len(f) for f in found]), np.concatenate(found), 100)
+
+    assert (scores([1, 2]) >= 0.5).mean() > 0.9
+    assert max((scores([1]) >= 0.5).mean(), (scores([2]) >= 0.5).mean()) < 0.05
+
+
+def test_pair_terms_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", 7)
+    monkeypatch.setattr(toxicity, "PAIR_Z", 5.0)
+    rng = np.random.default_rng(3)
+    texts = [np.flatnonzero(rng.random(40) < 0.3) for _ in range(400)]
+    labels = np.array([int({3, 30} <= set(t.tolist()) or rng.random() < 0.05) for t in texts])
+    base = labels.mean()
+    wanted = set()
+    for a in range(40):
+        for b in range(a):
+            share = [labels[[x in t for t in texts]].mean() for x in (a, b)]
+            both = labels[[a in t and b in t for t in texts]]
+            p = max(*share, base)
+            if both.sum() >= toxicity.PAIR_TEXTS and both.sum() - len(both) * p >= toxicity.PAIR_Z * np.sqrt(len(both) * p * (1 - p)):
+                wanted |= {a, b}
+    text = np.repeat(np.arange(400), [len(t) for t in texts])
+    assert {3, 30} <= wanted == set(toxicity.pair_terms(text, np.concatenate(texts), labels, base).tolist())
+
+
 def test_machine_formula():
     rng = np.random.default_rng(9)
     m = toxicity.FactorizationMachine(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 4)))
