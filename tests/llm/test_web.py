@@ -196,6 +196,24 @@ def test_texts_of_articles_that_most_contents_share_go(spark):
     assert all(got[400 + i].count("Shared paragraph") == 8 for i in range(30))
 
 
+def test_names_do_not_drop_text_of_a_page(spark):
+    """Nothing is left empty by names, and on a host with pages enough the tree speaks for what differs."""
+    inner = "<p>Text of the story.</p>"
+    for wrapped in ('<div class="elementor-widget-container">{}</div>', '<div class="legal">{}</div>', "<form>{}</form>", '<nav>x</nav><div class="legal"><article>{}</article></div><p>hi</p>'):
+        assert ht.Page(f"<body>{wrapped.format(inner)}</body>").text() == "Text of the story.", wrapped
+    assert ht.Page("<body><form><p hidden>a</p><script>b</script></form></body>").text() == ""
+
+    def page(i):
+        body = f'<div class="widget"><p>Story {i} ' + f"word{i} " * 20 + '</p></div><div class="share"><p>Share it</p></div>'
+        body += f'<div class="comments"><p>Comment {i}</p></div><p>About {i}</p><footer><p>Foot</p></footer>'
+        return (i, f"http://h.example/{i}", f"<html><body>{body}</body></html>")
+
+    rows = [page(i) for i in range(20)]
+    for r in ht.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect():
+        i = r["page_id"]
+        assert r["text"] == f"Story {i} " + " ".join([f"word{i}"] * 20) + f"\nAbout {i}", r["text"]
+
+
 def test_importance_against_its_formula(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div>{'same' if i < 6 else i}</div>" + "<p>x</p>" * (i % 2)) for i in range(8)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
