@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from augspark.llm.arrays import SpanHash, byte_table, counts_per_text, mix, text_blocks, word_spans
 
-# Labelled texts that a field is fitted on (lowest hash of the key), and lines of each that it sees
-MAX_TEXTS, MAX_LINES = 4096, 256
+# Labelled texts that a field is fitted on (lowest hash of the key), and lines of all of them together
+MAX_TEXTS, MAX_LINES = 4096, 1 << 20
 MIN_SHARE = 0.5
 STEPS, RATE, DECAY = 200, 0.1, 1e-3
 # Neighbouring lines of a sampled text always share their label, which would tie lines more closely than they are
@@ -225,25 +225,39 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, buf, starts, ends in text_blocks(batch.column(0)):
             found = text_facts(buf, starts, ends)
             cuts = np.searchsorted(found["line_text"], np.arange(1, hi - lo))
-            parts = [x[:MAX_LINES].tobytes() for x in np.split(found["facts"], cuts)]
+            parts = [x.tobytes() for x in np.split(found["facts"], cuts)]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), batch.column(1)[lo:hi]], names=["facts", "label"])
 
 
+def _line_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, buf, starts, ends in text_blocks(batch.column(0)):
+            lines = counts_per_text(text_facts(buf, starts, ends)["line_text"], hi - lo)
+            yield pa.RecordBatch.from_arrays([batch.column(1)[lo:hi], pa.array(lines.astype(np.int64))], names=["place", "lines"])
+
+
 def fit_quality(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_texts: int = MAX_TEXTS
 ) -> LineField:
     """A field from at most ``max_texts`` labelled texts, chosen by a hash of their key.
 
-    The lines of a text labelled 1 teach content, those of a text labelled 0 boilerplate. The facts of up
-    to MAX_LINES lines of a sampled text come to the driver. Rows without key, label or words teach nothing.
+    The lines of a text labelled 1 teach content, those of a text labelled 0 boilerplate. All lines of a
+    text are used; texts that would bring the lines beyond MAX_LINES in all are left out. Rows without key, label or words teach nothing.
     """
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where("_key is not null and _label in (0, 1)")
     chosen = known.groupBy("_key").agg(F.min("_label").alias("_label")).orderBy(F.md5(F.col("_key").cast("string")), "_key").limit(max_texts)
     rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
     # a repeated key counts once, so the sample is bounded whatever the table holds
     once = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).groupBy("_key").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label"))
-    sample = once.select(F.col("_text").cast("binary"), "_label")
-    found = [r for r in sample.mapInArrow(_line_rows, "facts binary, label int").collect() if r["facts"]]
+    sample = once.select(F.col("_text").cast("binary"), "_label", F.md5(F.col("_key").cast("string")).alias("place"))
+    left, long = MAX_LINES, []
+    for r in sorted(sample.select("_text", "place").mapInArrow(_line_counts, "place string, lines bigint").collect()):
+        if r["lines"] > left:
+            long.append(r["place"])
+        else:
+            left -= r["lines"]
+    sample = sample.where(~F.col("place").isin(long)) if long else sample
+    found = [r for r in sample.select("_text", "_label").mapInArrow(_line_rows, "facts binary, label int").collect() if r["facts"]]
     found.sort(key=lambda r: (bytes(r["facts"]), r["label"]))  # the same field whatever the order of rows
     return fit_field([np.frombuffer(r["facts"], np.uint8).reshape(-1, 23) for r in found], [r["label"] for r in found])
 

@@ -100,6 +100,18 @@ def test_quality_on_held_out_labels(spark):
     assert good > 0.95 and bad < 0.2
 
 
+def test_all_lines_of_a_sampled_text_teach(spark, monkeypatch):
+    texts = [(i, "\n".join(f"line {k} of text {i} has some words" for k in range(600 + i)), i % 2) for i in range(4)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_field", lambda facts, labels: seen.append(sorted(len(f) for f in facts)))
+    quality.fit_quality(docs.drop("quality"), docs.drop("text"))
+    monkeypatch.setattr(quality, "MAX_LINES", 1300)
+    quality.fit_quality(docs.drop("quality"), docs.drop("text"))
+    assert seen[0] == [600, 601, 602, 603]
+    assert len(seen[1]) == 2 and set(seen[1]) <= set(seen[0]), "fewer texts, each of them whole"
+
+
 # -- toxicity -----------------------------------------------------------------------------------
 
 
