@@ -19,6 +19,7 @@ from augspark.llm.simhash import simhash_groups
 from augspark.llm.suffix_dedup import remove_repeats
 from augspark.llm.toxicity import fit_toxicity, score_toxicity
 from augspark.llm.warc import read_archives, resolved, write_archives
+from augspark.llm.winnowing import compare_with_edits
 from augspark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +123,23 @@ ORACLE_SQL["op9_mix_hash_threshold"] = mix_sql()
 def op10_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _marked(column: str) -> Column:
+    """(position, hash) pairs as text: decimal position, colon, eight hexadecimal digits, joined by commas."""
+    mark = lambda m: F.concat(m["position"].cast("string"), F.lit(":"), F.lower(F.lpad(F.hex(m["hash"]), 8, "0")))
+    return F.array_join(F.transform(column, mark), ",")
+
+
+@query
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = compare_with_edits(table(spark, sf_dir, "documents"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        _marked("fingerprint").alias("fingerprint"),
+        _marked("edited_fingerprint").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
