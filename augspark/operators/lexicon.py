@@ -183,6 +183,14 @@ def array_prior(support: DataFrame, lexicon: LexiconArrays, logits: str = "logit
     return means.select(softmax(F.col("m"))).scalar()
 
 
+def word_logs(lexicon: LexiconArrays, calibrated: bool = False, logits: str = "logits") -> Column:
+    """Log probabilities of the lexicon's words; calibrated: divided by the column ``_prior`` and normalised again."""
+    p = softmax(lexicon_logits(F.col(logits), lexicon))
+    if calibrated:
+        p = normalised(F.zip_with(p, F.col("_prior"), lambda a, b: a / b))
+    return F.transform(p, lambda x: F.ln(x + LOG_EPSILON))
+
+
 def class_score_arrays(
     df: DataFrame,
     lexicon: LexiconArrays,
@@ -195,12 +203,10 @@ def class_score_arrays(
     Works row by row: one model output is one row, so nothing is shuffled. ``temperature`` switches
     the word weights on.
     """
-    p = softmax(lexicon_logits(F.col(logits), lexicon))
+    log_p = word_logs(lexicon, prior is not None, logits)
     if prior is not None:
         # subqueries may not stand inside higher-order functions, so the prior becomes a column first
         df = df.withColumn("_prior", prior)
-        p = normalised(F.zip_with(p, F.col("_prior"), lambda a, b: a / b))
-    log_p = F.transform(p, lambda x: F.ln(x + LOG_EPSILON))
 
     def one_class(class_id: int) -> Column:
         places = [i for i, c in enumerate(lexicon.classes) if c == class_id]

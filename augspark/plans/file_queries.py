@@ -170,20 +170,29 @@ def label_word_sets(spark, sf):
 _FEW_SHOT_TEMPLATE = '{"placeholder": "text_a"} It was {"mask"} .'
 
 
-@query(f"""with {FX_LABELED},
+def _few_shot_sql(extra: str, predictions: str) -> str:
+    """The tables that a run is made of: prompts of all rows, distinct test rows, copies of train rows, and word scores."""
+    return f"""with {FX_LABELED},
 cut as (select *, array_to_string(string_split_regex({strip_sql("text")}, '[ \\t\\n\\x0B\\f\\r]+')[1:128], ' ') || ' It was [MASK] .' as prompt
-        from (select text, label, quality from fx_labeled where quality = 0)),
-test as (select distinct text, label, prompt from cut),
-scores as (select text, label, class_id, ('0x' || substr(md5(prompt || word), 1, 8))::bigint / 4294967296.0 + length(prompt) % 3 * class_id as logit
-  from test cross join (values ('abuse', 1), ('insult', 1), ('calm', 0), ('kind', 0)) w(word, class_id)),
-p as (select text, label, class_id, exp(logit) / sum(exp(logit)) over (partition by text, label) as p from scores),
-classes as (select text, label, class_id, avg(ln(p + 1e-15)) as s from p group by 1, 2, 3),
-best as (select text, label, arg_max(class_id, struct_pack(s := round(s, 12), c := -class_id)) as pred from classes group by 1, 2),
-e as (select {EVALUATION_COLUMNS} from best)
+        from (select text, label, quality from fx_labeled)),
+test as (select distinct text, label, prompt from cut where quality = 0),
+each as (select label, prompt, md5('=' || text || chr(31) || '=' || label) || ':' || row_number() over (partition by text, label) as example
+  from cut where quality = 1),
+lexicon as (select * from (values ('abuse', 1), ('insult', 1), ('calm', 0), ('kind', 0)) w(word, class_id)),
+support as (select prompt from each order by md5('144:' || example), example limit 200),
+means as (select word, avg({_WORD_SCORE_SQL}) as m from support cross join lexicon group by word),
+prior as (select word, exp(m) / sum(exp(m)) over () as prior from means){extra},
+best as ({predictions}),
+e as (select {EVALUATION_COLUMNS} from cut join best using (text, label) where quality = 0)
 select 'ToxiGen' as dataset, 0 as template_id, 10 as shot, 'manual' as verbalizer, round(accuracy, 6) as accuracy, round(precision, 6) as precision,
-  round(recall, 6) as recall from e""")
-def few_shot_run(spark, sf):
-    """From the files of a known dataset to the record of a run, with a stub as the model."""
+  round(recall, 6) as recall from e"""
+
+
+_WORD_SCORE_SQL = "('0x' || substr(md5(prompt || word), 1, 8))::bigint / 4294967296.0 + length(prompt) % 3 * class_id"
+
+
+def _few_shot_files(spark, sf) -> str:
+    """The files of a known dataset below one folder: train and test rows, a template and label words."""
     root = scratch_path(spark, "few-shot")
     rows = fx_labeled(spark, sf)
     for split, quality in (("train", 1), ("test", 0)):
@@ -192,16 +201,37 @@ def few_shot_run(spark, sf):
     scripts = f"{root}/{catalog.find_dataset('ToxiGen').scripts}"
     sinks.write_log_lines(spark.range(1).select(F.lit(_FEW_SHOT_TEMPLATE).alias("value")), f"{scripts}/manual_template.txt")
     sinks.write_log_lines(spark.range(1).select(F.lit("abuse,insult\nkind,calm").alias("value")), f"{scripts}/manual_verbalizer.txt")
+    return root
+
 
-    def word_logit(prompt, word):
-        number = F.conv(F.substring(F.md5(F.concat(prompt, word)), 1, 8), 16, 10).cast("double") / 4294967296
-        return number + F.length(prompt) % 3 * F.when(word.isin("abuse", "insult"), 1).otherwise(0)
+def _word_logit(prompt, word):
+    """A stub for the model: a number from the prompt and the word, higher for words of class 1 on some prompts."""
+    number = F.conv(F.substring(F.md5(F.concat(prompt, word)), 1, 8), 16, 10).cast("double") / 4294967296
+    return number + F.length(prompt) % 3 * F.when(word.isin("abuse", "insult"), 1).otherwise(0)
 
-    record = classify.few_shot_run(spark, root, root, "ToxiGen", word_logit, calibrate=False)
+
+def _few_shot_record(record):
     metrics = [F.round(n, 6).alias(n) for n in ("accuracy", "precision", "recall")]
     return record.select("dataset", "template_id", "shot", "verbalizer", *metrics)
 
 
+# log probabilities of the words, divided by the prior; to be formatted with a table of prompts and its columns
+_CALIBRATED_LOGS_SQL = f"""raw as (select {{keys}}, word, class_id, {_WORD_SCORE_SQL} as logit from {{table}} cross join lexicon),
+logs as materialized (
+  select {{keys}}, word, class_id, ln(ratio / sum(ratio) over (partition by {{keys}}) + 1e-15) as l
+  from (select *, exp(logit) / sum(exp(logit)) over (partition by {{keys}}) / prior as ratio from raw join prior using (word)))"""
+_CALIBRATED_SQL = f""",
+{_CALIBRATED_LOGS_SQL.format(table="test", keys="text, label")},
+classes as (select text, label, class_id, avg(l) as s from logs group by 1, 2, 3)"""
+
+
+@query(_few_shot_sql(_CALIBRATED_SQL, "select text, label, arg_max(class_id, struct_pack(s := round(s, 12), c := -class_id)) as pred from classes group by 1, 2"))
+def few_shot_run(spark, sf):
+    """From the files of a known dataset to the record of a calibrated run, with a stub as the model."""
+    root = _few_shot_files(spark, sf)
+    return _few_shot_record(classify.few_shot_run(spark, root, root, "ToxiGen", _word_logit))
+
+
 # -- sinks --------------------------------------------------------------------------------------
 
 
