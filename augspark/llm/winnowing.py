@@ -22,6 +22,8 @@ GRAM, WINDOW = 16, 32
 # Windows of a row, and bytes of a text that are cut into such rows at a time. Rows of over 100 columns are
 # projected by many small methods instead of one, which would be too long for the JVM to compile.
 STRETCH, SEGMENT = 128, 1 << 16
+# How many minima of one level make one of the next
+FAN = 6
 # A hash and its place in one number: the smaller number has the smaller hash, or else the later place
 _PLACES = 1 << 31
 # Rows that a repeated row is first dealt out to, before each of them is repeated
@@ -55,20 +57,19 @@ def with_chosen(pieces: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
     width, kept = STRETCH + window - 1, [f"`{c}`" for c in pieces.columns]
     left, starts = "int(grams - base) as _grams", f"int(greatest(grams - {window - 1}, least(grams, 1)) - base) as _starts"
     level = pieces.selectExpr(*kept, left, starts)
-    hash_at = "if({0} < _grams, shiftleft(crc32(substring(data, {1}, {2})), 31) | {3}L, null) as _0_{0}"
+    hash_at = "if({0} < _grams, (shiftleft(crc32(substring(data, {1}, {2})), 31) | {3}L) - base, null) as _0_{0}"
     level = level.selectExpr(*kept, "_starts", *[hash_at.format(i, i + 1, gram, _PLACES - 1 - i) for i in range(width)])
     size, depth = 1, 0
     while size < window:  # the last step may overlap, so any window size will do
-        steps = sorted({min(size * j, window - size) for j in range(4)})
+        steps = sorted({min(size * j, window - size) for j in range(FAN)})
         width -= steps[-1]
         least = [f"least({', '.join(f'_{depth}_{i + s}' for s in steps)}) as _{depth + 1}_{i}" for i in range(width)]
         level = level.selectExpr(*kept, "_starts", *least)
         size, depth = size + steps[-1], depth + 1
     # windows start at the places up to grams - window; a text with fewer hashes is one window
     minima = ", ".join(f"if({i} < _starts, _{depth}_{i}, null)" for i in range(STRETCH))
-    # array_except drops the nulls and repeats
-    chosen = level.selectExpr(*kept, f"array_except(array({minima}), array(cast(null as bigint))) as _chosen")
-    return chosen.selectExpr(*kept, "transform(_chosen, x -> x - base) as chosen")
+    # array_except drops the nulls and repeats; a lambda function here would take all of this out of compiled code
+    return level.selectExpr(*kept, f"array_except(array({minima}), array(cast(null as bigint))) as chosen")
 
 
 def _grams(size: Column, gram: int) -> Column:
