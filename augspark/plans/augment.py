@@ -12,6 +12,7 @@ from augspark.functions.text import drop_end_marker, join_rewrite, sentence_of,
 from augspark.operators.generate import DEFAULT_SAMPLES, Factory, generated_samples, into_slots, sample_scores
 from augspark.operators.incremental import read_written, unprocessed
 from augspark.operators.select import with_best_sample
+from augspark.sources.ledger import Split, next_batch, read_rejects, read_rows, split_by_error, write_batch
 from augspark.sources.sinks import append_rows
 
 
@@ -211,3 +212,68 @@ def augment_pending(
     for batch in range(batches):
         part = rest.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == batch) if batches > 1 else rest
         append_rows(step(part), target, format)
+
+
+def split_augmented(text: str = "text") -> Split:
+    """Splits rows with ``samples`` and ``scores`` into rewritten rows, and rows of which nothing came, with their first error."""
+
+    def split(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+        no_sample = F.forall("samples", lambda s: s["error"].isNotNull())
+        lost = F.col(text).isNull() | no_sample
+        first = F.get(F.transform(F.filter("samples", lambda s: s["error"].isNotNull()), lambda s: s["error"]), F.lit(0))
+        failed = made.where(lost).withColumn("error", F.coalesce(first, F.lit("no text")))
+        return choose_rewrite(made.where(~lost), text), failed.drop("samples", "scores")
+
+    return split
+
+
+def attempts(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame | None:
+    """Failed attempts per key so far: keys, attempts, and the error of the last one. None when there are none."""
+    rejects = read_rejects(spark, target)
+    if rejects is None:
+        return None
+    # a key fails once a round at most, also where several rows have it
+    rounds = rejects.groupBy(*keys, "batch").agg(F.min("error").alias("error"))
+    return rounds.groupBy(*keys).agg(F.count("*").alias("attempts"), F.max_by("error", "batch").alias("error"))
+
+
+def augment_with_retries(
+    df: DataFrame,
+    target: str,
+    keys: Sequence[str],
+    step: Callable[[DataFrame], DataFrame],
+    split: Split = split_by_error,
+    max_attempts: int = 3,
+    format: str = "csv",
+) -> DataFrame:
+    """Run a step over the rows that are not written yet, again and again for those that fail; returns what is given up.
+
+    Every round takes the rows whose key is neither written nor has failed ``max_attempts`` times, and is a
+    batch of :mod:`augspark.sources.ledger`: a job that died is started again with the same arguments and
+    repeats the round it died in. The output (:func:`read_rows`) and the rejects keep the key columns. The
+    result has keys, attempts and the last error of each key that was given up; :func:`attempts` tells of all.
+    """
+    spark = df.sparkSession
+    kinds = {k: df.schema[k].dataType for k in keys}
+
+    def typed(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys]).distinct()
+
+    def pending() -> DataFrame:
+        rest, written, failed = df, read_rows(spark, target, format), attempts(spark, target, keys)
+        if written is not None:
+            rest = unprocessed(rest, typed(written), keys)
+        if failed is not None:
+            rest = unprocessed(rest, typed(failed.where(F.col("attempts") >= max_attempts)), keys)
+        return rest
+
+    for _ in range(max_attempts):
+        rest = pending()
+        if rest.isEmpty():
+            break
+        write_batch(step(rest), target, next_batch(spark, target), split, format)
+    failed = attempts(spark, target, keys)
+    if failed is None:
+        return df.select(*keys, F.lit(0).cast("bigint").alias("attempts"), F.lit(None).cast("string").alias("error")).where(F.lit(False))
+    lost, written = failed.where(F.col("attempts") >= max_attempts), read_rows(spark, target, format)
+    return lost if written is None else unprocessed(lost, typed(written), keys)

@@ -13,7 +13,8 @@ from augspark.plans.registry import query
 from augspark.plans.sample_queries import CHOOSE_SQL
 from augspark.session import scratch_path
 from augspark.sources import sinks
-from augspark.streaming.augment import augment_files
+from augspark.sources.ledger import read_rejects, read_rows
+from augspark.streaming.augment import augment_files, augment_files_once
 
 # -- sampling -----------------------------------------------------------------------------------
 
@@ -202,3 +203,54 @@ def stream_augmentation(spark, sf):
 
     augment_files(spark, source, inputs.schema, target, scratch_path(spark, "stream-state"), step).awaitTermination()
     return spark.read.parquet(target).select("doc_id", "label", "sample_idx", "text")
+
+
+def _scored_samples(df, factory, **settings):
+    """Rows with samples and scores, before the choice."""
+    made = augment.with_samples(df, factory, prompt=fx.whole_prompt, on_error="skip", **settings)
+    return made.withColumn("scores", F.transform("samples", lambda s: F.length(s["text"]).cast("double")))
+
+
+_FAILS_SQL = "length(substring(text, 1, 500)) % 7 = 0"
+_RETRIED_SQL = f"""{FX_LABELED},
+g as (select doc_id, label, text, i, {fx.stub_sql("substring(text, 1, 500)", "i")} as whole from fx_labeled cross join range(5) r(i)),
+f as (select *, {fx.first_sentence_sql("whole")} as gen from g),
+sc as (select *, length(gen)::double as score from f)"""
+
+
+@query(f"""with done as (with {_RETRIED_SQL},
+{CHOOSE_SQL}),
+{FX_LABELED}
+select doc_id, label, sample_idx, text, null::varchar as error from done
+  where doc_id not in (select doc_id from fx_labeled where {_FAILS_SQL})
+union all select doc_id, label, null, text, 'model failed' from fx_labeled where {_FAILS_SQL}""")
+def stream_to_csv(spark, sf):
+    """A stream whose model fails on some rows: CSV of the rewritten rows and the rejects beside it, each batch once."""
+    source, target = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-csv")
+    inputs = fx_labeled(spark, sf).select("doc_id", "label", "text")
+    inputs.repartition(3).write.parquet(source)
+
+    def step(batch):
+        return _scored_samples(batch, fx.failing_factory)
+
+    state = scratch_path(spark, "stream-state")
+    for _ in range(2):  # a stream that is started again finds nothing to do
+        augment_files_once(
+            spark, source, inputs.schema, target, state, step, augment.split_augmented(), files_per_batch=1
+        ).awaitTermination()
+    rows, rejects = read_rows(spark, target), read_rejects(spark, target)
+    written = rows.select(
+        F.col("doc_id").cast("bigint"), F.col("label").cast("int"), F.col("sample_idx").cast("int"), "text", F.lit(None).cast("string").alias("error")
+    )
+    return written.unionByName(rejects.select("doc_id", "label", F.lit(None).cast("int").alias("sample_idx"), "text", "error"))
+
+
+@query(f"with {FX_LABELED} select doc_id, 3 as attempts, 'model failed' as error from fx_labeled where {_FAILS_SQL}")
+def given_up_rows(spark, sf):
+    """The rows that a model failed on in three rounds, with their last error; all others are written."""
+    inputs = fx_labeled(spark, sf).select("doc_id", "label", "text")
+    target = scratch_path(spark, "retries")
+    given_up = augment.augment_with_retries(
+        inputs, target, ["doc_id"], lambda rest: _scored_samples(rest, fx.failing_factory), augment.split_augmented()
+    )
+    return given_up.select("doc_id", F.col("attempts").cast("int"), "error")
