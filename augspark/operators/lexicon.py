@@ -11,6 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from augspark.functions.scoring import cosine, dot, let, normalised, softmax
+from augspark.functions.subwords import Subwords, pooled
 from augspark.operators.skew import broadcast_if_small, global_position
 from augspark.session import cut_lineage
 
@@ -154,25 +155,50 @@ def refine_lexicon(lexicon: DataFrame, prior: DataFrame, share: float = CANDIDAT
 
 @dataclass(frozen=True)
 class LexiconArrays:
-    """A lexicon on the driver: words as positions in a score array, with class and weight of each."""
+    """A lexicon on the driver: words as positions in a score array, with class and weight of each.
 
-    words: tuple[int, ...]
+    A word of several pieces is a tuple of positions; ``pool`` tells which score of its pieces is its own.
+    """
+
+    words: tuple[int | tuple[int, ...], ...]
     classes: tuple[int, ...]
     weights: tuple[float, ...]
+    pool: str = "first"
+
+
+def split_words(lexicon: DataFrame, tokenizer: Subwords, max_token_split: int = -1, prefix: str = " ") -> DataFrame:
+    """Add ``pieces``, the token ids of each word behind ``prefix``; words of more than ``max_token_split`` pieces go (-1: none)."""
+    split = lexicon.withColumn("pieces", tokenizer.ids(F.concat(F.lit(prefix), F.col("word"))))
+    return split if max_token_split < 0 else split.where(F.size("pieces") <= max_token_split)
 
 
-def collect_lexicon(lexicon: DataFrame) -> LexiconArrays:
-    """Bring a lexicon (word, class_id, optional weight) to the driver after checking its size."""
+def collect_lexicon(lexicon: DataFrame, pool: str = "first") -> LexiconArrays:
+    """Bring a lexicon (word, class_id, optional weight) to the driver after checking its size.
+
+    With a column ``pieces`` (positions of each word's pieces) these stand for the words, as they do in
+    :func:`split_words`; a word without pieces cannot be scored and is left out.
+    """
     weight = F.col("weight") if "weight" in lexicon.columns else F.lit(0.0)
-    found = lexicon.select("class_id", "word", weight.alias("weight")).limit(MAX_LEXICON_WORDS + 1).collect()
+    split = "pieces" in lexicon.columns
+    pieces = F.col("pieces") if split else F.lit(None).cast("array<int>")
+    rows = lexicon.where(F.size("pieces") > 0) if split else lexicon
+    found = rows.select("class_id", "word", weight.alias("weight"), pieces.alias("pieces")).limit(MAX_LEXICON_WORDS + 1).collect()
     if len(found) > MAX_LEXICON_WORDS:
         raise ValueError(f"a lexicon holds at most {MAX_LEXICON_WORDS} words")
-    rows = sorted((r["class_id"], r["word"], r["weight"]) for r in found)
-    return LexiconArrays(*(tuple(r[i] for r in rows) for i in (1, 0, 2)))
+    rows = sorted((r["class_id"], r["word"], r["weight"], tuple(r["pieces"] or ())) for r in found)
+    words = tuple(r[3] if split else r[1] for r in rows)
+    return LexiconArrays(words, tuple(r[0] for r in rows), tuple(r[2] for r in rows), pool)
 
 
 def lexicon_logits(logits: Column, lexicon: LexiconArrays) -> Column:
     """The scores of the lexicon's words, picked from the scores of the whole vocabulary."""
+    if any(isinstance(w, tuple) for w in lexicon.words):
+        pieces = F.array(*[F.lit(list(w) if isinstance(w, tuple) else [w]).cast("array<int>") for w in lexicon.words])
+
+        def score(scores: Column, word: Column) -> Column:
+            return let(F.transform(word, lambda i: F.element_at(scores, i + 1).cast("double")), lambda own: pooled(own, lexicon.pool))
+
+        return let(logits, lambda scores: F.transform(pieces, lambda w: score(scores, w)))
     words = F.lit(list(lexicon.words)).cast("array<int>")
     return let(logits, lambda scores: F.transform(words, lambda w: F.element_at(scores, w + 1).cast("double")))
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from augspark.functions.subwords import Subwords
 from augspark.functions.templates import render_template
 from augspark.functions.text import truncate_tokens
 from augspark.operators import lexicon as lx
@@ -21,9 +22,20 @@ from augspark.sources.sinks import run_record
 MAX_TOKENS = 128
 
 
-def classification_prompts(df: DataFrame, template: str, text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Add ``prompt``: the template filled with the first ``max_tokens`` words of the text."""
-    kept = truncate_tokens(F.col(text), max_tokens, "first")
+def classification_prompts(
+    df: DataFrame, template: str, text: str = "text", max_tokens: int = MAX_TOKENS, tokenizer: Subwords | None = None, special_tokens: int = 0
+) -> DataFrame:
+    """Add ``prompt``: the template filled with the first ``max_tokens`` words of the text.
+
+    With a tokenizer the whole prompt has up to ``max_tokens`` sub-word tokens: what the template and the
+    model's ``special_tokens`` leave is the text's budget, and only the text is cut.
+    """
+    if tokenizer is None:
+        kept = truncate_tokens(F.col(text), max_tokens, "first")
+    else:
+        # the empty template's tokens are a number that does not depend on the row
+        frame = tokenizer.count(render_template(template, {"text_a": F.lit("")}))
+        kept = tokenizer.truncate(F.col(text), F.greatest(F.lit(0), F.lit(max_tokens - special_tokens) - frame))
     return df.withColumn("prompt", render_template(template, {"text_a": kept}))
 
 

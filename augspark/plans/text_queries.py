@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from augspark.functions import prompts, templates, text as tx
+from augspark.functions.subwords import Subwords
 from augspark.operators import chats
 from augspark.plans.fixtures import FX_LABELED, first_sentence_sql, fx_labeled, strip_sql, table
 from augspark.plans.registry import query
@@ -118,6 +119,24 @@ def truncate_tokens(spark, sf):
     )
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query()
+def truncate_subwords(spark, sf):
+    """First and last 128 sub-word tokens of every text, and how many it has."""
+    tokenizer, text = Subwords(spark, vocabulary_path()), F.col("text")
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        tokenizer.count(text).alias("n_tokens"),
+        tokenizer.truncate(text, 128, "first").alias("head"),
+        tokenizer.truncate(text, 128, "last").alias("tail"),
+    )
+
+
 @query(f"""
 select doc_id, case when code in ('cn', 'zh') then {quoted(prompts.SYSTEM_CHINESE)} else {quoted(prompts.SYSTEM_ENGLISH)} end as system_text
 from (select doc_id, case lang when 'fr' then 'cn' when 'de' then 'zh' else lang end as code from documents)""")

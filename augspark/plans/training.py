@@ -115,7 +115,9 @@ def _batches(rows: DataFrame, key: str, batch_size: int | None, seed: int):
 
 
 def _write_state(spark: SparkSession, path: str, epoch: int, lexicon: LexiconArrays, state: WeightState) -> None:
-    columns = zip(lexicon.words, lexicon.classes, state.weights.tolist(), state.first.tolist(), state.second.tolist(), strict=True)
+    # a word of several pieces goes by the first one; ``place`` tells words apart in any case
+    words = [w[0] if isinstance(w, tuple) else w for w in lexicon.words]
+    columns = zip(words, lexicon.classes, state.weights.tolist(), state.first.tolist(), state.second.tolist(), strict=True)
     rows = [(i, w, c, *numbers, state.steps) for i, (w, c, *numbers) in enumerate(columns)]
     spark.createDataFrame(rows, _STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/weights/epoch_no={epoch}")
 

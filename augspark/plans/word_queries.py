@@ -122,6 +122,22 @@ def weighted_class_scores_from_arrays(spark, sf):
     return _array_scores(lx.class_score_arrays(vectors(spark, sf), lexicon, temperature=2.0, logits="vec"))
 
 
+_PIECES_SQL = "list_transform(range(1 + word % 3), lambda i: (word + 7 * i) % 64)"
+
+
+@query(f"""with {FX_WORD_SCORES}, {FX_LEXICON},
+split as (select word, class_id, weight, unnest({_PIECES_SQL}) as piece from fx_lexicon where 1 + word % 3 <= 2),
+pooled as (select s.example, l.word, l.class_id, l.weight, avg(s.logit) as logit from split l join fx_word_scores s on s.word = l.piece group by all),
+p as (select *, exp(logit) / sum(exp(logit)) over (partition by example) as p from pooled)
+select example, class_id, round(sum(exp(2.0 * weight) * ln(p + 1e-15)) / sum(exp(2.0 * weight)), 6) as class_score from p group by 1, 2""")
+def split_word_class_scores(spark, sf):
+    """Label words of one to three pieces: those above two pieces go, the others score the mean of their pieces."""
+    pieces = F.transform(F.sequence(F.lit(0), F.col("word") % 3), lambda i: ((F.col("word") + 7 * i) % 64).cast("int"))
+    split = fx_lexicon(spark).withColumn("pieces", pieces).where(F.size("pieces") <= 2)
+    lexicon = lx.collect_lexicon(split, pool="mean")
+    return _array_scores(lx.class_score_arrays(vectors(spark, sf), lexicon, temperature=2.0, logits="vec"))
+
+
 @query(f"with {SOFTMAX}, {PRIOR} select example, class_id, round(avg(ln(p + 1e-15)), 6) as class_score from calibrated group by 1, 2")
 def calibrated_class_scores_from_arrays(spark, sf):
     lexicon = lx.collect_lexicon(fx_lexicon(spark))
