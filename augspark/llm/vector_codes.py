@@ -76,8 +76,8 @@ def reassign(points: np.ndarray, ids: np.ndarray, low: np.ndarray, books: Codebo
     """Ids and bounds after the entries have moved, the squared distances, and the most listed entries that some part needed."""
     rows, parts, width = points.shape
     b, k = ids.shape[2] - 1, books.entries.shape[1]
-    x = points.reshape(-1, width)
-    book, drift = books.entries.reshape(-1, width), books.drift.ravel()
+    x = points.reshape(rows * parts, width)
+    book, drift = books.entries.reshape(parts * k, width), books.drift.ravel()
     base = np.tile(np.arange(parts) * k, rows)
     ids, low = ids.reshape(-1, b + 1).copy(), low.reshape(-1, b + 1).astype(float)
     low[:, :b] -= drift[base[:, None] + ids[:, 1:]]
@@ -154,7 +154,7 @@ def _averaged(stored: DataFrame, books: Codebooks, b: int) -> np.ndarray:
         count = np.zeros(parts * k, np.int64)
         sums = np.zeros((parts * k, width), np.int64)
         for batch in batches:
-            points = _matrix(batch.column(0), "<i4", (parts * width,)).reshape(-1, width).astype(np.int64)
+            points = _matrix(batch.column(0), "<i4", (parts * width,)).reshape(batch.num_rows * parts, width).astype(np.int64)
             ids = _matrix(batch.column(1), np.uint8, (parts, b + 1))[:, :, 0]
             slot = (ids + np.arange(parts) * k).ravel()
             count += np.bincount(slot, minlength=parts * k)
@@ -166,7 +166,7 @@ def _averaged(stored: DataFrame, books: Codebooks, b: int) -> np.ndarray:
 
     partial = stored.select("points", "ids").mapInArrow(run, "slot bigint, n bigint, sums array<bigint>")
     totals = [F.sum(F.get("sums", F.lit(c)).cast("decimal(38,0)")).alias(f"s{c}") for c in range(width)]
-    out = books.entries.copy().reshape(-1, width)
+    out = books.entries.copy().reshape(parts * k, width)
     for row in partial.groupBy("slot").agg(F.sum("n").alias("n"), *totals).collect():  # parts x entries rows at most
         out[row["slot"]] = [int(row[f"s{c}"]) // row["n"] for c in range(width)]
     return out.reshape(books.entries.shape)
