@@ -14,6 +14,7 @@ from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -58,40 +59,45 @@ class WordCache:
         self.pool = np.zeros(0, np.uint32)
 
     def _encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        # without offsets, which nothing here needs
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and how many each has.
+    def _word_ids(self, buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words in another order, the ids of all of them one after the other, and how many each has.
 
         Words of letters are one piece each, and the last token of a piece is marked as the end of a word,
         so many of them can go through the tokenizer as one text.
         """
-        sizes: list = [None] * len(words)
-        ids: list = [None] * len(words)
-        letters = [i for i, w in enumerate(words) if w.isalpha() and max(w) <= "\u00ff"]
+        plain = letter_spans(buf, first, last)
+        letters = np.flatnonzero(plain)
         lists = [letters[a : a + 512] for a in range(0, len(letters), 512)]
-        rest = set(range(len(words))).difference(letters)
-        for part, found in zip(lists, self._encode([" ".join([words[i] for i in part]) for part in lists]), strict=True):
+        order, ids, sizes, rest = [], [], [], [np.flatnonzero(~plain)]
+        for part, found in zip(lists, self._encode([_joined(buf, first[x], last[x]) for x in lists]), strict=True):
             found = np.array(found, np.uint32)
             cuts = np.flatnonzero(self.ends_word[found]) + 1
             if len(cuts) != len(part) or cuts[-1] != len(found):
-                rest.update(part)
+                rest.append(part)
                 continue
-            for i, x in zip(part, np.split(found, cuts[:-1]), strict=True):
-                ids[i], sizes[i] = x, len(x)
-        rest = sorted(rest)
-        for i, x in zip(rest, self._encode([words[i] for i in rest]), strict=True):
-            ids[i], sizes[i] = np.array(x, np.uint32), len(x)
-        return np.concatenate(ids), np.array(sizes, np.int64)
-
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        flat, size = self._word_ids(words)
-        first = len(self.pool) + np.cumsum(size) - size
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.first = np.concatenate([self.first, first])[order]
-        self.size = np.concatenate([self.size, size])[order]
+            order.append(part)
+            ids.append(found)
+            sizes.append(np.diff(cuts, prepend=0))
+        rest = np.concatenate(rest)
+        view = memoryview(buf)
+        for i, x in zip(rest, self._encode([str(view[a:b], "utf-8", "replace") for a, b in zip(first[rest], last[rest], strict=True)]), strict=True):
+            order.append([i])
+            ids.append(np.array(x, np.uint32))
+            sizes.append([len(x)])
+        return np.concatenate(order), np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
+
+    def _learn(self, keys: np.ndarray, buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        """Enters words by their keys, which are sorted and new."""
+        order, flat, size = self._word_ids(buf, first, last)
+        begin = len(self.pool) + np.cumsum(size) - size
+        back = np.argsort(order)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.first = np.insert(self.first, at, begin[back])
+        self.size = np.insert(self.size, at, size[back])
         self.pool = np.concatenate([self.pool, flat])
 
     def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +108,9 @@ class WordCache:
         if len(first):
             first, last, doc = _split_marks(buf, first, last, doc)
         hashes = SpanHash(buf)(first, last)
-        keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        inverse, keys = pd.factorize(hashes, sort=True)
+        where = np.zeros(len(keys), np.int64)
+        where[inverse[::-1]] = np.arange(len(inverse))[::-1]
         if len(self.keys) + len(keys) > CACHE_WORDS:
             self._clear()
         at = np.searchsorted(self.keys, keys)
@@ -110,9 +118,8 @@ class WordCache:
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
         if not known.all():
-            view = memoryview(buf)
             new = where[~known]
-            self._learn(keys[~known], [str(view[a:b], "utf-8", "replace") for a, b in zip(first[new], last[new], strict=True)])
+            self._learn(keys[~known], buf, first[new], last[new])
             at = np.searchsorted(self.keys, keys)
         size, begin = self.size[at][inverse], self.first[at][inverse]
         flat = self.pool[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
@@ -127,6 +134,24 @@ class WordCache:
         return flat, counts
 
 
+def letter_spans(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which spans of a lower-case buffer hold letters of ASCII and of the second Latin-1 row only."""
+    before = np.concatenate([[0], buf[:-1]])
+    second = (before == 0xC3) & (buf >= 0x80) & (buf < 0xC0) & (buf != 0x97) & (buf != 0xB7)
+    other = ~(((buf >= 97) & (buf <= 122)) | (buf == 0xC3) | second)
+    upto = np.concatenate([[0], np.cumsum(other, dtype=np.int64)])
+    return upto[last] == upto[first]
+
+
+def _joined(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> str:
+    """Spans of the buffer as one text, a blank after each but the last."""
+    size = last - first + 1
+    source = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    out = buf[np.minimum(source, len(buf) - 1)]
+    out[np.cumsum(size) - 1] = 0x20
+    return str(out[:-1].tobytes(), "utf-8", "replace")
+
+
 def _split_marks(buf, first, last, doc):
     """Cuts the trailing run of ``.,!?;:`` off words in which a plain letter or digit stands before it."""
     marks = byte_table(b".,!?;:")
