@@ -16,11 +16,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from augspark.llm.arrays import SpanHash, lower_ascii, text_blocks, word_spans
+from augspark.llm.arrays import SpanHash, lower_ascii, release_memory, text_blocks, word_spans
+from augspark.llm.runs import join_parts, split_parts
 
 SLOT_BITS = 20
 # Labelled rows that a machine is fitted on: those with the lowest hash of their key
 MAX_ROWS = 8192
+# ... and their distinct terms per text, added up over all texts
+MAX_TERMS = 1 << 24
 # Terms kept by the fit: in this many labelled texts at least, and this far from chance
 MIN_TEXTS, MIN_Z = 3, 4.5
 # ... or with another term: both in this many toxic texts at least, and this far above the larger share of the two
@@ -83,6 +86,16 @@ class FactorizationMachine:
     def scores(self, text: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
         return logistic(self.raw(text, np.searchsorted(self.slots, slot), n))
 
+    def to_bytes(self) -> bytes:
+        parts = [self.slots.astype("<i8"), np.array([self.bias]), self.weights, self.vectors]
+        return join_parts([np.ascontiguousarray(x).tobytes() for x in parts])
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> FactorizationMachine:
+        slots, bias, weights, vectors = split_parts(data)
+        slots = np.frombuffer(slots, "<i8")
+        return cls(slots, float(np.frombuffer(bias)[0]), np.frombuffer(weights), np.frombuffer(vectors).reshape(len(slots), FACTORS))
+
     def keep(self) -> np.ndarray:
         known = np.zeros(1 << SLOT_BITS, bool)
         known[self.slots] = True
@@ -194,16 +207,24 @@ def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, slot = text_terms(buf, ends)
             cuts = np.searchsorted(text, np.arange(1, hi - lo))
             parts = [x.astype("<i4").tobytes() for x in np.split(slot, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), batch.column(1)[lo:hi]], names=["slots", "label"])
+            columns = [pa.array(parts, pa.binary()), batch.column(1)[lo:hi], batch.column(2)[lo:hi]]
+            yield pa.RecordBatch.from_arrays(columns, names=["slots", "label", "place"])
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS
+    docs: DataFrame,
+    labels: DataFrame,
+    usable: Column | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    max_rows: int = MAX_ROWS,
+    max_terms: int = MAX_TERMS,
 ) -> FactorizationMachine:
     """A machine from at most ``max_rows`` labelled rows, chosen by a hash of their key.
 
-    usable: which keys may be learned from. Rows without a key, text or label teach nothing. Only the
-    sample's term slots come to the driver.
+    usable: which keys may be learned from. Rows without a key, text or label teach nothing. Of long texts
+    fewer are taken: those whose terms, added up in the order of the hash, reach ``max_terms`` end the sample.
     """
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where("_key is not null and _label in (0, 1)")
     if usable is not None:
@@ -212,11 +233,22 @@ def fit_toxicity(
     rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).where("_text is not null")
     # a repeated key counts once, so the sample is bounded whatever the table holds
     once = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).groupBy("_key").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
-    sample = once.select(F.col("_text").cast("binary"), "_label")
-    found = [(bytes(r["slots"]), r["label"]) for r in sample.mapInArrow(_slots_of, "slots binary, label int").collect()]
-    found.sort()  # the same machine whatever the order of rows
-    order = np.random.default_rng(1).permutation(len(found))
-    return fit_machine([np.frombuffer(found[i][0], "<i4") for i in order], np.array([found[i][1] for i in order]))
+    sample = once.select(F.col("_text").cast("binary"), "_label", F.md5(F.col("_key").cast("string")))
+    slots = sample.mapInArrow(_slots_of, "slots binary, label int, place string")
+
+    def fit(table: pa.Table) -> pa.Table:
+        # the same machine whatever the order of rows
+        table = table.sort_by([("place", "ascending"), ("slots", "ascending")])
+        texts = [np.frombuffer(x, "<i4") for x in table.column("slots").to_pylist()]
+        inside = np.cumsum([len(t) for t in texts]) <= max_terms
+        texts = [t for t, good in zip(texts, inside, strict=True) if good]
+        machine = fit_machine(texts, table.column("label").to_numpy()[: len(texts)])
+        release_memory()
+        return pa.table({"machine": pa.array([machine.to_bytes()], pa.binary())})
+
+    # one task fits the sample, which is bounded by rows and by terms; only the machine comes to the driver
+    fitted = slots.groupBy(F.lit(0)).applyInArrow(fit, "machine binary").first()
+    return FactorizationMachine.from_bytes(bytes(fitted["machine"])) if fitted else fit_machine([], np.zeros(0))
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, text: str = "text", name: str = "score") -> DataFrame:
