@@ -27,6 +27,10 @@ THRESHOLD = 0.95
 SHARD, BLOCK = 65_536, 4096
 LINKS, LINKS_BASE = 16, 32
 BEAM_BUILD, BEAM, MAX_BEAM = 48, 32, 512
+# Nodes that enter a graph together, at most
+BATCH = 4096
+# Queries that search together
+CHUNK = 256
 # Queries of a block whose partners are also found by comparison, and the share that the beam must find
 AUDIT, AUDIT_RECALL = 32, 0.99
 # Cosines of single precision are trusted up to this
@@ -41,11 +45,12 @@ class Graph:
     levels: np.ndarray
     links: list[np.ndarray] = field(default_factory=list)
     entry: int = -1
+    seen: np.ndarray | None = None
 
     def similar(self, nodes: np.ndarray, queries: np.ndarray) -> np.ndarray:
         """Cosines of (queries, candidates) node numbers; -2 for no node."""
-        found = np.einsum("qcd,qd->qc", self.units[np.maximum(nodes, 0)], queries)
-        return np.where(nodes >= 0, found, -2).astype(np.float32)
+        found = np.matmul(self.units[np.maximum(nodes, 0)], queries[:, :, None])[:, :, 0]
+        return np.where(nodes >= 0, found, np.float32(-2))
 
     def descend(self, queries: np.ndarray, to_level: int) -> np.ndarray:
         """The node each query reaches by greedy steps above ``to_level``."""
@@ -66,7 +71,8 @@ class Graph:
     def beam(self, queries: np.ndarray, start: np.ndarray, width: int, level: int = 0, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """The nodes and cosines of a beam search, best first; -1 and -2 fill up short beams."""
         q = len(queries)
-        seen = np.zeros((q, len(self.units)), bool)
+        seen = self._unseen(q)
+        touched = [np.arange(q) * len(self.units) + start]
         ids = np.full((q, width), -1)
         sims = np.full((q, width), -2, np.float32)
         done = np.ones((q, width), bool)
@@ -94,7 +100,9 @@ class Graph:
                 continue
             near = -np.sort(-near, axis=1)[:, :width_near]
             ok = near >= 0
-            seen[np.broadcast_to(live[:, None], near.shape)[ok], near[ok]] = True
+            at = (live[:, None] * len(self.units) + near)[ok]
+            seen.ravel()[at] = True
+            touched.append(at)
             all_ids = np.concatenate([ids[live], near], 1)
             all_sims = np.concatenate([sims[live], self.similar(near, queries[live])], 1)
             all_done = np.concatenate([done[live], ~ok], 1)
@@ -102,13 +110,20 @@ class Graph:
             ids[live] = np.take_along_axis(all_ids, best, 1)
             sims[live] = np.take_along_axis(all_sims, best, 1)
             done[live] = np.take_along_axis(all_done, best, 1) | (ids[live] < 0)
+        seen.ravel()[np.concatenate(touched)] = False
         return ids, sims
 
+    def _unseen(self, queries: int) -> np.ndarray:
+        """A truth value per query and node, all false; kept between searches, which clear what they have set."""
+        if self.seen is None or len(self.seen) < queries:
+            self.seen = np.zeros((queries, len(self.units)), bool)
+        return self.seen
+
     def pick_links(self, of: np.ndarray, candidates: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """Up to ``most`` neighbours from candidates sorted by cosine: near ones that are not nearer to a chosen one."""
         n, c = candidates.shape
         vectors = self.units[np.maximum(candidates, 0)]
-        among = np.einsum("ncd,nkd->nck", vectors, vectors)
+        among = np.matmul(vectors, vectors.swapaxes(1, 2))
         chosen = np.zeros((n, c), bool)
         for i in range(c):
             covered = (chosen & (among[:, i] >= sims[:, i : i + 1])).any(1)
@@ -134,13 +149,13 @@ def build_graph(vectors: np.ndarray, seed: int = 3) -> Graph:
     g.entry = 0
     at = 1
     while at < n:
-        batch = np.arange(at, min(n, at + min(max(64, at // 2), 1024)))
+        batch = np.arange(at, min(n, at + min(max(64, at // 2), BATCH)))
         for level in range(len(g.links) - 1, -1, -1):
             mine = batch[levels[batch] >= level]
             if not len(mine):
                 continue
-            for a in range(0, len(mine), 256):
-                part = mine[a : a + 256]
+            for a in range(0, len(mine), CHUNK):
+                part = mine[a : a + CHUNK]
                 ids, sims = g.beam(units[part], g.descend(units[part], level), BEAM_BUILD, level)
                 inner = units[part] @ units[mine].T
                 inner[np.arange(len(part)), a + np.arange(len(part))] = -2
@@ -152,18 +167,19 @@ def build_graph(vectors: np.ndarray, seed: int = 3) -> Graph:
                 sims = np.where(ids >= 0, sims, -2)
                 order = np.argsort(-sims, axis=1, kind="stable")[:, :BEAM_BUILD]
                 ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-                g.links[level][part] = g.pick_links(part, ids, sims, g.links[level].shape[1])
+                # half of the room of the lowest level is left for those that come later
+                g.links[level][part, :LINKS] = g.pick_links(part, ids, sims, LINKS)
             _link_back(g, level, mine)
         at = int(batch[-1]) + 1
     return g
 
 
 def _link_back(g: Graph, level: int, new: np.ndarray) -> None:
-    """Enters new nodes in the lists of their neighbours; a full list is picked anew."""
+    """Enters new nodes in the lists of their neighbours; a list that they do not fit in is picked anew."""
     links = g.links[level]
     most = links.shape[1]
-    to = links[new].ravel()
-    source = np.repeat(new, most)
+    to = links[new, :LINKS].ravel()
+    source = np.repeat(new, LINKS)
     ok = to >= 0
     to, source = to[ok], source[ok]
     sims = np.einsum("nd,nd->n", g.units[to], g.units[source])
@@ -179,6 +195,11 @@ def _link_back(g: Graph, level: int, new: np.ndarray) -> None:
         both = np.concatenate([links[part].astype(np.int64), more], 1)
         both.sort(1)
         both[:, 1:] = np.where(both[:, 1:] == both[:, :-1], -1, both[:, 1:])
+        fits = (both >= 0).sum(1) <= most
+        links[part[fits]] = -np.sort(-both[fits], axis=1)[:, :most]
+        part, both = part[~fits], both[~fits]
+        if not len(part):
+            continue
         sims = g.similar(both, g.units[part])
         order = np.argsort(-sims, axis=1, kind="stable")
         both, sims = np.take_along_axis(both, order, 1), np.take_along_axis(sims, order, 1)
@@ -200,8 +221,8 @@ def near_vectors(g: Graph, queries: np.ndarray, threshold: float, rng: np.random
     truth = units[audit] @ g.units.T >= least
     while len(left) and width <= min(MAX_BEAM, len(g.units) // 4):
         found = []
-        for a in range(0, len(left), 256):
-            part = left[a : a + 256]
+        for a in range(0, len(left), CHUNK):
+            part = left[a : a + CHUNK]
             found.append(g.beam(units[part], g.descend(units[part], 0), width))
         ids, sims = (np.concatenate(x) for x in zip(*found, strict=True))
         full = sims[:, -1] >= least  # a beam full of near vectors may have missed more
