@@ -23,7 +23,7 @@ from augspark.llm.runs import join_parts, split_parts
 from augspark.session import cut_lineage, scratch_path
 
 THRESHOLD = 0.95
-# Distinct vectors of a shard, and of a block of queries
+# Distinct vectors of a shard, and of a block of queries at least
 SHARD, BLOCK = 65_536, 4096
 LINKS, LINKS_BASE = 16, 32
 BEAM_BUILD, BEAM, MAX_BEAM = 48, 32, 512
@@ -274,7 +274,9 @@ def near_vector_groups(vectors: DataFrame, key: str = "vec_id", embedding: str =
     )
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # one row per vector length
     shards = {d: -(-n // shard) for d, n in sizes.items()}
-    blocks = {d: -(-n // block) for d, n in sizes.items()}
+    # every block of queries gets a copy of every graph: as few blocks as keep all cores busy, or as hold ``shard`` vectors
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    blocks = {d: max(-(-n // shard), min(-(-n // block), -(-tasks // shards[d]))) for d, n in sizes.items()}
     by_dim = lambda numbers: F.coalesce(*[F.when(F.col("dim") == d, F.lit(n)) for d, n in numbers.items()], F.lit(1))
     dealt = classes.select(
         "class", "n", "vector", "dim", F.pmod(F.xxhash64("class"), by_dim(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("class", F.lit(1)), by_dim(blocks)).cast("int").alias("block")
