@@ -177,7 +177,7 @@ def chat_messages(spark, sf):
 @query("""
 select conv_id, string_agg(role || chr(10) || text, '' order by turn, role, text) as rendered from conversations group by 1""")
 def render_conversations(spark, sf):
-    return chats.render_conversations(table(spark, sf, "conversations"))
+    return chats.render_conversations(table(spark, sf, "conversations")).select("conv_id", "rendered")
 
 
 @query("select conv_id, turn, role || chr(10) || text as rendered from conversations")
@@ -191,7 +191,7 @@ select conv_id, string_agg(role || chr(10) || text, '' order by turn, role, text
 from conversations group by conv_id""")
 def append_reply(spark, sf):
     reply = F.concat(F.lit("reply to "), F.col("conv_id").cast("string"))
-    return chats.with_reply(table(spark, sf, "conversations"), reply)
+    return chats.with_reply(table(spark, sf, "conversations"), reply).select("conv_id", "rendered")
 
 
 @query("select item_id, 1::bigint as n_messages, 'user' as role, text as content from benchmark")
