@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from augspark.operators.skew import first_n_per_group, hashed_position, seeded_hash
+from augspark.operators.skew import first_n_per_group, hashed_position, lowest_per_group, seeded_hash
 
 # Fixed values
 SUPPORT_ROWS = 200
@@ -30,8 +30,11 @@ def sample_shots(
     Only key and label are read; join back for the texts. Returns (key, label, split).
     """
     dev_shots = shots if dev_shots is None else dev_shots
-    order = [seeded_hash(F.col(key), seed), F.col(key)]
-    chosen = first_n_per_group(df.select(key, label), [label], order, shots + dev_shots)
+    rows, digest, n = df.select(key, label), seeded_hash(F.col(key), seed), shots + dev_shots
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        chosen = first_n_per_group(rows, [label], [digest, F.col(key)], n)
+    else:
+        chosen = lowest_per_group(rows, [label], digest, key, n)
     split = F.when(F.col("rank") <= shots, "train").otherwise("validation")
     return chosen.select(key, label, split.alias("split"))
 

@@ -31,11 +31,38 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
     """A table with a broadcast hint if it has up to ``limit`` rows and BROADCAST_BYTES bytes, and its number of rows."""
-    rows, size = df.agg(F.count("*"), F.sum(_row_bytes(df))).first()
-    small = rows <= limit and (size or 0) <= BROADCAST_BYTES
+    small, rows = _fits(df, limit)
     return (F.broadcast(df) if small else df), rows
 
 
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has up to ``limit`` rows and BROADCAST_BYTES bytes."""
+    return _fits(df, limit)[0]
+
+
+def _fits(df: DataFrame, limit: int) -> tuple[bool, int]:
+    rows, size = df.agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    return rows <= limit and (size or 0) <= BROADCAST_BYTES, rows
+
+
+def lowest_per_group(df: DataFrame, keys: Sequence[str], digest: Column, key: str, n: int, name: str = "rank") -> DataFrame:
+    """The ``n`` rows of each group with the lowest ``digest``, then ``key``, with their rank; digest: hexadecimal text.
+
+    Rows are counted by group and leading digits of the digest, which leaves HASH_DIGITS digits per group
+    and task to be exchanged. Only rows up to the digits that hold the n-th row of their group are ranked: n
+    rows and what shares the last digits with them, whatever the size of the group.
+    """
+    marked = df.withColumn("_digest", digest).withColumn("_digits", F.left("_digest", F.lit(HASH_DIGITS)))
+    counts = marked.groupBy(*keys, "_digits").agg(F.count("*").alias("_rows"))
+    order = Window.partitionBy(*keys).orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_rows").over(order), F.lit(0))
+    last = counts.withColumn("_before", before).where(F.col("_before") < n).groupBy(*keys).agg(F.max("_digits").alias("_last"))
+    last, _ = broadcast_if_small(cut_lineage(last))
+    near = join_keys(marked, last, keys).where(F.col("_digits") <= F.col("_last"))
+    ranked = near.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("_digest", key)).cast("bigint"))
+    return ranked.where(F.col(name) <= n).select(*df.columns, name)
+
+
 def _row_bytes(df: DataFrame) -> Column:
     """About how many bytes a row takes: 8 for each plain value, else its length."""
     widths = [F.lit(8)]

@@ -30,7 +30,8 @@ from augspark.functions.scoring import (
     top_entropy,
     top_entropy_arrow,
 )
-from augspark.operators.skew import BROADCAST_ROWS, split_by_group_size
+from augspark.operators.skew import fits_broadcast, split_by_group_size
+from augspark.operators.tiles import TILE, log_determinants, product_tiles
 from augspark.session import cut_lineage
 
 # Fixed values of the metrics
@@ -39,18 +40,20 @@ DEFAULT_TOP_K = 50
 
 # Samples with more tokens than this are scored through the d x d matrix instead of the t x t one
 MAX_GRAM_TOKENS = 4_096
+# ... which is cut into tiles if vectors are longer than this
+MAX_GRAM_WIDTH = 4_096
 
 
 @dataclass(frozen=True)
 class StoredSpans:
     """Spans stored once, with what all scores want to know of them.
 
-    table: (sample_id, start, end), with a broadcast hint if it is small. rows: its length. longest: the
-    tokens of the longest span.
+    table: (sample_id, start, end), with a broadcast hint if it is ``small``. longest: the tokens of the
+    longest span.
     """
 
     table: DataFrame
-    rows: int
+    small: bool
     longest: int
 
 
@@ -59,8 +62,9 @@ def stored_spans(spans: DataFrame | StoredSpans) -> StoredSpans:
     if isinstance(spans, StoredSpans):
         return spans
     table = cut_lineage(spans.select("sample_id", "start", "end"))
-    rows, longest = table.agg(F.count("*"), F.max(F.col("end") - F.col("start"))).first()
-    return StoredSpans(F.broadcast(table) if rows <= BROADCAST_ROWS else table, rows, longest or 0)
+    small = fits_broadcast(table)
+    longest = table.agg(F.max(F.col("end") - F.col("start"))).first()[0]
+    return StoredSpans(F.broadcast(table) if small else table, small, longest or 0)
 
 
 def in_span() -> Column:
@@ -102,7 +106,7 @@ def logit_entropy(
     known = stored_spans(spans) if spans is not None else None
     if known is None:
         scored = logits.select("sample_id", entropy.alias("h"), weight.alias("w"))
-    elif known.rows <= BROADCAST_ROWS:
+    elif known.small:
         # no shuffle before the aggregate, and tokens outside their span are not scored
         inside = logits.join(known.table, "sample_id").withColumn("logits", F.when(in_span(), F.col("logits")))
         scored = inside.select("sample_id", entropy.alias("h"), weight.alias("w"))
@@ -183,13 +187,37 @@ def _product_score(table: pa.Table) -> pa.Table:
     return pa.table({"sample_id": table.column("sample_id")[:1], "svd_score": [logdet / t]})
 
 
+def _large_scores(large: DataFrame, schema: str, id_type: str, max_width: int, tile: int) -> DataFrame:
+    """Scores of samples through their d x d matrices."""
+    width = large.agg(F.max(F.size("vec"))).first()[0] or 0
+    if width > max_width:
+        tiles = cut_lineage(product_tiles(large, tile, RIDGE))
+        tokens = tiles.where("i = 0 and j = 0").select(F.col("sample_id").alias("_id"), "tokens")
+        found = log_determinants(tiles, tile).join(tokens, F.col("sample_id").eqNullSafe(F.col("_id")))
+        # as in _product_score
+        score = ((F.col("tokens") - F.col("d")) * float(np.log(RIDGE)) + F.col("log_determinant")) / F.col("tokens")
+        return found.select("sample_id", score.alias("svd_score"))
+    partial = large.mapInArrow(_partial_products, f"sample_id {id_type}, i int, products array<double>, tokens bigint")
+    summed = partial.groupBy("sample_id", "i").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("products"))).alias("products"),
+        F.sum("tokens").alias("tokens"),
+    )
+    return summed.groupBy("sample_id").applyInArrow(_product_score, schema)
+
+
 def svd_score(
-    hidden: DataFrame, spans: DataFrame | StoredSpans | None, layer: int, max_tokens: int = MAX_GRAM_TOKENS
+    hidden: DataFrame,
+    spans: DataFrame | StoredSpans | None,
+    layer: int,
+    max_tokens: int = MAX_GRAM_TOKENS,
+    max_width: int = MAX_GRAM_WIDTH,
+    tile: int = TILE,
 ) -> DataFrame:
     """Mean log singular value of the ridged Gram matrix of a span's centred token vectors.
 
     Samples above ``max_tokens`` are reduced to d x d sums of outer products, added up per task before
-    the shuffle and then row by row of the matrix.
+    the shuffle and then row by row of the matrix. Where such vectors are longer than ``max_width``, no task
+    holds a whole matrix: products and decomposition go tile by tile (see :mod:`augspark.operators.tiles`).
     """
     tokens = hidden.where(F.col("layer") == layer).select("sample_id", "pos", "vec")
     id_type = hidden.schema["sample_id"].dataType.simpleString()
@@ -207,14 +235,7 @@ def svd_score(
             small = inside.where(~is_large | F.col("vec").isNull()).select("sample_id", "vec")
     scores = small.groupBy("sample_id").applyInArrow(_gram_score, schema)
     if large is not None:
-        partial = large.mapInArrow(
-            _partial_products, f"sample_id {id_type}, i int, products array<double>, tokens bigint"
-        )
-        summed = partial.groupBy("sample_id", "i").agg(
-            vector_to_array(Summarizer.sum(array_to_vector("products"))).alias("products"),
-            F.sum("tokens").alias("tokens"),
-        )
-        scores = scores.unionByName(summed.groupBy("sample_id").applyInArrow(_product_score, schema))
+        scores = scores.unionByName(_large_scores(large, schema, id_type, max_width, tile))
     if large is None or spans is None:
         return scores
     # of a large sample, the rows outside its span have given NaN beside its score

@@ -64,7 +64,7 @@ def test_logit_entropy(spark, wide, top_k, expected):
 @pytest.mark.parametrize("fits", [True, False])
 def test_entropy_of_odd_tokens(spark, monkeypatch, fits):
     if not fits:
-        monkeypatch.setattr(un, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(un, "fits_broadcast", lambda _: False)
     table = logits_table(spark, [[[2, 1, 0], [1, 1, 1]], [[0, -INF]], [[0, -2000.0]], [[1, 2]]])
     got = by_sample(un.logit_entropy(table, spans(spark, [(0, 5, 9), (1, 0, 1), (2, 0, 1), (9, 0, 1)])), "logit_entropy")
     assert set(got) == {0, 1, 2}
