@@ -27,6 +27,15 @@ def few_shot_split(spark, sf):
     return fs.sample_shots(labels, "doc_id", seed=SEED)
 
 
+@query(f"""
+select doc_id, toxic as label, case when r <= 1500 then 'train' else 'validation' end as split from (
+  select *, row_number() over (partition by toxic order by md5(concat('{SEED}:', doc_id)), doc_id) as r from labels) where r <= 2000""")
+def many_shots(spark, sf):
+    """More shots than a task should keep of every label."""
+    labels = table(spark, sf, "labels").withColumnRenamed("toxic", "label")
+    return fs.sample_shots(labels, "doc_id", shots=1500, dev_shots=500, seed=SEED)
+
+
 @query(f"select doc_id from labels order by md5(concat('{SEED}:', doc_id)), doc_id limit 200")
 def support_sample(spark, sf):
     return fs.sample_total(table(spark, sf, "labels"), "doc_id", seed=SEED)
@@ -39,7 +48,7 @@ def shuffled_batches(spark, sf):
     return fs.shuffled_batches(table(spark, sf, "documents").select("doc_id"), "doc_id", seed=SEED)
 
 
-TEMPLATE = ' {"placeholder": "text_a"} {"special": "<sep>"} This topic is about {"mask"} .'
+TEMPLATE = ' {"placeholder": "text_a"} {"special": "<sep>"} The subject here is {"mask"} .'
 
 
 @query(f"""with {FX_LABELED},
@@ -48,7 +57,7 @@ rows as (
   select doc_id, label, case when r <= 10 then 'train' else 'validation' end as split, text from picked where r <= 20
   union all select doc_id, label, 'test', text from fx_labeled),
 words as (select *, string_split_regex({strip_sql("text")}, '[ \\t\\n\\x0B\\f\\r]+') as w from rows)
-select doc_id, label, split, concat(' ', array_to_string(w[1:128], ' '), ' <sep> This topic is about [MASK] .') as prompt from words""")
+select doc_id, label, split, concat(' ', array_to_string(w[1:128], ' '), ' <sep> The subject here is [MASK] .') as prompt from words""")
 def few_shot_prompts(spark, sf):
     labeled = fx_labeled(spark, sf)
     return classify.few_shot_prompts(labeled, labeled, TEMPLATE, "doc_id", seed=SEED)

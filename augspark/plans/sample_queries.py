@@ -259,6 +259,14 @@ def svd_score(spark, sf):
     return scores.select("sample_id", F.round("svd_score", 6).alias("svd_score"))
 
 
+@query(f"with {svd_sql(4)} select sample_id, round(svd_score, 6) as svd_score from svd")
+def svd_score_by_tiles(spark, sf):
+    """The same through tiles of the d x d matrices, as for long samples of wide vectors."""
+    hidden = tokens_of(spark, sf, 4, "vec").withColumn("layer", F.lit(0))
+    scores = un.svd_score(hidden, fx.fx_spans(hidden, 1, 4), layer=0, max_tokens=2, max_width=32, tile=32)
+    return scores.select("sample_id", F.round("svd_score", 6).alias("svd_score"))
+
+
 @query(f"""with {FX_ATTENTION},
 heads as (select sample_id, head, avg(ln(own)) as m from fx_attention where pos >= 1 group by 1, 2)
 select sample_id, round(sum(m), 6) as attn_eig from heads group by 1""")

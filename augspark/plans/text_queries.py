@@ -211,7 +211,7 @@ def single_message(spark, sf):
 
 TEMPLATES = (
     'A {"placeholder": "text_a"} comment : {"mask"}',
-    ' {"placeholder": "text_a"}  This topic is about {"mask"} .',
+    ' {"placeholder": "text_a"}  The subject here is {"mask"} .',
     '{"soft": "<soft>"} {"placeholder": "text_a"} {"special": "<sep>"} {"mask"} .',
     ' {"soft":"clicked news :"} {"placeholder": "text_a"} {"mask"} {"soft":None,"duplicate":3} {"placeholder": "text_b"}',
 )
@@ -220,7 +220,7 @@ TEMPLATES = (
 @query("""
 select doc_id,
   concat('A ', text, ' comment : [MASK]') as rendered_0,
-  concat(' ', text, ' This topic is about [MASK] .') as rendered_1,
+  concat(' ', text, ' The subject here is [MASK] .') as rendered_1,
   concat('<soft> ', text, ' <sep> [MASK] .') as rendered_2,
   concat(' clicked news : ', text, ' [MASK] <soft><soft><soft> ', lang) as rendered_3
 from documents""")

@@ -607,10 +607,10 @@ def test_report(spark):
 
 def test_lexicon_file(spark, tmp_path, monkeypatch):
     path = tmp_path / "v.txt"
-    path.write_text("like,hate speech,love\ndislike,don't like\n\n\n a , b\nc\n", encoding="utf-8")
+    path.write_text("sour,far too sweet,bitter\nmild,isn't hot\n\n\n a , b\nc\n", encoding="utf-8")
     rows = lexicons.read_lexicon(spark, str(path), ["x", "y"]).collect()
     assert [(r["class_id"], r["word_pos"], r["word"]) for r in rows] == [
-        (0, 0, "like"), (0, 1, "hate speech"), (0, 2, "love"), (1, 0, "dislike"), (1, 1, "don't like"),
+        (0, 0, "sour"), (0, 1, "far too sweet"), (0, 2, "bitter"), (1, 0, "mild"), (1, 1, "isn't hot"),
     ]
     second = lexicons.read_lexicon(spark, str(path), choice=1).collect()
     assert [(r["class_id"], r["word"]) for r in second] == [(0, "a "), (0, " b"), (1, "c")]
@@ -626,10 +626,10 @@ def test_lexicon_file(spark, tmp_path, monkeypatch):
 
 def test_word_sets_file(spark, tmp_path):
     path = tmp_path / "m.jsonl"
-    path.write_text('[\n {"World": ["politics"],\n "Sports": ["sports"]},\n {"World": ["politics", "world"]}\n]')
+    path.write_text('[\n {"Harbour": ["boat"],\n "Garden": ["hedge"]},\n {"Harbour": ["boat", "quay"]}\n]')
     rows = lexicons.read_word_sets(spark, str(path)).collect()
     assert {(r["choice"], r["class_name"], r["word_pos"], r["word"]) for r in rows} == {
-        (0, "World", 0, "politics"), (0, "Sports", 0, "sports"), (1, "World", 0, "politics"), (1, "World", 1, "world"),
+        (0, "Harbour", 0, "boat"), (0, "Garden", 0, "hedge"), (1, "Harbour", 0, "boat"), (1, "Harbour", 1, "quay"),
     }
 
 

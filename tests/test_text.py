@@ -93,7 +93,7 @@ def test_chat(spark):
     "template, expected",
     [
         ('A {"placeholder": "text_a"} comment : {"mask"}', "A X comment : [MASK]"),
-        (' {"placeholder": "text_a"}  This topic is about {"mask"} .', " X This topic is about [MASK] ."),
+        (' {"placeholder": "text_a"}  The subject here is {"mask"} .', " X The subject here is [MASK] ."),
         (' [ Category : {"mask"} ] {"placeholder": "text_a"}', " [ Category : [MASK] ] X"),
         ('{"placeholder": "text_a"} {"special": "<sep>"} is {"mask"}.', "X <sep> is [MASK]."),
         ('{"placeholder": "text_a"},{"placeholder": "text_b"}, so', "X,Y, so"),
