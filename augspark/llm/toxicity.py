@@ -247,7 +247,7 @@ def fit_toxicity(
         return pa.table({"machine": pa.array([machine.to_bytes()], pa.binary())})
 
     # one task fits the sample, which is bounded by rows and by terms; only the machine comes to the driver
-    fitted = slots.groupBy(F.lit(0)).applyInArrow(fit, "machine binary").first()
+    fitted = slots.groupBy(F.lit("all").alias("_all")).applyInArrow(fit, "machine binary").first()
     return FactorizationMachine.from_bytes(bytes(fitted["machine"])) if fitted else fit_machine([], np.zeros(0))
 
 
