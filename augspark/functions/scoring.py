@@ -85,32 +85,62 @@ def _rows_2d(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, block.astype(np.float64, copy=False).reshape(len(at), width)
 
 
+def _entropies(column: pa.Array, top_k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Entropy of each list of logits, by a partial selection instead of a full sort, and where there is none."""
+    out = np.full(len(column), np.nan)
+    missing = np.ones(len(column), dtype=bool)
+    for at, block in _rows_2d(column):
+        width = block.shape[1]
+        if width == 0:
+            continue
+        if top_k is not None and top_k < width:
+            block = np.partition(block, width - top_k, axis=1)[:, width - top_k :]
+        d = block - block.max(axis=1, keepdims=True)
+        e = np.exp(d)
+        z = e.sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            h = np.log(z) - (d * e).sum(axis=1) / z
+        h[(e / z[:, None]).min(axis=1) == 0] = np.nan
+        out[at] = h
+        missing[at] = False
+    return out, missing
+
+
 def top_entropy_arrow(logits: Column, top_k: int | None = None) -> Column:
-    """Same as :func:`top_entropy` for wide vocabularies: a partial selection instead of a full sort."""
+    """Same as :func:`top_entropy` for wide vocabularies."""
 
     @F.arrow_udf("double")
     def entropy(column: pa.Array) -> pa.Array:
-        out = np.full(len(column), np.nan)
-        missing = np.ones(len(column), dtype=bool)
-        for at, block in _rows_2d(column):
-            width = block.shape[1]
-            if width == 0:
-                continue
-            if top_k is not None and top_k < width:
-                block = np.partition(block, width - top_k, axis=1)[:, width - top_k :]
-            d = block - block.max(axis=1, keepdims=True)
-            e = np.exp(d)
-            z = e.sum(axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                h = np.log(z) - (d * e).sum(axis=1) / z
-            h[(e / z[:, None]).min(axis=1) == 0] = np.nan
-            out[at] = h
-            missing[at] = False
+        out, missing = _entropies(column, top_k)
         return pa.array(out, mask=missing)
 
     return entropy(logits)
 
 
+def mean_token_entropy_arrow(tokens: Column, top_k: int | None = None) -> Column:
+    """Same as :func:`mean_token_entropy`, in Arrow batches."""
+
+    @F.arrow_udf("double")
+    def mean(column: pa.Array) -> pa.Array:
+        counts = np.asarray(column.value_lengths().fill_null(0))
+        flat = column.flatten()
+        values, missing = _entropies(flat, top_k)
+        first = np.cumsum(counts) - counts
+        some = np.flatnonzero(counts)
+        out, none = np.full(len(column), np.nan), np.asarray(column.is_null())
+        if len(some):
+            widths = np.asarray(flat.value_lengths().fill_null(0))[first[some]]
+            if top_k is not None:
+                widths = np.minimum(widths, top_k)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[some] = np.add.reduceat(values, first[some]) / (counts[some] * widths)
+            # a token without logits leaves its sample without a score
+            none[some] |= np.add.reduceat(missing.astype(int), first[some]) > 0
+        return pa.array(out, mask=none)
+
+    return mean(tokens)
+
+
 def mean_token_entropy(tokens: Column, top_k: int | None = None) -> Column:
     """Mean over tokens and entries of the entropies of an array of logit arrays; NaN without tokens."""
     width = F.size(tokens[0]) if top_k is None else F.least(F.size(tokens[0]), F.lit(top_k))

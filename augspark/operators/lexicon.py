@@ -115,19 +115,26 @@ def calibration_prior(support: DataFrame, lexicon: DataFrame | None = None) -> D
 def calibrated_probabilities(probabilities: DataFrame, prior: DataFrame) -> DataFrame:
     """Word probability divided by its prior, renormalised per example.
 
-    The prior, a number per word of the lexicon, is stored once and broadcast after a count of its words,
-    so examples are not shuffled by the few words.
+    The prior, a number per word of the lexicon, is taken once and sent along with the plan, so examples are
+    not shuffled by the few words; more words than a lexicon may have are stored and joined.
     """
     example = Window.partitionBy("example")
-    stored, _ = broadcast_if_small(cut_lineage(prior.select("word", "prior")), MAX_LEXICON_WORDS)
     return (
-        probabilities.join(stored, "word")
+        probabilities.join(_taken_once(prior.select("word", "prior")), "word")
         .withColumn("_q", F.col("p") / F.col("prior"))
         .withColumn("p", F.col("_q") / F.sum("_q").over(example))
         .drop("_q", "prior")
     )
 
 
+def _taken_once(words: DataFrame) -> DataFrame:
+    """A table of one short row per word, computed now."""
+    rows = words.limit(MAX_LEXICON_WORDS + 1).collect()
+    if len(rows) > MAX_LEXICON_WORDS:
+        return cut_lineage(words)
+    return F.broadcast(words.sparkSession.createDataFrame([tuple(r) for r in rows], words.schema))
+
+
 def class_scores(probabilities: DataFrame) -> DataFrame:
     """Class score of each example: mean log probability of the class's words."""
     log_p = F.ln(F.col("p") + LOG_EPSILON)

@@ -24,7 +24,7 @@ from augspark.functions.scoring import (
     let,
     log_det_score,
     mean_log_singular_value,
-    mean_token_entropy,
+    mean_token_entropy_arrow,
     safe_log,
     self_attention_score,
     top_entropy,
@@ -333,7 +333,7 @@ def metrics_from_arrays(df: DataFrame, top_k: int | None = None) -> DataFrame:
         {
             "svd_score": F.coalesce(log_det_score(in_array_span(F.col("vectors"), start, end)), F.lit(0.0)),
             "attn_eig": F.coalesce(self_attention_score(own), F.lit(0.0)),
-            "logit_entropy": let(logits, lambda tokens: mean_token_entropy(tokens, top_k)),
+            "logit_entropy": mean_token_entropy_arrow(logits, top_k),
         }
     ).drop("start", "end", "logits", "vectors", "own")
 

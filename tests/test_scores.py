@@ -290,3 +290,15 @@ def test_products_are_held_one_at_a_time(monkeypatch):
     for b in out:
         own = z[ids == b.column("sample_id")[0].as_py()]
         assert np.allclose(np.array(b.column("products").to_pylist()), own.T @ own) and b.column("tokens")[0].as_py() == 4
+
+
+def test_mean_entropy_forms_agree(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=(i % 4, 12)).tolist()) for i in range(12)] + [(20, None), (21, [[1.0, 2.0], []]), (22, [[0.0, -2000.0], [1.0, 1.0]]), (23, [[1.0], [2.0, 3.0]])]
+    df = spark.createDataFrame(rows, "id int, tokens array<array<double>>").repartition(3)
+    for top_k in (None, 1, 5, 50):
+        both = df.select("id", sc.mean_token_entropy(F.col("tokens"), top_k).alias("a"), sc.mean_token_entropy_arrow(F.col("tokens"), top_k).alias("b")).collect()
+        for r in both:
+            assert (r["a"] is None) == (r["b"] is None), r
+            if r["a"] is not None:
+                assert r["a"] == pytest.approx(r["b"], rel=1e-9, abs=1e-12, nan_ok=True), r
