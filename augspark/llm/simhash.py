@@ -221,15 +221,24 @@ def simhash_groups(
     )
 
 
-def keep_one_per_group(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents whose key is their component's smallest; columns as given.
+def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of every component, the one with the smallest key; columns as given.
 
-    Of rows with the same key and text one stays; a key with several texts keeps each of them.
+    Of equal keys that with the smallest hash of its text stays, null keys come last, and of rows with the
+    same key and text one stays. So near copies under null or repeated keys go like any others.
     """
-    first = simhash_groups(docs, key=key, **options).where(F.col(key).eqNullSafe(F.col("component_id")))
-    chosen = cut_lineage(first.groupBy(F.col(key).alias("_chosen")).agg(F.count("*").alias("_rows")))
-    kept = lambda c: docs.join(c, F.col(key).eqNullSafe(F.col("_chosen")), "left_semi")
-    if chosen.where("_rows > 1").first() is None:
+    # what tells rows apart; structures are ordered by their first field, then the next
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    grouped = simhash_groups(docs.select(row.alias("_row"), F.col(text).alias("_text")), key="_row", text="_text", **options)
+    first = grouped.where(F.col("_row").eqNullSafe(F.col("component_id")))
+    found = first.groupBy("_row").agg(F.count("*").alias("_rows"))
+    # names that no column of the documents has
+    own_key, own_hash, rows = (f"_{n}" + "_" * max(len(c) for c in docs.columns) for n in ("key", "hash", "rows"))
+    named = found.select(F.col("_row.key").alias(own_key), F.col("_row.hash").alias(own_hash), F.col("_rows").alias(rows))
+    chosen = cut_lineage(named)
+    same = F.col(key).eqNullSafe(F.col(own_key)) & (F.xxhash64(text) == F.col(own_hash))
+    kept = lambda c: docs.join(c, same, "left_semi")
+    once, repeated = chosen.where(F.col(rows) == 1), chosen.where(F.col(rows) > 1)
+    if repeated.isEmpty():
         return kept(chosen)
-    repeated = kept(chosen.where("_rows > 1")).dropDuplicates([key, options.get("text", "text")])
-    return kept(chosen.where("_rows = 1")).unionByName(repeated)
+    return kept(once).unionByName(kept(repeated).dropDuplicates([key, text]))

@@ -233,6 +233,19 @@ def test_simhash_of_no_documents(no_documents, odd_documents):
     assert kept.where("doc_id = 20").count() == 1, "documents without words are one group"
 
 
+def test_one_of_each_group_stays_under_null_and_repeated_keys(spark):
+    words = [f"word{i}" for i in range(300)]
+    near = lambda n: " ".join(words[:-1] + [f"end{n}"])
+    other, third = " ".join(f"other{i}" for i in range(50)), " ".join(f"third{i}" for i in range(50))
+    rows = [(None, near(0)), (None, near(1)), (None, near(1)), (None, other), (5, third), (5, third + " x"), (5, near(2)), (9, third), (2, other), (2, other)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id bigint, text string, _row string, _key int").repartition(3)
+    groups = {r["fingerprint"] for r in simhash.simhash_groups(df, bits=12).collect()}
+    assert len(groups) > 3, "near copies have fingerprints of their own"
+    kept = sorted((tuple(r)[:2] for r in simhash.keep_one_per_group(df, bits=12).collect()), key=repr)
+    texts = {t: next(i for i, x in enumerate((near(0)[:20], other[:20], third[:20])) if t.startswith(x)) for _, t in kept}
+    assert sorted((k, texts[t]) for k, t in kept) == [(2, 1), (5, 0), (5, 2)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 500)] + [(7, 7), (3, 2)] + [(900, 901), (901, 902), (902, 900)]
     found = components.connected_components(spark.createDataFrame(chain, "u bigint, v bigint"))
