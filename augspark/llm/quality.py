@@ -18,6 +18,8 @@ from augspark.llm.arrays import SpanHash, byte_table, counts_per_text, mix, text
 
 # Labelled texts that a field is fitted on (lowest hash of the key), and lines of all of them together
 MAX_TEXTS, MAX_LINES = 4096, 1 << 20
+# Lines of a stretch that long sampled texts are cut into for the fit
+STRETCH_LINES = 512
 MIN_SHARE = 0.5
 STEPS, RATE, DECAY = 200, 0.1, 1e-3
 # Neighbouring lines of a sampled text always share their label, which would tie lines more closely than they are
@@ -165,7 +167,9 @@ class LineField:
 def fit_field(sequences: list[np.ndarray], labels: list[int]) -> LineField:
     """The field of highest penalised likelihood, by gradient steps over forward and backward sums.
 
-    All lines of a sequence carry the label of their text. Without sequences every line counts as content.
+    All lines of a sequence carry the label of their text. Sequences above STRETCH_LINES are cut into stretches,
+    between which no move is learned; memory grows with the lines. Without sequences every line counts as
+    content.
     """
     if not sequences or len(set(labels)) < 2:
         only = labels[0] if sequences else 1
@@ -175,39 +179,42 @@ def fit_field(sequences: list[np.ndarray], labels: list[int]) -> LineField:
     facts = np.concatenate(sequences).astype(float)
     lengths = np.array([len(s) for s in sequences])
     gold = np.repeat(np.array(labels), lengths)
-    row, col = padded(lengths)
-    n, steps = len(lengths), int(lengths.max())
-    at = np.full((n, steps), -1)
-    at[row, col] = np.arange(len(facts))
-    live = (at >= 0).sum(0)
-    weights, moves = np.zeros((facts.shape[1], 2)), np.zeros((2, 2))
-    seen_w, seen_m = np.full(weights.shape, 1e-8), np.full(moves.shape, 1e-8)
+    n = len(lengths)
     # texts of both labels weigh the same, and long texts no more than short ones
     share = np.bincount(labels, minlength=2)
     line_weight = np.repeat(n / 2 / share[np.array(labels)] / lengths, lengths)
+    # long texts in stretches: a gradient step then takes STRETCH_LINES steps along the lines at most
+    lengths = np.concatenate([np.append(np.full((k - 1) // STRETCH_LINES, STRETCH_LINES), (k - 1) % STRETCH_LINES + 1) for k in lengths])
+    row, col = padded(lengths)
+    # first lines of all stretches, longest stretch first, then second lines, and so on
+    line = np.lexsort((row, col))
+    facts, gold, line_weight = facts[line], gold[line], line_weight[line]
+    live = np.bincount(col)
+    steps, begin = len(live), np.cumsum(live) - live
+    own = [slice(begin[t], begin[t] + live[t]) for t in range(steps)]
+    before = [slice(0, 0), *(slice(begin[t - 1], begin[t - 1] + live[t]) for t in range(1, steps))]
+    weights, moves = np.zeros((facts.shape[1], 2)), np.zeros((2, 2))
+    seen_w, seen_m = np.full(weights.shape, 1e-8), np.full(moves.shape, 1e-8)
     gold_moves = np.zeros((2, 2))
     for t in range(1, steps):
-        a, b = at[: live[t], t - 1], at[: live[t], t]
-        np.add.at(gold_moves, (gold[a], gold[b]), line_weight[b])
+        np.add.at(gold_moves, (gold[before[t]], gold[own[t]]), line_weight[own[t]])
     for _ in range(STEPS):
         emit = facts @ weights
-        forward = np.zeros((steps, n, 2))
-        forward[0] = emit[at[:, 0]]
+        forward = emit.copy()
         for t in range(1, steps):
-            k = live[t]
-            forward[t, :k] = emit[at[:k, t]] + np.logaddexp.reduce(forward[t - 1, :k, :, None] + moves[None], axis=1)
+            forward[own[t]] += np.logaddexp.reduce(forward[before[t], :, None] + moves[None], axis=1)
         chance = np.zeros((len(facts), 2))
         expected = np.zeros((2, 2))
-        backward = np.zeros((n, 2))
+        backward = np.zeros((live[0], 2))
         for t in range(steps - 1, -1, -1):
             k = live[t]
-            joint = forward[t, :k] + backward[:k]
+            joint = forward[own[t]] + backward[:k]
             total = np.logaddexp.reduce(joint, axis=1)
-            chance[at[:k, t]] = np.exp(joint - total[:, None])
+            chance[own[t]] = np.exp(joint - total[:, None])
             if t:
-                ahead = emit[at[:k, t]] + backward[:k]
-                pair = forward[t - 1, :k, :, None] + moves[None] + ahead[:, None, :] - total[:, None, None]
-                expected += (np.exp(pair) * line_weight[at[:k, t]][:, None, None]).sum(0)
+                ahead = emit[own[t]] + backward[:k]
+                pair = forward[before[t], :, None] + moves[None] + ahead[:, None, :] - total[:, None, None]
+                expected += (np.exp(pair) * line_weight[own[t]][:, None, None]).sum(0)
                 backward[:k] = np.logaddexp.reduce(moves[None] + ahead[:, None, :], axis=2)
         wrong = chance.copy()
         wrong[np.arange(len(gold)), gold] -= 1

@@ -306,3 +306,33 @@ def test_context_tree_beats_the_word_base(spark):
 
 def test_folds():
     assert zlib.crc32(b"17") % 7 == zlib.crc32(str(17).encode()) % 7
+
+
+def test_field_of_one_very_long_text(monkeypatch):
+    """Memory of the fit grows with the lines, not with texts times the longest text; and the fit still tells labels apart."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    labels = [i % 2 for i in range(1000)] + [1]
+    sequences = [rng.random((int(rng.integers(1, 20)), 23)) + np.eye(23)[y] for y in labels[:-1]] + [rng.random((50_000, 23)) + np.eye(23)[1]]
+    monkeypatch.setattr(quality, "STEPS", 3)
+    tracemalloc.start()
+    field = quality.fit_field(sequences, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(s.nbytes for s in sequences) / 3, "about four times the facts"
+    assert field.weights[0, 0] > field.weights[0, 1] and field.weights[1, 1] > field.weights[1, 0]
+
+
+def test_stretches_keep_short_texts_as_they_are(monkeypatch):
+    rng = np.random.default_rng(1)
+    labels = [i % 2 for i in range(60)]
+    sequences = [rng.random((int(rng.integers(1, 30)), 23)) for _ in labels]
+    monkeypatch.setattr(quality, "STEPS", 20)
+    whole = quality.fit_field(sequences, labels)
+    monkeypatch.setattr(quality, "STRETCH_LINES", 30)
+    same = quality.fit_field(sequences, labels)
+    assert np.array_equal(whole.weights, same.weights) and np.array_equal(whole.moves, same.moves)
+    monkeypatch.setattr(quality, "STRETCH_LINES", 7)
+    cut = quality.fit_field(sequences, labels)
+    assert np.isfinite(cut.weights).all() and np.abs(cut.weights - whole.weights).max() < 0.5
