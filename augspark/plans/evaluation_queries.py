@@ -109,12 +109,13 @@ with shots as (select toxic, least(count(*), 10) as train, greatest(least(count(
 facts as (select 'train' as split, sum(train) as n, sum(train * toxic) as positives from shots
   union all select 'validation', sum(validation), sum(validation * toxic) from shots
   union all select 'test', count(*), sum(toxic) from labels)
-select split, n::bigint as n, positives::bigint as positives, true as disjoint, split <> 'train' as rated, true as in_bounds from facts""")
+select split, n::bigint as n, positives::bigint as positives, true as disjoint, split <> 'train' as rated, true as in_bounds,
+  case when split <> 'train' then 1.0::double end as marked_accuracy from facts""")
 def train_and_test_classifier(spark, sf):
     """Fit on the few-shot train rows, rate the validation rows and all labelled rows: what is fixed of that.
 
-    The rows of each split and their labels, that no row is in two of the few-shot splits, and that every
-    metric lies within its bounds.
+    The rows of each split and their labels, that no row is in two of the few-shot splits, that every metric
+    lies within its bounds, and that a classifier of texts which begin with a word of their label is always right.
     """
     labeled = fx_labeled(spark, sf).select("doc_id", "text", "label")
     split = fs.sample_shots(labeled, "doc_id", seed=SEED).select("doc_id", "split")
@@ -126,13 +127,19 @@ def train_and_test_classifier(spark, sf):
         tested.select(F.lit("test").alias("split"), "label", "pred")
     )
     rated = fs.evaluate(both, by=["split"])
+    marker = F.concat(F.when(F.col("label") == 1, "yes ").otherwise("no "), (F.col("doc_id") % 7).cast("string"))
+    easy = labeled.withColumn("text", marker)
+    taught = fs.fit_classifier(easy.join(split.where("split = 'train'"), "doc_id"))
+    told = fs.classify(taught, easy.select(F.lit("test").alias("split"), "label", "text").unionByName(
+        easy.join(split.where("split = 'validation'"), "doc_id").select("split", "label", "text")))
+    marked = fs.evaluate(told, by=["split"]).select("split", F.col("accuracy").alias("marked_accuracy"))
     rates = [F.col(c).between(0, 1) for c in ("accuracy", "rmse", "mae", "precision", "recall", "f1")]
     bounds = rated.select("split", reduce(lambda a, b: a & b, rates).alias("in_bounds"))
     once = split.groupBy("doc_id").count().agg(F.max("count") == 1).scalar()
     rows = shots.select("split", "label").unionByName(labeled.select(F.lit("test").alias("split"), "label"))
     counts = rows.groupBy("split").agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("positives"))
-    return counts.join(bounds, "split", "left").select(
-        "split", "n", "positives", once.alias("disjoint"), F.col("in_bounds").isNotNull().alias("rated"), F.coalesce("in_bounds", F.lit(True)).alias("in_bounds")
+    return counts.join(bounds, "split", "left").join(marked, "split", "left").select(
+        "marked_accuracy", "split", "n", "positives", once.alias("disjoint"), F.col("in_bounds").isNotNull().alias("rated"), F.coalesce("in_bounds", F.lit(True)).alias("in_bounds")
     )
 
 
