@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 INF = float("inf")
@@ -172,14 +173,19 @@ def mean_log_singular_value(z: np.ndarray) -> np.ndarray:
 
 
 def log_det_score(vectors: Column) -> Column:
-    """:func:`mean_log_singular_value` of each row's array of token vectors; NaN without tokens."""
+    """:func:`mean_log_singular_value` of each row's array of token vectors; NaN without tokens.
+
+    A null in place of a vector is a token that is missing.
+    """
 
     @F.arrow_udf("double")
     def scores(column: pa.Array) -> pa.Array:
-        lengths = np.asarray(column.value_lengths().fill_null(0))
+        rows = pc.list_parent_indices(column).to_numpy()
+        lengths = np.bincount(rows[np.asarray(column.flatten().is_valid())], minlength=len(column))
         out = np.full(len(column), np.nan)
         for tokens in np.unique(lengths[lengths > 0]):
             at = np.flatnonzero(lengths == tokens)
+            # the second flatten leaves the nulls out
             flat = column.take(pa.array(at)).flatten().flatten().to_numpy(zero_copy_only=False)
             out[at] = mean_log_singular_value(flat.astype(np.float64, copy=False).reshape(len(at), tokens, -1))
         return pa.array(out, mask=np.asarray(column.is_null()))
@@ -188,11 +194,12 @@ def log_det_score(vectors: Column) -> Column:
 
 
 def self_attention_score(heads: Column) -> Column:
-    """Sum over heads of the mean log self-attention; one array of token values per head."""
+    """Sum over heads of the mean log self-attention; one array of token values per head, null where a token is missing."""
 
     def head_mean(values: Column) -> Column:
-        logs = total(F.transform(values, lambda x: safe_log(x.cast("double"))))
-        return F.when(F.size(values) > 0, logs / F.size(values)).otherwise(F.lit(NAN))
+        known = F.filter(values, lambda x: x.isNotNull())
+        logs = total(F.transform(known, lambda x: safe_log(x.cast("double"))))
+        return F.when(F.size(known) > 0, logs / F.size(known)).otherwise(F.lit(NAN))
 
     return total(F.transform(heads, head_mean))
 

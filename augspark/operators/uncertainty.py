@@ -321,14 +321,15 @@ def metrics_from_arrays(df: DataFrame, top_k: int | None = None) -> DataFrame:
 
     Columns: ``start`` and ``end`` of the span, ``logits`` (logits per token), ``vectors`` (hidden state of
     one layer per token) and ``own`` (self-attention per head and token). Null vectors or attention score
-    0.0, an empty span NaN.
+    0.0, an empty span NaN. A null inside an array is a token that is missing, as is a row that
+    :func:`calculate_metrics` does not find.
     """
     start, end = F.col("start"), F.col("end")
     own = let(
         F.struct("own", "start", "end"),
         lambda g: F.transform(g["own"], lambda values: in_array_span(values, g["start"], g["end"])),
     )
-    logits = in_array_span(F.col("logits"), start, end)
+    logits = F.filter(in_array_span(F.col("logits"), start, end), lambda x: x.isNotNull())
     return df.withColumns(
         {
             "svd_score": F.coalesce(log_det_score(in_array_span(F.col("vectors"), start, end)), F.lit(0.0)),

@@ -321,7 +321,7 @@ def metrics_from_arrays(spark, sf):
     heads = own.withColumn("sample_idx", F.col("head") * 4 + F.col("pos"))
     flat = gen.into_slots(heads, "sample_id", F.col("own"), 8, "flat")
     both = F.array(F.slice("flat", 1, 4), F.slice("flat", 5, 4))
-    by_head = flat.select("sample_id", F.filter(both, lambda h: h[0].isNotNull()).alias("own"))
+    by_head = flat.select("sample_id", F.filter(both, lambda h: F.exists(h, lambda x: x.isNotNull())).alias("own"))
     samples = rows.join(by_head, "sample_id", "left").withColumns(
         {"logits": F.col("vectors"), "start": F.lit(1), "end": F.lit(4)}
     )

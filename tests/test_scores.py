@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from augspark.functions import scoring as sc
 from augspark.operators import generate as gen, select as sel, uncertainty as un
+from augspark.plans import sample_queries  # noqa: F401  (registers its queries)
+from augspark.plans.registry import QUERIES
 
 INF, NAN = float("inf"), float("nan")
 
@@ -135,6 +137,40 @@ def test_metrics_from_arrays(spark):
     assert got[2]["logit_entropy"] == pytest.approx(np.log(2) / 2)
 
 
+def test_metrics_of_samples_with_missing_tokens(spark):
+    """A null in an array is a token without a row, wherever it stands; samples of other lengths share the batch."""
+    rng = np.random.default_rng(12)
+    found = [(0, 0, 1, 2, 3), (1, 1, 2), (2, 0), (3, 0, 3), (4, 1)]
+    z = {(i, p): rng.normal(size=5).tolist() for i, *positions in found for p in positions}
+    own = {k: abs(v[0]) / 9 for k, v in z.items()}
+    by_token = lambda values: [[values.get((i, p)) for p in range(4)] for i, *_ in found]
+    rows = [(i, 1, 4, v, v, [o]) for i, (v, o) in enumerate(zip(by_token(z), by_token(own)))]
+    schema = "sample_id bigint, start int, end int, logits array<array<double>>, vectors array<array<double>>, own array<array<double>>"
+    names = ("sample_id", "svd_score", "attn_eig", "logit_entropy")
+    samples = spark.createDataFrame(rows, schema).coalesce(1)
+    got = {r["sample_id"]: tuple(r[n] for n in names) for r in un.metrics_from_arrays(samples, top_k=3).collect()}
+    logits = spark.createDataFrame([(*k, v) for k, v in z.items()], "sample_id bigint, pos int, logits array<double>")
+    hidden = logits.withColumnRenamed("logits", "vec").withColumn("layer", F.lit(0))
+    attention = spark.createDataFrame([(i, 0, 0, p, x) for (i, p), x in own.items()], "sample_id bigint, layer int, head int, pos int, own double")
+    wanted = un.calculate_metrics(spans(spark, [(i, 1, 4) for i in range(5)]), logits, hidden, attention, 0, top_k=3)
+    for r in wanted.collect():
+        assert got[r["sample_id"]] == pytest.approx(tuple(r[n] for n in names), nan_ok=True)
+    assert got[1][1] == pytest.approx(brute_svd(np.array([z[1, 1], z[1, 2]]))) and math.isnan(got[2][1])
+
+
+def test_metrics_query_with_a_part_of_a_sample(spark, tmp_path):
+    """Vectors that do not fill the last sample: the scores are those of the tables."""
+    rng = np.random.default_rng(13)
+    for n in (9, 10, 11, 14):
+        rows = [(i, rng.normal(size=6).tolist(), 0) for i in range(n)]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+        df.write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        got, wanted = ({r[0]: tuple(r) for r in QUERIES[q](spark, f"{tmp_path}/{n}").collect()} for q in ("metrics_from_arrays", "calculate_metrics"))
+        assert len(got) == len(wanted) == -(-n // 4)
+        for i, scores in wanted.items():
+            assert got[i] == pytest.approx(scores, nan_ok=True)
+
+
 def attention_table(spark):
     # the diagonals are .5 .25 and .1 .2 for sample 0; sample 1 attends nowhere at position 0
     rows = [(0, 0, 0, 0, [0.5, 0.0]), (0, 0, 0, 1, [0.75, 0.25]), (0, 0, 1, 0, [0.1, 0.0]), (0, 0, 1, 1, [0.8, 0.2]),
