@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from augspark.functions.worker import release_memory
+
 # Texts are handled in buffers of about this many bytes, whatever the size of an Arrow batch
 BLOCK_BYTES = 1 << 20
 # The white space of `[^\x20\x09-\x0D]+`
@@ -45,17 +47,6 @@ def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int
     release_memory()
 
 
-def release_memory() -> None:
-    """Gives freed memory back to the system, since idle Python workers would keep it beside the executor."""
-    pa.default_memory_pool().release_unused()
-    try:
-        import ctypes
-
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # a C library without it
-        pass
-
-
 def byte_table(values) -> np.ndarray:
     """A truth value per byte."""
     table = np.zeros(256, bool)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import sys
-import types
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from augspark.functions.prompts import flat_prompt
 from augspark.functions.text import extract_completion
+from augspark.functions.worker import gathered, loaded, release_memory, values_of
 
 # A generator gets a batch of prompts, the sample number of each prompt and the options below, and
 # returns one text per prompt. A factory makes it once per Python worker, at its first prompt.
@@ -57,18 +57,6 @@ def regroup(df: DataFrame, key: str, values: Sequence[str], n_samples: int = DEF
     return grouped.withColumn("samples", F.filter("samples", lambda s: s.isNotNull()))
 
 
-def loaded(factory: Factory, token: str):
-    """What the factory makes, once per Python worker.
-
-    The package travels by value, so its globals live for one task; the model is kept in a module of its
-    own instead, under ``token``, which names the factory.
-    """
-    home = sys.modules.setdefault("_augspark_models", types.ModuleType("_augspark_models"))
-    if token not in home.__dict__:
-        home.__dict__[token] = factory()
-    return home.__dict__[token]
-
-
 def factory_token(factory: Factory) -> str:
     """Name of a factory with all that it carries along, the same wherever it is unpickled."""
     return hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
@@ -102,6 +90,14 @@ def _call_safely(
         yield from _call_safely(generate, [prompt], [number], options, on_error)
 
 
+def _samples_array(rows: list[list[tuple]], n_samples: int) -> pa.Array:
+    """Rows of ``n_samples`` (text, error) as an array of SAMPLES_TYPE."""
+    numbers = pa.array([*range(n_samples)] * len(rows), pa.int32())
+    texts, errors = (pa.array([made[k] for row in rows for made in row], pa.string()) for k in range(2))
+    offsets = pa.array([n_samples * i for i in range(len(rows) + 1)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([numbers, texts, errors], fields=list(_ARROW_SAMPLE)))
+
+
 def generated_samples(
     prompt: Column,
     factory: Factory,
@@ -126,20 +122,22 @@ def generated_samples(
 
     @F.arrow_udf(SAMPLES_TYPE)
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def results(column: pa.Array) -> Iterator[tuple]:
+            asked = ((p, i) for (p,) in values_of(column) if p is not None for i in range(n_samples))
+            while part := list(islice(asked, batch_size)):
+                texts, numbers = map(list, zip(*part))
+                yield from _call_safely(loaded(factory, token), texts, numbers, options, on_error)
+
         for column in columns:
-            prompts = column.to_pylist()
-            asked = [(p, i) for p in prompts if p is not None for i in range(n_samples)]
-            generate = loaded(factory, token) if asked else None
-            results: list[tuple] = []
-            for at in range(0, len(asked), batch_size):
-                texts, numbers = map(list, zip(*asked[at : at + batch_size]))
-                results.extend(_call_safely(generate, texts, numbers, options, on_error))
-            found = iter(results)
-            rows = []
-            for p in prompts:
-                got = [next(found) if p is not None else (None, "no prompt") for _ in range(n_samples)]
-                rows.append([{"sample_idx": i, "text": t, "error": e} for i, (t, e) in enumerate(got)])
-            yield pa.array(rows, type=pa.list_(_ARROW_SAMPLE))
+            found = results(column)
+            rows = (
+                list(islice(found, n_samples)) if given else [(None, "no prompt")] * n_samples
+                for given in column.is_valid().to_pylist()
+            )
+            # prompts are taken and samples given back slice by slice, whatever the size of the batch
+            for part in gathered(rows, lambda row: sum(len(t or "") + len(e or "") for t, e in row) + 1):
+                yield _samples_array(part, n_samples)
+            release_memory()
 
     return run.asNondeterministic()(prompt)
 
@@ -166,19 +164,22 @@ def sample_scores(
                 return [None] if len(prompts) == 1 else [x for p in prompts for x in scored([p])]
 
         for openings, arrays in columns:
+            # two walks over the same rows: one for what is asked, one for where the scores go
+            asked = (
+                opening + t
+                for opening, texts in values_of(openings, arrays)
+                if opening is not None and texts is not None
+                for t in texts
+                if t is not None
+            )
+            parts = iter(lambda: list(islice(asked, batch_size)), [])
+            found = (score for part in parts for score in scored(part))
             rows = [
-                None if opening is None or texts is None else [None if t is None else opening + t for t in texts]
-                for opening, texts in zip(openings.to_pylist(), arrays.to_pylist())
+                None if opening is None or texts is None else [None if t is None else next(found) for t in texts]
+                for opening, texts in values_of(openings, arrays)
             ]
-            asked = [p for row in rows if row is not None for p in row if p is not None]
-            results: list[float | None] = []
-            for at in range(0, len(asked), batch_size):
-                results.extend(scored(asked[at : at + batch_size]))
-            found = iter(results)
-            yield pa.array(
-                [None if row is None else [None if p is None else next(found) for p in row] for row in rows],
-                type=pa.list_(pa.float64()),
-            )
+            yield pa.array(rows, type=pa.list_(pa.float64()))
+            release_memory()
 
     return run.asNondeterministic()(opening, replies)
 
