@@ -68,6 +68,10 @@ class Graph:
                 at[moving], best[moving] = near[np.arange(len(moving)), top], value
         return at
 
+    def together(self, queries: np.ndarray) -> np.ndarray:
+        """An order in which queries that search the same part of the graph stand together, so that its vectors stay in the cache."""
+        return np.argsort(self.descend(queries, 1), kind="stable")
+
     def beam(self, queries: np.ndarray, start: np.ndarray, width: int, level: int = 0, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """The nodes and cosines of a beam search, best first; -1 and -2 fill up short beams."""
         q = len(queries)
@@ -150,6 +154,8 @@ def build_graph(vectors: np.ndarray, seed: int = 3) -> Graph:
     at = 1
     while at < n:
         batch = np.arange(at, min(n, at + min(max(64, at // 2), BATCH)))
+        at = int(batch[-1]) + 1
+        batch = batch[g.together(units[batch])]
         for level in range(len(g.links) - 1, -1, -1):
             mine = batch[levels[batch] >= level]
             if not len(mine):
@@ -170,7 +176,6 @@ def build_graph(vectors: np.ndarray, seed: int = 3) -> Graph:
                 # half of the room of the lowest level is left for those that come later
                 g.links[level][part, :LINKS] = g.pick_links(part, ids, sims, LINKS)
             _link_back(g, level, mine)
-        at = int(batch[-1]) + 1
     return g
 
 
@@ -219,6 +224,7 @@ def near_vectors(g: Graph, queries: np.ndarray, threshold: float, rng: np.random
     left, width = np.arange(len(units)), BEAM
     audit = np.sort(rng.choice(len(units), min(AUDIT, len(units)), replace=False))
     truth = units[audit] @ g.units.T >= least
+    left = left[g.together(units)]
     while len(left) and width <= min(MAX_BEAM, len(g.units) // 4):
         found = []
         for a in range(0, len(left), CHUNK):

@@ -324,6 +324,19 @@ def test_recall_of_the_graph():
     assert len(wanted & got) / len(wanted) >= 0.99
 
 
+def test_near_queries_are_searched_together():
+    """Queries of 40 clusters in turn: in the order of the search a chunk has few of them, and the links are the same."""
+    rng = np.random.default_rng(31)
+    centres = rng.normal(size=(40, 32))
+    own = np.tile(np.arange(40), 50)
+    vectors = (centres[own] + rng.normal(size=(2000, 32)) * 0.02).astype(np.float32)
+    g = eg.build_graph(vectors)
+    order = g.together(eg.unit(vectors))
+    assert sorted(order) == list(range(2000)) and np.mean([len(set(own[order[a : a + 200]])) for a in range(0, 2000, 200)]) < 20
+    pairs = lambda q: {(int(q[a]), int(b)) for i, j in eg.near_vectors(g, vectors[q], 0.95, np.random.default_rng(1)) for a, b in zip(i, j)}
+    assert pairs(np.arange(2000)) == pairs(rng.permutation(2000)) == {(i, j) for i in range(2000) for j in range(i % 40, 2000, 40)}
+
+
 def test_given_vectors(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
