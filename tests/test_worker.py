@@ -69,3 +69,35 @@ def test_long_words_are_not_remembered():
     long = "a" * 4 * CACHE_BYTES
     assert pieces.count(f"{long} short {long}") == pieces.count(long) + pieces.count(" short") + pieces.count(f" {long}")
     assert all(len(w) <= CACHE_BYTES for w in pieces.known)
+
+
+def tracing_failing_factory():
+    """The first one's answers, but failing on prompts whose number is a multiple of seven."""
+    import tracemalloc
+
+    import pandas  # noqa: F401  pyarrow imports it at its first array, and it is no part of a batch
+
+    tracemalloc.start()
+    tracemalloc.reset_peak()
+
+    def generate(prompts, sample_idx, **_):
+        if any(int(p.rpartition(" ")[2]) % 7 == 0 for p in prompts):
+            raise RuntimeError("model failed")
+        return [f"{tracemalloc.get_traced_memory()[1]} {p}" for p in prompts]
+
+    return generate
+
+
+@pytest.mark.parametrize("on_error, lost", [("empty", 0), ("skip", None)])
+def test_samples_of_a_failing_model_hold_a_slice_of_a_batch(spark, on_error, lost):
+    # one batch of 6 million bytes, whose samples have 30 million characters
+    texts = spark.range(0, 3000, 1, 1).select("id", F.concat(F.repeat(F.lit("x"), 2000), F.lit(" "), F.col("id").cast("string")).alias("text"))
+    made = texts.select("id", gen.generated_samples(F.col("text"), tracing_failing_factory, on_error=on_error).alias("s"))
+    parts = F.transform("s", lambda s: F.struct(s["sample_idx"].alias("i"), F.split(s["text"], " ")[0].alias("held"), F.length(s["text"]).alias("n"), s["error"].alias("error")))
+    rows = made.select("id", parts.alias("s")).collect()
+    assert [r["id"] for r in rows] == [*range(3000)] and all([s["i"] for s in r["s"]] == [*range(5)] for r in rows)
+    failed = [s for r in rows for s in r["s"] if r["id"] % 7 == 0]
+    whole = [(len(str(r["id"])) + 2002, s) for r in rows for s in r["s"] if r["id"] % 7]
+    assert all((s["n"], s["error"]) == (lost, "model failed") for s in failed)
+    assert all((s["n"] - len(s["held"]), s["error"]) == (n, None) for n, s in whole)
+    assert max(int(s["held"]) for _, s in whole) < 20 << 20
